@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -111,11 +111,11 @@ CORE_REFERENCES = (
     ("expeditions", "vehicle_id", "vehicles", "vehicle_id"),
 )
 
-# Money and counts are wider than a small installation needs, so that sums over a very large
+# Money, percentages and counts are wider than a small installation needs, so that sums over a very large
 # core do not overflow; scales and rounding are those of the marts' contract.
 MONEY = T.DecimalType(24, 2)
 UNIT_PRICE = T.DecimalType(14, 4)
-PERCENT = T.DecimalType(9, 4)
+PERCENT = T.DecimalType(18, 4)
 DAYS = T.DecimalType(14, 2)
 WEIGHT = T.DecimalType(24, 2)
 VOLUME = T.DecimalType(24, 3)
@@ -172,52 +172,45 @@ ISSUE_SCHEMA = T.StructType([
 ])
 
 
-@dataclass(frozen=True)
-class Sheets:
-    """The six typed input sheets of one batch (or of several, told apart by batch id)."""
+class _TableSet:
+    """Named tables; each is a DataFrame or a function that builds one when first asked for."""
 
-    products: DataFrame
-    sales: DataFrame
-    inventory: DataFrame
-    purchases: DataFrame
-    expedition: DataFrame
-    vehicles: DataFrame
+    names: tuple[str, ...] = ()
 
-    def items(self):
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        missing = set(self.names) - set(tables)
+        if missing:
+            raise ValueError(f"missing tables: {sorted(missing)}")
+        self._tables = tables
 
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._tables:
+            raise AttributeError(name)
+        value = self._tables[name]
+        if not isinstance(value, DataFrame):
+            value = self._tables[name] = value()
+        return value
 
-@dataclass(frozen=True)
-class Core:
-    """The eleven normalized tables."""
+    def items(self) -> list[tuple[str, DataFrame]]:
+        return [(name, getattr(self, name)) for name in self.names]
 
-    suppliers: DataFrame
-    customers: DataFrame
-    products: DataFrame
-    vehicles: DataFrame
-    sales_orders: DataFrame
-    sales_order_lines: DataFrame
-    purchase_orders: DataFrame
-    purchase_order_lines: DataFrame
-    inventory_snapshots: DataFrame
-    inventory_snapshot_lines: DataFrame
-    expeditions: DataFrame
+    def replace(self, **tables):
+        return type(self)(**{**self._tables, **tables})
 
-    def items(self):
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
 
+class Sheets(_TableSet):
+    """The six typed input sheets of one batch."""
 
-@dataclass(frozen=True)
-class Marts:
-    """The seven monthly marts."""
+    names = tuple(SHEETS)
+
+
+class Core(_TableSet):
+    """The eleven normalized tables."""
+
+    names = CORE_TABLES
 
-    sales_monthly: DataFrame
-    product_sales_monthly: DataFrame
-    inventory_health_monthly: DataFrame
-    procurement_supplier_monthly: DataFrame
-    expedition_monthly: DataFrame
-    vehicle_utilization_monthly: DataFrame
-    management_kpis_monthly: DataFrame
 
-    def items(self):
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+class Marts(_TableSet):
+    """The seven monthly marts."""
+
+    names = MART_TABLES

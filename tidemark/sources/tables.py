@@ -13,13 +13,27 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import month_of
 from tidemark.model import AVAILABILITIES, CARRIER, OWN, PICKUP, REGIONS, Core
 
-TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-               "events", "documents", "labels", "conversations", "benchmark", "pages",
-               "embeddings")
+# Declared so that opening a table reads no file footer.
+TABLE_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{directory}/{name}.parquet")
 
 
 def cents(value: Column) -> Column:
@@ -62,21 +76,17 @@ def core_from_tables(spark: SparkSession, directory: str) -> Core:
     shipped = F.date_add(picked.cast("date"), (F.col("o_orderkey") % 4 / 2).cast("int"))
     volume_price = F.floor(F.col("o_totalprice"))
 
-    sales_orders = sold.select(
-        F.col("o_orderkey").alias("order_id"), day.alias("order_date"),
-        F.col("o_custkey").alias("customer_id"),
-        pick(REGIONS, F.col("o_custkey") % len(REGIONS)).alias("region"),
-        F.lit("vybavená").alias("order_status"), shipped.alias("expedition_date"),
-    )
-    months = sold.select(month_of(day).alias("m")).agg(F.collect_set("m"))
+    def stock() -> DataFrame:
+        months = sold.select(month_of(day).alias("m")).agg(F.collect_set("m"))
+        return part.select("p_partkey", F.explode(months.scalar()).alias("d"))
+
     available = (F.col("p_partkey") * 7 + F.year("d") * 12 + F.month("d") * 13) % 101
-    stock = part.select("p_partkey", F.explode(months.scalar()).alias("d"))
     return Core(
-        suppliers=supplier.select(F.col("s_suppkey").alias("id"),
+        suppliers=lambda: supplier.select(F.col("s_suppkey").alias("id"),
                                   F.col("s_name").alias("supplier_name")),
-        customers=read("customer").select(F.col("c_custkey").alias("customer_id"),
+        customers=lambda: read("customer").select(F.col("c_custkey").alias("customer_id"),
                                           F.col("c_name").alias("customer_name")),
-        products=part.select(
+        products=lambda: part.select(
             F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"),
             F.col("p_type").alias("category"), F.lit("ks").alias("unit"),
             cents(F.col("p_retailprice") * 100).alias("purchase_price"),
@@ -87,7 +97,7 @@ def core_from_tables(spark: SparkSession, directory: str) -> Core:
             scaled(F.col("p_size") * 10, "0.001", "decimal(10,3)").alias("weight_kg"),
             scaled(F.col("p_size") * 3, "0.00001", "decimal(10,5)").alias("volume_m3"),
         ),
-        vehicles=nation.select(
+        vehicles=lambda: nation.select(
             F.col("n_nationkey").alias("vehicle_id"),
             ((F.col("n_nationkey") % 6 + 1) * 800).alias("capacity_kg"),
             scaled((F.col("n_nationkey") % 6 + 1) * 500, "0.01", "decimal(10,2)")
@@ -96,18 +106,23 @@ def core_from_tables(spark: SparkSession, directory: str) -> Core:
             scaled(F.col("n_nationkey") + 50, "0.01", "decimal(10,2)").alias("cost_per_km"),
             F.col("n_name").alias("driver"),
         ),
-        sales_orders=sales_orders,
-        sales_order_lines=lineitem.where(~returned).select(
+        sales_orders=lambda: sold.select(
+            F.col("o_orderkey").alias("order_id"), day.alias("order_date"),
+            F.col("o_custkey").alias("customer_id"),
+            pick(REGIONS, F.col("o_custkey") % len(REGIONS)).alias("region"),
+            F.lit("vybavená").alias("order_status"), shipped.alias("expedition_date"),
+        ),
+        sales_order_lines=lambda: lineitem.where(~returned).select(
             F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_number"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_quantity").cast("int").alias("quantity"),
             cents(F.col("l_extendedprice") * 100 / F.col("l_quantity")).alias("unit_price"),
         ),
-        purchase_orders=bought.select(
+        purchase_orders=lambda: bought.select(
             F.col("o_orderkey").alias("purchase_order_id"), day.alias("order_date"),
             (F.col("o_custkey") % supplier_count).alias("supplier_id"),
         ),
-        purchase_order_lines=lineitem.where(returned).select(
+        purchase_order_lines=lambda: lineitem.where(returned).select(
             F.col("l_orderkey").alias("purchase_order_id"),
             F.col("l_linenumber").alias("line_number"),
             F.col("l_shipdate").cast("date").alias("delivery_date"),
@@ -119,10 +134,10 @@ def core_from_tables(spark: SparkSession, directory: str) -> Core:
             cents(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100
                   / F.col("l_quantity")).alias("purchase_price"),
         ),
-        inventory_snapshots=sold.select(month_of(day).alias("snapshot_date")).distinct()
+        inventory_snapshots=lambda: sold.select(month_of(day).alias("snapshot_date")).distinct()
         .select(F.date_diff("snapshot_date", F.lit("1970-01-01").cast("date"))
                 .cast("bigint").alias("id"), "snapshot_date"),
-        inventory_snapshot_lines=stock.select(
+        inventory_snapshot_lines=lambda: stock().select(
             F.date_diff("d", F.lit("1970-01-01").cast("date")).cast("bigint")
             .alias("snapshot_id"),
             F.col("p_partkey").alias("product_id"),
@@ -133,7 +148,7 @@ def core_from_tables(spark: SparkSession, directory: str) -> Core:
             (F.col("p_partkey") % 10 + 5).cast("int").alias("min_stock"),
             (F.col("p_partkey") % 30 + 60).cast("int").alias("max_stock"),
         ),
-        expeditions=sold.select(
+        expeditions=lambda: sold.select(
             F.col("o_orderkey").alias("order_id"), received.alias("received_at"),
             picked.alias("picked_at"), shipped.alias("expedition_date"),
             pick((OWN, CARRIER, PICKUP), kind).alias("delivery_type"),
