@@ -143,7 +143,7 @@ def sheet_columns(sheet: str) -> list[str]:
 def staging_schema(sheet: str) -> T.StructType:
     lineage = [
         T.StructField("import_batch_id", T.StringType(), False),
-        T.StructField("source_row_number", T.IntegerType(), False),
+        T.StructField("source_row_number", T.LongType(), False),
     ]
     return T.StructType(lineage + [
         T.StructField(name, spark_type(declared), nullable)
@@ -154,7 +154,7 @@ def staging_schema(sheet: str) -> T.StructType:
 RAW_SCHEMA = T.StructType([
     T.StructField("sheet", T.StringType(), False),
     T.StructField("import_batch_id", T.StringType(), False),
-    T.StructField("source_row_number", T.IntegerType(), False),
+    T.StructField("source_row_number", T.LongType(), False),
     T.StructField("source_data", T.StringType(), False),
     T.StructField("loaded_at", T.TimestampType(), False),
 ])
@@ -163,7 +163,7 @@ ISSUE_SCHEMA = T.StructType([
     T.StructField("severity", T.StringType(), False),
     T.StructField("rule_code", T.StringType(), False),
     T.StructField("sheet_name", T.StringType()),
-    T.StructField("source_row_number", T.IntegerType()),
+    T.StructField("source_row_number", T.LongType()),
     T.StructField("business_key", T.StringType()),
     T.StructField("column_name", T.StringType()),
     T.StructField("actual_value", T.StringType()),

@@ -106,11 +106,7 @@ def register(store: Store, file_sha256: str, **details) -> tuple[str, str, bool]
 
 def load_raw(store: Store, batch_id: str, sheets: dict[str, DataFrame]) -> int:
     """Land every sheet; returns the number of raw rows."""
-    headers = {}
-    for name in SHEETS:
-        columns = [c for c in sheets[name].columns if c != "source_row_number"]
-        landing.guard_header(name, columns)
-        headers[name] = columns
+    headers = {name: _data_columns(sheets[name]) for name in SHEETS}
     store.append_event(batch_id, 1, "validating",
                        metadata={"sheet_headers": json.dumps(headers)})
     for name in SHEETS:
@@ -210,19 +206,28 @@ def import_sheets(store: Store, sheets: dict[str, DataFrame], file_sha256: str,
 
     A known content is not loaded again; an interrupted batch goes on from its last good step.
     """
+    for name in SHEETS:
+        landing.guard_header(name, _data_columns(sheets[name]))
     batch_id, status, _ = register(store, file_sha256, **details)
+    if status in ("registered", "validating"):
+        _or_failed(store, batch_id, lambda: load_raw(store, batch_id, sheets))
+        status = "raw_loaded"
+    if status == "raw_loaded":
+        load_staging(store, batch_id)
+        status = "staging_loaded"
+    if status == "staging_loaded":
+        status = _or_failed(store, batch_id, lambda: load_core(store, batch_id))
+    return batch_id, status
+
+
+def _or_failed(store: Store, batch_id: str, step):
+    """Run a step; an error ends the batch (a staging error does not: it can be repeated)."""
     try:
-        if status in ("registered", "validating"):
-            load_raw(store, batch_id, sheets)
-            status = "raw_loaded"
-        if status == "raw_loaded":
-            load_staging(store, batch_id)
-            status = "staging_loaded"
-        if status == "staging_loaded":
-            status = load_core(store, batch_id)
-    except landing.BadHeader:
-        raise
+        return step()
     except Exception as error:
         store.append_event(batch_id, 5, "failed", error_message=str(error))
         raise
-    return batch_id, status
+
+
+def _data_columns(sheet: DataFrame) -> list[str]:
+    return [c for c in sheet.columns if c != "source_row_number"]

@@ -26,7 +26,7 @@ def _check(name: str, expected: DataFrame, actual: DataFrame, null_safe: bool =
     same = F.col("expected").eqNullSafe(F.col("actual")) if null_safe else F.coalesce(
         F.col("expected") == F.col("actual"), F.lit(False))
     return left.select(
-        F.lit(code).alias("code"), F.lit(name).alias("check_name"),
+        F.lit(code).cast("string").alias("code"), F.lit(name).alias("check_name"),
         F.col("expected").cast("decimal(38,2)").alias("expected"),
         F.col("actual").cast("decimal(38,2)").alias("actual"), same.alias("valid"))
 
@@ -34,7 +34,7 @@ def _check(name: str, expected: DataFrame, actual: DataFrame, null_safe: bool =
 def _none(name: str, offending: DataFrame, code: str | None = None) -> DataFrame:
     """One row: no offending rows expected."""
     return offending.agg(F.count("*").alias("n")).select(
-        F.lit(code).alias("code"), F.lit(name).alias("check_name"),
+        F.lit(code).cast("string").alias("code"), F.lit(name).alias("check_name"),
         F.lit(0).cast("decimal(38,2)").alias("expected"),
         F.col("n").cast("decimal(38,2)").alias("actual"), (F.col("n") == 0).alias("valid"))
 

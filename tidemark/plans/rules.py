@@ -166,7 +166,7 @@ def _issue(code: str, sheet: str, key: Column, value: Column) -> Column:
     column, expected, message = _TEXTS[code, sheet]
     return F.struct(
         F.lit("ERROR").alias("severity"), F.lit(code).alias("rule_code"),
-        F.lit(sheet).alias("sheet_name"), F.col("source_row_number").cast("int")
+        F.lit(sheet).alias("sheet_name"), F.col("source_row_number").cast("bigint")
         .alias("source_row_number"),
         key.cast("string").alias("business_key"), F.lit(column).alias("column_name"),
         value.cast("string").alias("actual_value"), F.lit(expected).alias("expected_condition"),

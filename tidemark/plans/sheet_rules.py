@@ -29,7 +29,7 @@ def _finding(level: str, code: str, sheet: str, key: Column, field: str, value:
     expected = F.lit(expected) if isinstance(expected, str) else expected
     return F.struct(
         F.lit(level).alias("level"), F.lit(code).alias("code"), F.lit(sheet).alias("sheet"),
-        row.cast("int").alias(_ROW), key.cast("string").alias("key"),
+        row.cast("bigint").alias(_ROW), key.cast("string").alias("key"),
         F.lit(field).alias("field"), value.cast("string").alias("value"),
         expected.cast("string").alias("expected"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("marts",)
+FAMILIES = ("marts", "rules", "sheet_checks", "reports")
 
 
 def _merged(attribute: str) -> dict:

@@ -38,22 +38,21 @@ def read_sheet(spark: SparkSession, path: str, fmt: str = "csv",
     sheet = reader.format(fmt).load(path)
     if "source_row_number" in sheet.columns:
         return sheet
-    return _numbered(sheet)
+    return numbered_by_position(sheet) if fmt == "parquet" else _numbered(sheet)
 
 
 def _numbered(sheet: DataFrame) -> DataFrame:
-    """Number rows by their place in the file, data starting at row 2.
+    """Number rows by their place in the files (in path order), data starting at row 2.
 
     A task reads a file split in order, so rows are ranked inside their split only (no task
-    ranks more than one split); the sizes of the earlier splits give the offset.
+    ranks more than one split); one row per split, cumulated, gives the offset.
     """
     columns = sheet.columns
     placed = sheet.select(
         "*", F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_seq"))
-    earlier = Window.partitionBy("_file").orderBy("_split").rowsBetween(
-        Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("_file", "_split").agg(F.count("*").alias("_n"))
         .select("_file", "_split", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
@@ -61,12 +60,26 @@ def _numbered(sheet: DataFrame) -> DataFrame:
     position = F.row_number().over(Window.partitionBy("_file", "_split").orderBy("_seq"))
     return (
         placed.join(offsets, ["_file", "_split"])
-        .withColumn("source_row_number", (position + F.col("_o") + FIRST_DATA_ROW - 1)
-                    .cast("int"))
+        .withColumn("source_row_number", position + F.col("_o") + FIRST_DATA_ROW - 1)
         .select("source_row_number", *columns)
     )
 
 
+def numbered_by_position(sheet: DataFrame) -> DataFrame:
+    """The same for Parquet, which knows the position of a row in its file: no ranking."""
+    columns = sheet.columns
+    placed = sheet.select("*", F.col("_metadata.file_path").alias("_file"),
+                          F.col("_metadata.row_index").alias("_index"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        sheet.select(F.col("_metadata.file_path").alias("_file"))
+        .groupBy("_file").agg(F.count("*").alias("_n"))
+        .select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
+    )
+    return placed.join(offsets, "_file").select(
+        (F.col("_index") + F.col("_o") + FIRST_DATA_ROW).alias("source_row_number"), *columns)
+
+
 def json_value(field: T.StructField) -> Column:
     """Cell as it is kept in raw rows: dates as ISO text, decimals as text, the rest as is."""
     column = F.col(f"`{field.name}`")
@@ -88,7 +101,7 @@ def land_rows(sheet: DataFrame, name: str, batch_id: str) -> DataFrame:
         F.struct(*[json_value(f).alias(f.name) for f in fields]), {"ignoreNullFields": "false"})
     return sheet.where(F.coalesce(*cells).isNotNull()).select(
         F.lit(name).alias("sheet"), F.lit(batch_id).alias("import_batch_id"),
-        F.col("source_row_number").cast("int").alias("source_row_number"),
+        F.col("source_row_number").cast("bigint").alias("source_row_number"),
         payload.alias("source_data"), F.current_timestamp().alias("loaded_at"))
 
 
