@@ -48,7 +48,9 @@ def compare(spark, connection, directory: str, run, sql: str):
         return f"rows {len(left[1])} != {len(right[1])}"
     differing = [(a, b) for a, b in zip(left[1], right[1]) if a != b]
     if differing:
-        return f"{len(differing)} of {len(left[1])} rows differ, e.g.\n  {differing[0][0]}\n  {differing[0][1]}"
+        return f"DIFF {len(differing)} of {len(left[1])} rows differ, e.g.\n  {differing[0][0]}\n  {differing[0][1]}"
+    if not left[1]:
+        print("  note: no rows", flush=True)
     return None
 
 

@@ -49,30 +49,35 @@ def event(spark: SparkSession, batch_id: str, event_seq: int, status: str, **val
 
 
 def merged(maps: Column) -> Column:
-    """An array of maps merged left to right, the later value wins."""
-    return F.aggregate(maps, F.create_map().cast("map<string,string>"), F.map_concat)
+    """S08 in one row: an array of maps merged left to right, the later value wins."""
+    return F.aggregate(maps, F.create_map().cast("map<string,string>"),
+                       lambda before, later: F.map_concat(before, later))
+
+
+def merged_metadata(events: DataFrame) -> DataFrame:
+    """S08 over a log: per batch and key the value written last."""
+    entries = events.select("batch_id", "event_seq", F.explode("metadata"))
+    return (
+        entries.groupBy("batch_id", "key")
+        .agg(F.max_by("value", "event_seq").alias("value"))
+        .groupBy("batch_id").agg(F.map_from_entries(F.sort_array(
+            F.collect_list(F.struct("key", "value")))).alias("metadata"))
+    )
 
 
 def batches(events: DataFrame) -> DataFrame:
-    """Current state per batch; a batch has a handful of events."""
+    """Current state per batch: the last status, the last known value of each column."""
     def latest(column: str) -> Column:
         known = F.when(F.col(column).isNotNull(), F.col("event_seq"))
         return F.max_by(column, known).alias(column)
 
-    history = F.sort_array(F.collect_list(F.struct("event_seq", "metadata_json")))
     kept = [f.name for f in EVENT_SCHEMA.fields
             if f.name not in ("batch_id", "event_seq", "status", "at", "metadata")]
     finished = F.when(F.col("status").isin(*FINISHED), F.col("at"))
-    parse = lambda e: F.from_json(e.metadata_json, "map<string,string>")
-    return (
-        events.withColumn("metadata_json", F.to_json(F.coalesce(
-            "metadata", F.create_map().cast("map<string,string>"))))
-        .groupBy("batch_id").agg(
-            F.max_by("status", "event_seq").alias("status"), F.min("at").alias("started_at"),
-            F.max(finished).alias("finished_at"), history.alias("_h"),
-            *[latest(c) for c in kept])
-        .withColumn("metadata", merged(F.transform("_h", parse))).drop("_h")
-    )
+    state = events.groupBy("batch_id").agg(
+        F.max_by("status", "event_seq").alias("status"), F.min("at").alias("started_at"),
+        F.max(finished).alias("finished_at"), *[latest(c) for c in kept])
+    return state.join(merged_metadata(events), "batch_id", "left")
 
 
 def in_status(batch_table: DataFrame, step: str) -> DataFrame:

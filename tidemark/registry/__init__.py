@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("marts", "rules", "sheet_checks", "reports")
+FAMILIES = ("marts", "rules", "sheet_checks", "reports", "intake")
 
 
 def _merged(attribute: str) -> dict:

@@ -159,7 +159,7 @@ def _loads(code: str, field: str, column: str, places: int) -> str:
             f"{whole} % 2 <> 0) then 1 else 0 end")
     return _finding(
         "WARNING", code, "expedition", field, field,
-        f"cast(wanted as decimal(18,0)) / {10 ** places}",
+        f"cast(wanted * {'0.' + '0' * (places - 1) + '1'} as decimal(18,{places}))",
         f"""from (select e.*, {even} as wanted from (select order_id,
         sum(quantity * cast({column} * {unit} as bigint)) as total,
         bool_and({column} is not null) as ok from sales left join {_LAST_PRODUCT} p
