@@ -168,7 +168,7 @@ def _events(tables):
         "as row_count_raw",
         "case when o_orderkey % 3 = 0 then cast(floor(o_totalprice) as bigint) end "
         "as row_count_core",
-        "case when o_orderkey % 5 = 0 then o_orderkey - 100 end as error_count",
+        "case when o_orderkey % 5 = 0 then o_orderkey % 50 - 10 end as error_count",
         "map(o_orderpriority, o_orderstatus) as metadata",
         *[f"cast(null as {kind}) as {name}" for name, kind in nothing.items()])
 
@@ -180,7 +180,8 @@ _BATCHES_SQL = f"""(select cast(o_custkey as varchar) as batch_id, arg_max({_STA
       as row_count_raw,
     arg_max(cast(floor(o_totalprice) as bigint), o_orderkey) filter (where o_orderkey % 3 = 0)
       as row_count_core,
-    max(o_orderkey) filter (where o_orderkey % 5 = 0) - 100 as error_count
+    arg_max(o_orderkey % 50 - 10, o_orderkey) filter (where o_orderkey % 5 = 0)
+      as error_count
     from orders group by o_custkey)"""
 _TIME = "strftime({0}, '%Y-%m-%d %H:%M:%S') as {0}"
 

@@ -52,11 +52,12 @@ SHEET_SQL: dict[str, tuple[str, str, dict[str, str]]] = {
     "sales": ("lines", "l_returnflag <> 'R'", {
         "order_id": "'SO' || l_orderkey",
         "order_date": "cast(o_orderdate as date)",
-        "product_id": "case when l_partkey % 97 = 1 then 'X' || l_partkey "
-                      "else 'P' || l_partkey end",
-        "quantity": "cast(case when l_partkey % 79 = 1 then 0 when l_partkey % 109 = 1 then -2 "
+        "product_id": "case when l_orderkey % 43 = 1 then 'P1' when l_partkey % 97 = 1 then "
+                      "'X' || l_partkey else 'P' || l_partkey end",
+        "quantity": "cast(case when l_orderkey % 43 = 1 then 7 when l_partkey % 79 = 1 then 0 when l_partkey % 109 = 1 then -2 "
                     "else l_quantity end as int)",
-        "unit_price": f"case when l_partkey % 89 = 1 then {_money('0')} when l_partkey % 101 = 1 "
+        "unit_price": f"case when l_orderkey % 43 = 1 then {_money('500')} when l_partkey % 89 = 1 "
+                      f"then {_money('0')} when l_partkey % 101 = 1 "
                       f"then {_money('-100')} else {_money(_PRICE)} end",
         "customer_id": "'C' || o_custkey",
         "customer_name": "case when o_custkey % 40 = 1 then 'Spoločný názov' "
@@ -71,18 +72,21 @@ SHEET_SQL: dict[str, tuple[str, str, dict[str, str]]] = {
     "purchases": ("lines", "l_returnflag = 'R'", {
         "purchase_order_id": "'PO' || l_orderkey",
         "order_date": "cast(o_orderdate as date)",
-        "delivery_date": "cast(l_shipdate as date)",
+        "delivery_date": "case when l_orderkey % 43 = 1 then cast(o_orderdate as date) + 5 "
+                         "else cast(l_shipdate as date) end",
         "supplier": "case when l_partkey % 37 = 1 then "
                     + _SUPPLIER.format("l_suppkey") + " else "
                     + _SUPPLIER.format("o_custkey % suppliers") + " end",
-        "product_id": "case when l_partkey % 97 = 2 then 'X' || l_partkey "
-                      "else 'P' || l_partkey end",
-        "ordered_quantity": "cast(case when l_partkey % 79 = 1 then 0 else l_quantity end "
-                            "as int)",
-        "delivered_quantity": "cast(case when l_partkey % 43 = 1 then l_quantity + 1 "
+        "product_id": "case when l_orderkey % 43 = 1 then 'P1' when l_partkey % 97 = 2 then "
+                      "'X' || l_partkey else 'P' || l_partkey end",
+        "ordered_quantity": "cast(case when l_orderkey % 43 = 1 then 7 when l_partkey % 79 = 1 "
+                            "then 0 else l_quantity end as int)",
+        "delivered_quantity": "cast(case when l_orderkey % 43 = 1 then 7 "
+                              "when l_partkey % 43 = 1 then l_quantity + 1 "
                               "when l_partkey % 107 = 1 then -1 else floor(l_quantity * 0.9) "
                               "end as int)",
-        "purchase_price": f"case when l_partkey % 89 = 1 then {_money('0')} "
+        "purchase_price": f"case when l_orderkey % 43 = 1 then {_money('300')} "
+                          f"when l_partkey % 89 = 1 then {_money('0')} "
                           f"else {_money(_PRICE + ' * (1 - l_discount)')} end",
     }),
     "inventory": ("stock", "true", {
@@ -106,6 +110,7 @@ SHEET_SQL: dict[str, tuple[str, str, dict[str, str]]] = {
                     "when o_orderkey % 41 = 1 then 'SO' || (o_orderkey - 1) "
                     "else 'SO' || o_orderkey end",
         "received_at": "case when o_orderkey % 71 = 1 then o_orderdate - interval '1' day "
+                       "when o_orderkey % 107 = 1 then o_orderdate + interval '5' day "
                        "else o_orderdate + interval '1' minute * cast(o_orderkey % 600 as int) "
                        "end",
         "picked_at": "case when o_orderkey % 73 = 1 then o_orderdate - interval '2' day else "
@@ -120,7 +125,7 @@ SHEET_SQL: dict[str, tuple[str, str, dict[str, str]]] = {
                       "o_orderkey % 89 = 1 then null when o_orderkey % 101 = 1 then 'V99' "
                       "else 'V' || cast(floor(o_orderkey / 3) as bigint) % 25 end",
         "region": f"case when o_orderkey % 103 = 1 then 'YY' else {_REGION} end",
-        "weight_kg": "cast(cast(cast(floor(o_totalprice) as bigint) % 500000 - 100 "
+        "weight_kg": "cast(cast(cast(floor(o_totalprice) as bigint) % 500000 - 5000 "
                      "as decimal(18,0)) * 0.01 as decimal(12,2))",
         "volume_m3": "cast(cast(cast(floor(o_totalprice) as bigint) % 30000 "
                      "as decimal(18,0)) * 0.001 as decimal(12,3))",
