@@ -138,9 +138,22 @@ class _Cell:
 
     kind: Column    # str, int, float, bool, date, datetime; null for an empty cell
     text: Column    # the text of a text cell, else null
-    number: Column  # wide decimal of a finite number that fits, else null
+    digits: Column  # a number as text, else null
     double: Column  # double of a number, else null
 
+    def finer_than(self, scale: int) -> Column:
+        """More decimal places than ``scale``, trailing zeros aside.
+
+        Plain notation is read off the text; only exponents go through a decimal.
+        """
+        plain = F.regexp_replace(F.substring_index(self.digits, ".", -1), "0+$", "")
+        places = F.when(F.instr(self.digits, ".") > 0, F.length(plain)).otherwise(0)
+        wide = self.digits.try_cast(_WIDE)
+        lost = (wide == 0) & (self.double != 0)
+        exact = (F.round(wide, scale) != wide) | lost
+        return F.when(self.digits.contains("E"), F.coalesce(exact, F.lit(False))).otherwise(
+            places > scale)
+
 
 def _cell(field: T.StructField) -> _Cell:
     value, dtype = F.col(f"`{field.name}`"), field.dataType
@@ -148,7 +161,7 @@ def _cell(field: T.StructField) -> _Cell:
     if isinstance(dtype, T.VariantType):
         return _variant_cell(value)
     if isinstance(dtype, T.StringType):
-        return _Cell(F.when(value.isNotNull(), "str"), value, none.cast(_WIDE),
+        return _Cell(F.when(value.isNotNull(), "str"), value, none.cast("string"),
                      none.cast("double"))
     kind = "bool"
     if isinstance(dtype, T.IntegralType):
@@ -162,7 +175,7 @@ def _cell(field: T.StructField) -> _Cell:
     numeric = kind in ("int", "float")
     return _Cell(
         F.when(value.isNotNull(), kind), none.cast("string"),
-        value.cast("string").try_cast(_WIDE) if numeric else none.cast(_WIDE),
+        value.cast("string") if numeric else none.cast("string"),
         value.cast("double") if numeric else none.cast("double"))
 
 
@@ -179,7 +192,7 @@ def _variant_cell(value: Column) -> _Cell:
         .when(moment, "datetime").when(day, "date").when(token == "STRING", "str")
         .when(token == "BIGINT", "int").when(number, "float").when(token == "BOOLEAN", "bool")
         .otherwise(token))
-    return _Cell(kind, text, as_text.try_cast(_WIDE), as_text.try_cast("double"))
+    return _Cell(kind, text, as_text, as_text.try_cast("double"))
 
 
 def _problems(entry: ContractColumn, cell: _Cell, from_json: bool) -> list[tuple]:
@@ -210,11 +223,9 @@ def _problems(entry: ContractColumn, cell: _Cell, from_json: bool) -> list[tuple
         wrong("INVALID_INTEGER", ~((cell.kind == "int") | whole))
     elif match:
         precision, scale = int(match.group(1)), int(match.group(2))
-        lost = (cell.number == 0) & (cell.double != 0)
-        finer = (F.round(cell.number, scale) != cell.number) | lost
         wrong("INVALID_DECIMAL", ~number)
         for code, condition in (
-                ("DECIMAL_SCALE_EXCEEDED", finer),
+                ("DECIMAL_SCALE_EXCEEDED", cell.finer_than(scale)),
                 ("DECIMAL_PRECISION_EXCEEDED",
                  F.abs(cell.double) >= float(10 ** (precision - scale)))):
             text = MESSAGES[code].format(precision=precision, scale=scale)
@@ -287,13 +298,12 @@ def value_totals(rows: dict[str, DataFrame], contract: list[ContractColumn],
         width = sum(1 for c in contract if c.sheet == name)
         counted = df.agg(F.count("*").alias("n"), (F.count("*") * width).alias("v"))
         counts = counted if counts is None else counts.union(counted)
-    levels = issues.groupBy().agg(
+    levels = issues.agg(F.struct(
         F.count_if(F.col("level") == "ERROR").alias("errors"),
-        F.count_if(F.col("level") == "WARNING").alias("warnings"))
+        F.count_if(F.col("level") == "WARNING").alias("warnings")))
     return counts.agg(
         F.sum("n").alias("total_rows"), F.sum("v").alias("values_checked"),
-    ).select(
-        "total_rows", "values_checked",
-        levels.select("errors").scalar().alias("error_count"),
-        levels.select("warnings").scalar().alias("warning_count"),
+    ).select("*", levels.scalar().alias("levels")).select(
+        "total_rows", "values_checked", F.col("levels.errors").alias("error_count"),
+        F.col("levels.warnings").alias("warning_count"),
     ).withColumn("valid", F.col("error_count") == 0)

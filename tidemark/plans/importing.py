@@ -140,7 +140,7 @@ def validate(store: Store, batch_id: str) -> dict[str, int]:
     """Write the batch's issues (replacing earlier ones), count them per rule."""
     found = rules.all_issues(store.staged(batch_id), store.core())
     path = store.path("audit", "issues", f"import_batch_id={batch_id}")
-    found.write.mode("overwrite").parquet(path)
+    found.hint("rebalance").write.mode("overwrite").parquet(path)
     counts = store.spark.read.parquet(path).groupBy("rule_code").agg(
         F.count("*").alias("n")).collect()
     return {row.rule_code: row.n for row in sorted(counts)}

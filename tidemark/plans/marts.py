@@ -18,11 +18,23 @@ from tidemark.model import (
 )
 from tidemark.operators.asof import price_points, with_price_as_of
 from tidemark.operators.median import grouped_median
+from tidemark.session import written
 
-_WIDE = T.DecimalType(38, 2)
+_AMOUNT = T.DecimalType(38, 2)
 _DAYS_OF_COVER = T.DecimalType(28, 10)
 
 
+def _line_cents(quantity: str, price: str) -> Column:
+    """Quantity times a two-place price in whole cents: sums of longs stay in codegen."""
+    return F.col(quantity).cast("bigint") * (F.col(price) * 100).cast("bigint")
+
+
+def _amount(cents: str) -> Column:
+    """A sum of cents (a decimal or a long) as an exact amount."""
+    return (F.col(cents).cast("decimal(36,0)") * F.lit("0.01").cast("decimal(2,2)")
+            ).cast(_AMOUNT)
+
+
 # --- M00: as-of cost --------------------------------------------------------------------------
 
 def purchase_price_points(core: Core) -> DataFrame:
@@ -40,7 +52,7 @@ def product_days(detail: DataFrame) -> DataFrame:
     """Sales lines summed per product and day."""
     return detail.groupBy("product_id", "order_date").agg(
         F.sum("quantity").alias("units"),
-        F.sum(F.col("quantity") * F.col("unit_price")).cast(_WIDE).alias("revenue"),
+        F.sum(_line_cents("quantity", "unit_price")).alias("revenue_cents"),
         F.count("*").alias("line_count"),
     )
 
@@ -53,27 +65,30 @@ def costed_product_days(core: Core, detail: DataFrame, points: DataFrame) -> Dat
         with_price_as_of(product_days(detail), points, "order_date")
         .join(master, "product_id")
         .withColumn("has_historical_cost", historical.isNotNull())
-        .withColumn("cost", (F.col("units").cast("decimal(20,0)")
-                             * F.coalesce(historical, "purchase_price")).cast(_WIDE))
+        .withColumn("unit_cost", F.coalesce(historical, "purchase_price"))
+        .withColumn("cost_cents", _line_cents("units", "unit_cost"))
     )
 
 
 def as_of_unit_cost(core: Core) -> DataFrame:
     """M00 as a result of its own: unit cost per product and sales day."""
     days = costed_product_days(core, sales_lines(core), purchase_price_points(core))
-    return days.select(
-        "product_id", "order_date", F.coalesce("historical_price", "purchase_price")
-        .alias("unit_cost"), "has_historical_cost",
-    )
+    return days.select("product_id", "order_date", "unit_cost", "has_historical_cost")
 
 
-def _cost_sums() -> list[Column]:
+def _cost_sums(days: DataFrame, *keys: Column | str) -> DataFrame:
+    """Product days to coarser keys; amounts become decimals so that totals cannot overflow."""
     historical = F.when(F.col("has_historical_cost"), F.col("line_count")).otherwise(0)
-    return [
-        F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost"),
-        F.sum("units").alias("units"), F.sum("line_count").alias("lines"),
-        F.sum(historical).alias("historical_lines"),
-    ]
+    whole = "decimal(18,0)"
+    return (
+        days.groupBy(*keys).agg(
+            F.sum(F.col("revenue_cents").cast(whole)).alias("revenue_cents"),
+            F.sum(F.col("cost_cents").cast(whole)).alias("cost_cents"),
+            F.sum("units").alias("units"), F.sum("line_count").alias("lines"),
+            F.sum(historical).alias("historical_lines"))
+        .withColumn("revenue", _amount("revenue_cents"))
+        .withColumn("cost", _amount("cost_cents"))
+    )
 
 
 def _profit() -> Column:
@@ -86,10 +101,8 @@ def sales_monthly(core: Core, detail: DataFrame | None = None,
                   points: DataFrame | None = None) -> DataFrame:
     detail = sales_lines(core) if detail is None else detail
     points = purchase_price_points(core) if points is None else points
-    money = (
-        costed_product_days(core, detail, points)
-        .groupBy(month_of(F.col("order_date")).alias("month_start")).agg(*_cost_sums())
-    )
+    money = _cost_sums(costed_product_days(core, detail, points),
+                       month_of(F.col("order_date")).alias("month_start"))
     # An order has one customer and one date: reduce to orders, then customers, then months.
     buyers = (
         detail.select("order_id", "customer_id",
@@ -121,11 +134,8 @@ def product_sales_monthly(core: Core, detail: DataFrame | None = None,
     detail = sales_lines(core) if detail is None else detail
     points = purchase_price_points(core) if points is None else points
     keys = ["month_start", "product_id"]
-    money = (
-        costed_product_days(core, detail, points)
-        .groupBy(month_of(F.col("order_date")).alias("month_start"), "product_id")
-        .agg(*_cost_sums())
-    )
+    money = _cost_sums(costed_product_days(core, detail, points),
+                       month_of(F.col("order_date")).alias("month_start"), "product_id")
     buyers = (
         detail.select("order_id", "product_id", "customer_id",
                       month_of(F.col("order_date")).alias("month_start")).distinct()
@@ -197,7 +207,8 @@ def inventory_detail(core: Core, detail: DataFrame | None = None,
 
 def inventory_health_monthly(core: Core, detail: DataFrame | None = None,
                              points: DataFrame | None = None) -> DataFrame:
-    lines = inventory_detail(core, detail, points)
+    # Sums and median both read the detail: written once instead of joined twice.
+    lines = written(inventory_detail(core, detail, points), "inventory_detail")
     available, low, high = F.col("stock_available"), F.col("min_stock"), F.col("max_stock")
     sold = F.col("units_sold")
     sums = lines.groupBy("month_start").agg(
@@ -253,18 +264,17 @@ def procurement_supplier_monthly(core: Core) -> DataFrame:
         F.count("*").alias("lines"),
         F.sum("ordered_quantity").alias("ordered"),
         F.sum("delivered_quantity").alias("delivered"),
-        F.sum(F.col("ordered_quantity") * F.col("purchase_price")).cast(_WIDE)
-        .alias("ordered_value"),
-        F.sum(F.col("delivered_quantity") * F.col("purchase_price")).cast(_WIDE)
-        .alias("delivered_value"),
+        F.sum(_line_cents("ordered_quantity", "purchase_price")).alias("ordered_cents"),
+        F.sum(_line_cents("delivered_quantity", "purchase_price")).alias("delivered_cents"),
         F.sum(lead).alias("lead"), F.sum("lead_time_days").alias("standard_lead"),
         count_true(lead <= F.col("lead_time_days")).alias("in_time"),
         count_true(lead > F.col("lead_time_days")).alias("late"),
     )
-    sums = ("lines", "ordered", "delivered", "ordered_value", "delivered_value", "lead",
-            "standard_lead", "in_time", "late")
+    sums = ("lines", "ordered", "delivered", "lead", "standard_lead", "in_time", "late")
+    cents = ("ordered_cents", "delivered_cents")
     totals = per_order.groupBy("month_start", "supplier_id").agg(
-        F.count("*").alias("orders"), *[F.sum(c).alias(c) for c in sums])
+        F.count("*").alias("orders"), *[F.sum(c).alias(c) for c in sums],
+        *[F.sum(F.col(c).cast("decimal(18,0)")).alias(c) for c in cents])
     names = core.suppliers.select(F.col("id").alias("supplier_id"), "supplier_name")
     lines_count = F.col("lines")
     return totals.join(names, "supplier_id").select(
@@ -274,8 +284,8 @@ def procurement_supplier_monthly(core: Core) -> DataFrame:
         F.col("ordered").alias("ordered_units"),
         F.col("delivered").alias("delivered_units"),
         (F.col("ordered") - F.col("delivered")).alias("undelivered_units"),
-        rounded(F.col("ordered_value"), MONEY).alias("ordered_value"),
-        rounded(F.col("delivered_value"), MONEY).alias("delivered_value"),
+        rounded(_amount("ordered_cents"), MONEY).alias("ordered_value"),
+        rounded(_amount("delivered_cents"), MONEY).alias("delivered_value"),
         percent(F.col("delivered"), F.col("ordered"), PERCENT).alias("fill_rate_pct"),
         ratio(F.col("lead"), lines_count, DAYS).alias("average_actual_lead_time_days"),
         ratio(F.col("standard_lead"), lines_count, DAYS)
@@ -298,6 +308,8 @@ def expedition_monthly(core: Core) -> DataFrame:
             F.date_diff("expedition_date", "order_date").alias("days"),
         )
     )
+    # Sums and median both read the joined shipments: written once instead of joined twice.
+    shipments = written(shipments, "shipments")
     kind = F.col("delivery_type")
     sums = shipments.groupBy("month_start").agg(
         F.count("*").alias("expedition_count"),
@@ -448,7 +460,7 @@ def management_kpis_monthly(sales: DataFrame, inventory: DataFrame, procurement:
 
 
 def all_marts(core: Core) -> Marts:
-    """All seven marts as one lazy set of plans."""
+    """The plans of all seven marts."""
     detail, points = sales_lines(core), purchase_price_points(core)
     sales = sales_monthly(core, detail, points)
     inventory = inventory_health_monthly(core, detail, points)

@@ -72,9 +72,9 @@ def inventory(sheets: Sheets) -> DataFrame:
     """P04."""
     df = sheets.inventory
     keys = key_profile(df, ["snapshot_date", "product_id"])
-    sizes = _key_counts(df, ["snapshot_date"]).agg(
+    sizes = _key_counts(df, ["snapshot_date"]).agg(F.struct(
         F.count("*").alias("snapshot_count"), F.min("n").alias("rows_per_snapshot_min"),
-        F.max("n").alias("rows_per_snapshot_max"))
+        F.max("n").alias("rows_per_snapshot_max")))
     return df.agg(
         F.count("*").alias("row_count"), F.min("snapshot_date").alias("date_min"),
         F.max("snapshot_date").alias("date_max"),
@@ -85,7 +85,7 @@ def inventory(sheets: Sheets) -> DataFrame:
     ).select(
         "*", keys.select("duplicates").scalar().alias("key_duplicates"),
         _orphans(df, sheets.products, "product_id").alias("product_fk_missing"),
-        *[sizes.select(c).scalar().alias(c) for c in sizes.columns])
+        sizes.scalar().alias("sizes")).select("*", "sizes.*").drop("sizes")
 
 
 def purchases(sheets: Sheets) -> DataFrame:
@@ -120,18 +120,19 @@ def summary(sheets: Sheets) -> DataFrame:
         return df.where(F.col(column).isNotNull()).select(column).distinct().agg(
             F.count("*")).scalar()
 
-    dates = sheets.purchases.agg(F.min("order_date").alias("a"), F.max("order_date").alias("b"))
+    dates = sheets.purchases.agg(F.struct(F.min("order_date").alias("purchase_date_min"),
+                                          F.max("order_date").alias("purchase_date_max")))
     return sheets.sales.agg(
         F.min("order_date").alias("sales_date_min"), F.max("order_date").alias("sales_date_max"),
     ).select(
-        "*", dates.select("a").scalar().alias("purchase_date_min"),
-        dates.select("b").scalar().alias("purchase_date_max"),
+        "*", dates.scalar().alias("dates"),
         _distinct(sheets.products, "product_id").alias("product_count"),
         _distinct(sheets.sales, "order_id").alias("sales_order_count"),
         _distinct(sheets.purchases, "purchase_order_id").alias("purchase_order_count"),
         present(sheets.inventory, "snapshot_date").alias("inventory_snapshot_count"),
         _distinct(sheets.expedition, "order_id").alias("expedition_order_count"),
-        _distinct(sheets.vehicles, "vehicle_id").alias("vehicle_count"))
+        _distinct(sheets.vehicles, "vehicle_id").alias("vehicle_count"),
+    ).select("*", "dates.*").drop("dates")
 
 
 def preview(sheet: DataFrame, rows: int = 3, columns: int = 20,

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,35 +86,35 @@ def _log(spark: SparkSession, root: str, run_id: str, seq: int, status: str, **v
 def write_marts(core: Core, path: str) -> Marts:
     """Compute and write the seven marts; the management mart reads the written ones.
 
-    Sales lines joined to their headers feed three marts and the price points two, so both are
-    written once in the shared folder instead of being joined again per mart.
+    Sales lines joined to their headers feed three marts and the price points three, so both
+    are written once in the shared folder instead of being joined again per mart.  The six
+    fact marts do not depend on each other and run side by side.
     """
     spark = core.sales_orders.sparkSession
     detail = written(build.sales_lines(core), "sales_lines")
     points = written(build.purchase_price_points(core), "price_points")
+    plans = {
+        "inventory_health_monthly": lambda: build.inventory_health_monthly(core, detail, points),
+        "product_sales_monthly": lambda: build.product_sales_monthly(core, detail, points),
+        "sales_monthly": lambda: build.sales_monthly(core, detail, points),
+        "procurement_supplier_monthly": lambda: build.procurement_supplier_monthly(core),
+        "expedition_monthly": lambda: build.expedition_monthly(core),
+        "vehicle_utilization_monthly": lambda: build.vehicle_utilization_monthly(core),
+    }
 
-    def store(name: str, df: DataFrame) -> DataFrame:
+    def store(name: str, plan) -> tuple[str, DataFrame]:
+        df = plan()
         df.write.parquet(f"{path}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
-
-    done = {
-        "sales_monthly": store("sales_monthly", build.sales_monthly(core, detail, points)),
-        "product_sales_monthly": store(
-            "product_sales_monthly", build.product_sales_monthly(core, detail, points)),
-        "inventory_health_monthly": store(
-            "inventory_health_monthly", build.inventory_health_monthly(core, detail, points)),
-        "procurement_supplier_monthly": store(
-            "procurement_supplier_monthly", build.procurement_supplier_monthly(core)),
-        "expedition_monthly": store("expedition_monthly", build.expedition_monthly(core)),
-        "vehicle_utilization_monthly": store(
-            "vehicle_utilization_monthly", build.vehicle_utilization_monthly(core)),
-    }
-    done["management_kpis_monthly"] = store(
-        "management_kpis_monthly", build.management_kpis_monthly(
-            done["sales_monthly"], done["inventory_health_monthly"],
-            done["procurement_supplier_monthly"], done["expedition_monthly"],
-            done["vehicle_utilization_monthly"]))
-    return Marts(**done)
+        return name, spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        done = dict(pool.map(inheritable_thread_target(spark)(lambda item: store(*item)),
+                             plans.items()))
+    name, management = store("management_kpis_monthly", lambda: build.management_kpis_monthly(
+        done["sales_monthly"], done["inventory_health_monthly"],
+        done["procurement_supplier_monthly"], done["expedition_monthly"],
+        done["vehicle_utilization_monthly"]))
+    return Marts(**done, **{name: management})
 
 
 def refresh(spark: SparkSession, core: Core, root: str) -> str:
