@@ -60,3 +60,25 @@ def sheets(spark, changes=(), extra=None, batch="b1"):
 def input_sheets(spark, changes=(), extra=None):
     """The same as input: no batch, row number carried."""
     return {n: df.drop("import_batch_id") for n, df in sheets(spark, changes, extra).items()}
+
+
+NAMED = {"product_id", "order_id", "customer_id", "customer_name", "vehicle_id",
+         "purchase_order_id", "supplier"}
+
+
+def side_by_side(spark, cases):
+    """Many cases in one batch: the names of case i start with ``<i>/``, its rows at 1000 i."""
+    frames = {}
+    for name in ROWS:
+        schema = staging_schema(name)
+        for field in schema.fields:
+            field.nullable = True
+        columns = [c for c, _, _ in SHEETS[name]]
+        data = []
+        for i, (changes, extra) in enumerate(cases):
+            for r, row in enumerate(rows(changes, extra)[name]):
+                cells = [f"{i}/{v}" if c in NAMED and v is not None else v
+                         for c, v in zip(columns, row)]
+                data.append(tuple(["b1", i * 1000 + r + 2, *cells]))
+        frames[name] = spark.createDataFrame(data, schema)
+    return Sheets(**frames)
