@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.model import REQUIRED_WORDS, SHEETS
+from tidemark.operators.findings import explode_where
 
 # --- fixed values: codes, messages, limits -------------------------------------------------------
 DECIMAL_TYPE = r"^decimal\((\d+),(\d+)\)$"
@@ -199,7 +200,6 @@ def _problems(entry: ContractColumn, cell: _Cell, from_json: bool) -> list[tuple
     """(level, code, condition, message) of one contract column."""
     blank = cell.kind.isNull() | F.coalesce(cell.text.rlike(_BLANK), F.lit(False))
     filled = ~blank
-    typed = F.concat  # message with the kind found
     checks = [
         ("ERROR", "FORMULA_NOT_ALLOWED", filled & cell.text.startswith("=")),
         ("WARNING", "TEXT_SURROUNDING_WHITESPACE", filled & cell.text.rlike(_PADDED)),
@@ -212,7 +212,7 @@ def _problems(entry: ContractColumn, cell: _Cell, from_json: bool) -> list[tuple
 
     def wrong(code: str, condition: Column):
         out.append(("ERROR", code, filled & condition,
-                    typed(F.lit(MESSAGES[code]), cell.kind)))
+                    F.concat(F.lit(MESSAGES[code]), cell.kind)))
 
     match = re.match(DECIMAL_TYPE, entry.declared)
     if entry.declared == "text":
@@ -254,11 +254,11 @@ def value_issues(sheet: DataFrame, name: str, contract: list[ContractColumn],
         field = fields[entry.column]
         from_json = isinstance(field.dataType, T.VariantType)
         for level, code, condition, message in _problems(entry, _cell(field), from_json):
-            found.append(F.when(condition, F.struct(
+            found.append((condition, F.struct(
                 F.lit(level).alias("level"), F.lit(code).alias("code"),
                 F.lit(name).alias("sheet"), F.col(row).alias("source_row_number"),
                 F.lit(entry.column).alias("column"), message.alias("message"))))
-    return sheet.select(F.explode(F.array_compact(F.array(*found))).alias("i")).select("i.*")
+    return explode_where(sheet, found)
 
 
 def variant_sheet(raw: DataFrame, sheet: str, columns: list[str]) -> DataFrame:

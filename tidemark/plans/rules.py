@@ -1,7 +1,7 @@
 """Business rules on a staged batch: every violation is one issue row.
 
-Rules that look at one row are evaluated together: one scan per sheet, one array of possible
-issues per row, exploded where not empty.  Rules across rows or sheets first reduce the other
+Rules that look at one row are evaluated together: one scan per sheet, one predicate, and issue
+rows only for the rows it keeps.  Rules across rows or sheets first reduce the other
 side to one row per key.
 """
 
@@ -16,6 +16,7 @@ from tidemark.model import (
     AVAILABILITIES, DELIVERY_TYPES, ISSUE_SCHEMA, ORDER_STATUSES, OWN, REGIONS, Core, Sheets,
 )
 from tidemark.operators.duplicates import variants
+from tidemark.operators.findings import explode_where
 
 KEY = {
     "products": "product_id", "sales": "order_id", "inventory": "product_id",
@@ -188,12 +189,8 @@ def row_rule_issues(sheets: Sheets, sheet: str, codes: set[str] | None = None) -
         if of != sheet or (codes is not None and code not in codes):
             continue
         shown = F.expr(value if value is not None else _TEXTS[code, sheet][0])
-        found.append(F.when(F.expr(violation), _issue(code, sheet, F.col(KEY[sheet]), shown)))
-    return (
-        getattr(sheets, sheet)
-        .select(F.explode(F.array_compact(F.array(*found))).alias("i"))
-        .select(*[F.col(f"i.{name}") for name in ISSUE_SCHEMA.names])
-    )
+        found.append((F.expr(violation), _issue(code, sheet, F.col(KEY[sheet]), shown)))
+    return explode_where(getattr(sheets, sheet), found)
 
 
 # --- rules across rows and sheets -----------------------------------------------------------------

@@ -17,6 +17,7 @@ from tidemark.model import (
     UNITS, Sheets, sheet_columns,
 )
 from tidemark.operators.duplicates import repeated_rows
+from tidemark.operators.findings import explode_where
 
 FIELDS = ("level", "code", "sheet", "source_row_number", "key", "field", "value", "expected")
 _ROW = "source_row_number"
@@ -38,11 +39,6 @@ def _select(rows: DataFrame, finding: Column) -> DataFrame:
     return rows.select(finding.alias("f")).select(*[F.col(f"f.{name}") for name in FIELDS])
 
 
-def _exploded(rows: DataFrame, findings: list[Column]) -> DataFrame:
-    return rows.select(F.explode(F.array_compact(F.array(*findings))).alias("f")).select(
-        *[F.col(f"f.{name}") for name in FIELDS])
-
-
 def _inventory_key() -> Column:
     return F.concat_ws("|", F.col("snapshot_date").cast("string"), "product_id")
 
@@ -120,7 +116,7 @@ def row_findings(sheets: Sheets, sheet: str, codes: set[str] | None = None) -> D
 
     def add(code: str, level: str, condition: Column, field: str, expected: Column | str):
         if codes is None or code in codes:
-            found.append(F.when(condition, _finding(
+            found.append((condition, _finding(
                 level, code, sheet, key, field, F.col(field), expected)))
 
     for field in POSITIVE.get(sheet, ()):
@@ -137,7 +133,7 @@ def row_findings(sheets: Sheets, sheet: str, codes: set[str] | None = None) -> D
         add(code, level, ~inside, field, ", ".join(allowed))
     for code, level, violation, field, limit in COMPARISONS.get(sheet, ()):
         add(code, level, F.expr(violation), field, F.expr(limit))
-    return _exploded(getattr(sheets, sheet), found)
+    return explode_where(getattr(sheets, sheet), found)
 
 
 # --- duplicates -----------------------------------------------------------------------------------
@@ -213,9 +209,9 @@ def header_differences(sheets: Sheets, sheet: str) -> DataFrame:
         "purchases": ("BIZ-E051", "purchase_order_id", _PURCHASE_HEADER)}[sheet]
     df = getattr(sheets, sheet).select(_ROW, key, *columns)
     joined = df.join(first_lines(df, key, columns), key)
-    return _exploded(joined, [
-        F.when(~F.col(c).eqNullSafe(F.col(f"first_{c}")),
-               _finding("ERROR", code, sheet, F.col(key), c, F.col(c), F.col(f"first_{c}")))
+    return explode_where(joined, [
+        (~F.col(c).eqNullSafe(F.col(f"first_{c}")),
+         _finding("ERROR", code, sheet, F.col(key), c, F.col(c), F.col(f"first_{c}")))
         for c in columns])
 
 
@@ -300,11 +296,11 @@ def shipment_differences(sheets: Sheets) -> DataFrame:
         return ~F.col(column).eqNullSafe(F.col(f"first_{column}"))
 
     early = F.col("received_at").cast("date") < F.col("first_order_date")
-    return _exploded(orders_and_shipments(sheets), [
-        F.when(early, finding("BIZ-E043", "received_at", "first_order_date")),
-        F.when(differs("expedition_date"),
-               finding("BIZ-E080", "expedition_date", "first_expedition_date")),
-        F.when(differs("region"), finding("BIZ-E081", "region", "first_region")),
+    return explode_where(orders_and_shipments(sheets), [
+        (early, finding("BIZ-E043", "received_at", "first_order_date")),
+        (differs("expedition_date"),
+         finding("BIZ-E080", "expedition_date", "first_expedition_date")),
+        (differs("region"), finding("BIZ-E081", "region", "first_region")),
     ])
 
 
@@ -325,12 +321,12 @@ def load_differences(sheets: Sheets) -> DataFrame:
         F.sum(F.col("quantity") * F.col("own_volume_m3")).alias("v"))
     both = sums.where("ok").join(_first_shipments(sheets), "order_id")
 
-    def finding(code: str, field: str, computed: str, places: int) -> Column:
+    def finding(code: str, field: str, computed: str, places: int) -> tuple[Column, Column]:
         wanted = F.bround(computed, places)
-        return F.when(F.bround(field, places) != wanted, _finding(
-            "WARNING", code, "expedition", F.col("order_id"), field, F.col(field), wanted))
+        return F.bround(field, places) != wanted, _finding(
+            "WARNING", code, "expedition", F.col("order_id"), field, F.col(field), wanted)
 
-    return _exploded(both, [finding("BIZ-W018", "weight_kg", "w", 2),
+    return explode_where(both, [finding("BIZ-W018", "weight_kg", "w", 2),
                             finding("BIZ-W019", "volume_m3", "v", 3)])
 
 
@@ -349,12 +345,12 @@ def purchase_warnings(sheets: Sheets) -> DataFrame:
     key = F.col("purchase_order_id")
     other = ~F.col("supplier").eqNullSafe(F.col("own_supplier"))
     minimum = F.nullif(F.col("own_minimum_order_quantity"), F.lit(0))
-    return _exploded(rows, [
-        F.when(other, _finding("WARNING", "BIZ-W008", "purchases", key, "supplier",
-                               F.col("supplier"), F.col("own_supplier"))),
-        F.when(F.col("ordered_quantity") % minimum != 0,
-               _finding("WARNING", "BIZ-W009", "purchases", key, "ordered_quantity",
-                        F.col("ordered_quantity"), minimum)),
+    return explode_where(rows, [
+        (other, _finding("WARNING", "BIZ-W008", "purchases", key, "supplier",
+                         F.col("supplier"), F.col("own_supplier"))),
+        (F.col("ordered_quantity") % minimum != 0,
+         _finding("WARNING", "BIZ-W009", "purchases", key, "ordered_quantity",
+                  F.col("ordered_quantity"), minimum)),
     ])
 
 
@@ -363,12 +359,11 @@ def overload_warnings(sheets: Sheets) -> DataFrame:
     fleet = last_rows(sheets.vehicles, "vehicle_id", ("capacity_kg", "capacity_m3"))
     own = sheets.expedition.where(F.col("delivery_type") == OWN).join(fleet, "vehicle_id")
 
-    def finding(code: str, field: str, limit: str) -> Column:
-        return F.when(F.col(field) > F.col(limit), _finding(
-            "WARNING", code, "expedition", F.col("order_id"), field, F.col(field),
-            F.col(limit)))
+    def finding(code: str, field: str, limit: str) -> tuple[Column, Column]:
+        return F.col(field) > F.col(limit), _finding(
+            "WARNING", code, "expedition", F.col("order_id"), field, F.col(field), F.col(limit))
 
-    return _exploded(own, [finding("BIZ-W016", "weight_kg", "own_capacity_kg"),
+    return explode_where(own, [finding("BIZ-W016", "weight_kg", "own_capacity_kg"),
                            finding("BIZ-W017", "volume_m3", "own_capacity_m3")])
 
 
