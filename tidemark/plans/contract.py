@@ -36,8 +36,9 @@ MESSAGES = {
 VALUE_EXAMPLES = 10
 BUSINESS_EXAMPLES = 20
 # -------------------------------------------------------------------------------------------------
-_BLANK = r"(?U)^\s*\z"
-_PADDED = r"(?U)^\s|\s\z"
+# white space at the ends of a text
+_SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+           + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000")
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ].*)?$"
 _ISO_MOMENT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
 _WIDE = "decimal(38,18)"
@@ -139,21 +140,24 @@ class _Cell:
 
     kind: Column    # str, int, float, bool, date, datetime; null for an empty cell
     text: Column    # the text of a text cell, else null
-    digits: Column  # a number as text, else null
+    digits: Column  # a number in its shortest notation as text, else null
     double: Column  # double of a number, else null
+    decimal: Column | None = None   # the cell itself where its column is a decimal
 
     def finer_than(self, scale: int) -> Column:
         """More decimal places than ``scale``, trailing zeros aside.
 
-        Plain notation is read off the text; only exponents go through a decimal.
+        The shortest notation has no trailing zeros but ``.0``, so places are read off the
+        text; only exponents go through a wide decimal.
         """
-        plain = F.regexp_replace(F.substring_index(self.digits, ".", -1), "0+$", "")
-        places = F.when(F.instr(self.digits, ".") > 0, F.length(plain)).otherwise(0)
+        if self.decimal is not None:
+            return F.round(self.decimal, scale) != self.decimal
+        fraction = F.substring_index(self.digits, ".", -1)
+        plain = (F.instr(self.digits, ".") > 0) & (fraction != "0") & (
+            F.length(fraction) > scale)
         wide = self.digits.try_cast(_WIDE)
-        lost = (wide == 0) & (self.double != 0)
-        exact = (F.round(wide, scale) != wide) | lost
-        return F.when(self.digits.contains("E"), F.coalesce(exact, F.lit(False))).otherwise(
-            places > scale)
+        exact = (F.round(wide, scale) != wide) | ((wide == 0) & (self.double != 0))
+        return F.when(self.digits.contains("E"), F.coalesce(exact, F.lit(False))).otherwise(plain)
 
 
 def _cell(field: T.StructField) -> _Cell:
@@ -177,7 +181,8 @@ def _cell(field: T.StructField) -> _Cell:
     return _Cell(
         F.when(value.isNotNull(), kind), none.cast("string"),
         value.cast("string") if numeric else none.cast("string"),
-        value.cast("double") if numeric else none.cast("double"))
+        value.cast("double") if numeric else none.cast("double"),
+        value if isinstance(dtype, T.DecimalType) else None)
 
 
 def _variant_cell(value: Column) -> _Cell:
@@ -196,14 +201,20 @@ def _variant_cell(value: Column) -> _Cell:
     return _Cell(kind, text, as_text, as_text.try_cast("double"))
 
 
-def _problems(entry: ContractColumn, cell: _Cell, from_json: bool) -> list[tuple]:
+def _problems(entry: ContractColumn, cell: _Cell, holds_text: bool,
+              from_json: bool) -> list[tuple]:
     """(level, code, condition, message) of one contract column."""
-    blank = cell.kind.isNull() | F.coalesce(cell.text.rlike(_BLANK), F.lit(False))
+    stripped = F.btrim(cell.text, F.lit(_SPACES))
+    blank = cell.kind.isNull()
+    if holds_text:
+        blank = blank | F.coalesce(stripped == "", F.lit(False))
     filled = ~blank
-    checks = [
-        ("ERROR", "FORMULA_NOT_ALLOWED", filled & cell.text.startswith("=")),
-        ("WARNING", "TEXT_SURROUNDING_WHITESPACE", filled & cell.text.rlike(_PADDED)),
-    ]
+    checks = []
+    if holds_text:      # a typed number or date cannot be a formula or padded
+        checks += [
+            ("ERROR", "FORMULA_NOT_ALLOWED", filled & cell.text.startswith("=")),
+            ("WARNING", "TEXT_SURROUNDING_WHITESPACE", filled & (stripped != cell.text)),
+        ]
     if entry.required:
         checks.insert(0, ("ERROR", "REQUIRED_VALUE_MISSING", blank))
     finite = ~(F.isnan(cell.double) | (F.abs(cell.double) == float("inf")))
@@ -253,7 +264,9 @@ def value_issues(sheet: DataFrame, name: str, contract: list[ContractColumn],
             continue
         field = fields[entry.column]
         from_json = isinstance(field.dataType, T.VariantType)
-        for level, code, condition, message in _problems(entry, _cell(field), from_json):
+        holds_text = from_json or isinstance(field.dataType, T.StringType)
+        for level, code, condition, message in _problems(entry, _cell(field), holds_text,
+                                                         from_json):
             found.append((condition, F.struct(
                 F.lit(level).alias("level"), F.lit(code).alias("code"),
                 F.lit(name).alias("sheet"), F.col(row).alias("source_row_number"),
