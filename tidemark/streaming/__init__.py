@@ -1,0 +1 @@
+"""No streaming jobs: imports are batches and marts are full refreshes."""
