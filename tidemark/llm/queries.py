@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html, packing, quality, sharding, tokens
+from tidemark.llm import decontaminate, html, lm_score, neardup, packing, quality, sharding, tokens
 from tidemark.llm.common import release, table, tuned
 
 
@@ -33,12 +33,23 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(tuned(spark), sf_dir, "pages"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    docs = table(tuned(spark), sf_dir, "documents")
+    return neardup.near_duplicates(docs, columns=["doc_id"])
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     tuned(spark)
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of the training documents."""
+    return lm_score.score_documents(table(tuned(spark), sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document."""
     docs = table(tuned(spark), sf_dir, "documents")
@@ -46,5 +57,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_sharding, op4_packing, op5_html_text, op7_decontamination, op10_token_counts)}
+    op1_quality_rules, op3_sharding, op4_packing, op5_html_text, op6_near_duplicates, op7_decontamination,
+    op8_lm_scores, op10_token_counts)}
 ORACLE: dict[str, str] = {}
