@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html, lm_score, neardup, packing, quality, sharding, tokens
+from tidemark.llm import decontaminate, html, lm_score, neardup, packing, pii, quality, sharding, tokens
 from tidemark.llm.common import release, table, tuned
 
 
@@ -50,6 +50,12 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(tuned(spark), sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = table(tuned(spark), sf_dir, "documents")
+    return pii.find_personal_data(docs, columns=["doc_id"])
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document."""
     docs = table(tuned(spark), sf_dir, "documents")
@@ -58,5 +64,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op3_sharding, op4_packing, op5_html_text, op6_near_duplicates, op7_decontamination,
-    op8_lm_scores, op10_token_counts)}
+    op8_lm_scores, op9_personal_data, op10_token_counts)}
 ORACLE: dict[str, str] = {}
