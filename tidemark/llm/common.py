@@ -54,13 +54,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables written by ``saved``, but for the ``keep`` oldest."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_FOLDERS) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
-        path.getFileSystem(conf).delete(path, True)
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables written by ``saved`` so far; for when all results built on them are written."""
+    while _FOLDERS:
+        delete(spark, _FOLDERS.pop())
 
 
 def broadcast(spark: SparkSession, value: object) -> Broadcast:

@@ -249,7 +249,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     rows = without(docs, ["n_removed_words"]).select(
         F.struct(*[quoted(c) for c in rest.columns]).alias("row"), quoted(text).cast("string").cast("binary").alias("body"))
     done = rows.mapInArrow(work, f"row {rows.schema['row'].dataType.simpleString()}, body binary, removed long")
-    kept = done.where("removed >= 0").select("row.*", F.decode("body", F.lit("UTF-8")).alias(text),
+    kept = done.where("removed >= 0").select("row.*", F.decode("body", "UTF-8").alias(text),
                                              F.col("removed").alias("n_removed_words"))
     names = [c for c in docs.columns if c.lower() != "n_removed_words"]
     return kept.select(*[quoted(c) for c in names], "n_removed_words")

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html, lm_score, neardup, packing, pii, quality, sharding, tokens
-from tidemark.llm.common import release, table, tuned
+from tidemark.llm import decontaminate, html, licenses, lm_score, neardup, packing, pii, quality, sharding, tokens
+from tidemark.llm.common import table, tuned
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, columns=["doc_id", "lang"])
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or inherited.
+
+    A document is the file source/lang/block/id, 64 ids to a block.  One that opens with a licence
+    line is a licence file: of its block, or of source/lang where it has fewer than 100 words.
+    """
+    docs = table(tuned(spark), sf_dir, "documents")
+    first = F.split_part(F.ltrim("text"), F.lit("\n"), F.lit(1))
+    opens = F.coalesce(first.rlike(licenses.CUE), F.lit(False))
+    short = F.size(F.split(F.trim("text"), r"\s+")) < 100
+    home = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")))
+    block = F.concat_ws("/", home, F.expr("doc_id div 64").cast("string"))
+    path = (F.when(opens & short, F.concat(home, F.lit("/LICENSE."), F.col("doc_id")))
+            .when(opens, F.concat(block, F.lit("/LICENSE."), F.col("doc_id"))).otherwise(F.concat(block, F.lit("/"), F.col("doc_id"))))
+    return licenses.scan_licenses(docs.withColumn("path", path), columns=["doc_id", "path"])
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal bytes."""
     docs = table(tuned(spark), sf_dir, "documents")
@@ -63,6 +80,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_sharding, op4_packing, op5_html_text, op6_near_duplicates, op7_decontamination,
+    op1_quality_rules, op2_license_scan, op3_sharding, op4_packing, op5_html_text, op6_near_duplicates, op7_decontamination,
     op8_lm_scores, op9_personal_data, op10_token_counts)}
 ORACLE: dict[str, str] = {}
