@@ -19,17 +19,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of every document, its own or inherited.
 
-    A document is the file source/lang/block/id, 64 ids to a block.  One that opens with a licence
-    line is a licence file: of its block, or of source/lang where it has fewer than 100 words.
+    A document is the file source/lang/block/id, 64 ids to a block.  One that opens or closes with a
+    licence line is a licence file: of source/lang below 100 words, of its block below 400.
     """
     docs = table(tuned(spark), sf_dir, "documents")
-    first = F.split_part(F.ltrim("text"), F.lit("\n"), F.lit(1))
-    opens = F.coalesce(first.rlike(licenses.CUE), F.lit(False))
-    short = F.size(F.split(F.trim("text"), r"\s+")) < 100
+    lines = F.split(F.trim("text"), "\n")
+    noted = F.coalesce(lines[0].rlike(licenses.CUE) | F.element_at(lines, -1).rlike(licenses.CUE), F.lit(False))
+    words = F.size(F.split(F.trim("text"), r"\s+"))
     home = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")))
     block = F.concat_ws("/", home, F.expr("doc_id div 64").cast("string"))
-    path = (F.when(opens & short, F.concat(home, F.lit("/LICENSE."), F.col("doc_id")))
-            .when(opens, F.concat(block, F.lit("/LICENSE."), F.col("doc_id"))).otherwise(F.concat(block, F.lit("/"), F.col("doc_id"))))
+    path = (F.when(noted & (words < 100), F.concat(home, F.lit("/LICENSE."), F.col("doc_id")))
+            .when(noted & (words < 400), F.concat(block, F.lit("/LICENSE."), F.col("doc_id")))
+            .otherwise(F.concat(block, F.lit("/"), F.col("doc_id"))))
     return licenses.scan_licenses(docs.withColumn("path", path), columns=["doc_id", "path"])
 
 
