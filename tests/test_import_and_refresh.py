@@ -87,6 +87,59 @@ def test_bad_input_fails_before_a_batch_exists(spark, store, first):
     assert store.batches().where("file_sha256 = '" + "d" * 64 + "'").count() == 0
 
 
+CORRUPT = {
+    "unique product": [("products", ["P1", "Skrutka", "A", "ks", D("5.00"), D("7.00"), "Dodávateľ A", 5, 10, D("1.500"), D("0.01000")])],
+    "unique expedition": [("expedition", ["S1", None, None, date(2024, 1, 3), "vlastná", "V1", "BA", D("4.00"), D("0.028")])],
+    "missing quantity": [("sales", ["S9", date(2024, 1, 1), "P1", None, D("6.00"), "C1", "Zákazník 1", "BA", "vybavená", date(2024, 1, 3)])],
+    "missing order": [("sales", [None, date(2024, 1, 1), "P1", 2, D("6.00"), "C1", "Zákazník 1", "BA", "vybavená", date(2024, 1, 3)])],
+}
+
+
+@pytest.mark.parametrize("case", CORRUPT)
+def test_corrupt_batches_are_refused_and_leave_core(spark, store, first, case):
+    before = _counts(store.core())
+    sheets = input_sheets(spark, [], CORRUPT[case])
+    sha = f"{sorted(CORRUPT).index(case)}" * 64
+    with pytest.raises(importing.InputRejected):
+        importing.import_sheets(store, sheets, sha)
+    assert store.batches().where(f"file_sha256 = '{sha}'").count() == 0     # nothing registered
+    with pytest.raises(importing.ConstraintBroken, match="unique|not null"):
+        importing.import_sheets(store, sheets, sha, gate=False)
+    assert store.batches().where(f"file_sha256 = '{sha}'").first().status == "raw_loaded"
+    assert _counts(store.core()) == before
+
+
+def test_core_constraints(spark, store, first):
+    core = store.core()
+    assert importing.core_violations(core, core).count() == 0
+    twice = core.replace(expeditions=core.expeditions.unionByName(core.expeditions))
+    assert {(r.table_name, r.rule) for r in importing.core_violations(twice, core).collect()} == {("expeditions", "unique")}
+    orphans = core.replace(products=core.products.where("product_id <> 'P1'"))
+    found = {(r.table_name, r.columns) for r in importing.core_violations(core, orphans).collect()}
+    assert ("sales_order_lines", "product_id") in found
+
+
+def test_warnings_pass_the_gate_and_are_counted(spark, store, first):
+    changes = [("sales", i, "order_id", f"W{i}") for i in range(4)]
+    changes += [("expedition", i, "order_id", o) for i, o in enumerate(("W0", "W2", "W3"))]
+    changes += [("purchases", i, "purchase_order_id", f"WN{i}") for i in range(2)]
+    changes += [("inventory", i, "snapshot_date", date(2030, 5 + i // 2, 1)) for i in range(8)]
+    changes += [("vehicles", 0, "cost_per_km", D("0.00"))]
+    verdict = importing.check_input(input_sheets(spark, changes, [("expedition", ["W1", *_row(spark)])]))
+    assert verdict["error_count"] == 0 and verdict["business"]["BIZ-W004"] == 1
+    wide = input_sheets(spark)
+    wide["sales"] = wide["sales"].withColumnRenamed("quantity", "pieces")
+    assert importing.check_input(wide)["sheets"] == {"sales": "DIFFERENT"}
+
+
+def test_report_of_a_batch(spark, store, first):
+    batch_id, _ = first
+    report = json.loads(spark.read.text(store.path("audit", "reports", f"import_batch_id={batch_id}")).first().value)
+    assert report["row_counts"]["raw"]["total"] == 21 and report["batch"]["status"] == "completed"
+    row = store.batches().where(f"batch_id = '{batch_id}'").first()
+    assert json.loads(row.metadata["layer_totals"])["staging"] == 21 and row.warning_count is not None
+
+
 def test_refresh_publishes_and_failed_refresh_keeps_the_old_marts(spark, store, first, tmp_path):
     core, root = store.core(), str(tmp_path / "marts")
     assert refresh.published(spark, root) is None

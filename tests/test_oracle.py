@@ -6,6 +6,7 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry
+from tidemark import registry
 
 DIRECTORY = "/root/testdata/sf0.001"
 SAMPLE = (
@@ -41,7 +42,7 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
 
 
 def test_flagship(spark):

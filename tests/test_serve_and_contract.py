@@ -169,3 +169,27 @@ def test_scale_of_doubles_and_decimals(spark):
                                            ContractColumn("s", "m", "decimal(9,1)", True)])
     got = sorted((r.column, r.source_row_number) for r in rows.collect())
     assert got == [("d", 3), ("d", 5), ("m", 3)]
+
+
+def test_wide_numbers_are_judged_exactly(spark):
+    from decimal import Decimal
+
+    from pyspark.sql import types as T
+
+    entries = [contract.ContractColumn("s", "a", "integer", True), contract.ContractColumn("s", "b", "decimal(18,2)", True)]
+    rows = [(2, Decimal("9007199254740993.50"), Decimal("9999999999999999.99")), (3, Decimal("9007199254740993.00"), Decimal("10000000000000000.00"))]
+    schema = T.StructType([T.StructField("source_row_number", T.LongType()), T.StructField("a", T.DecimalType(20, 2)), T.StructField("b", T.DecimalType(20, 2))])
+    found = {(r.source_row_number, r.code) for r in contract.value_issues(spark.createDataFrame(rows, schema), "s", entries).collect()}
+    assert found == {(2, "INVALID_INTEGER"), (3, "DECIMAL_PRECISION_EXCEEDED")}
+    text = spark.createDataFrame([(r, str(a), str(b)) for r, a, b in rows], "source_row_number long, a string, b string")
+    found = {(r.source_row_number, r.code) for r in contract.value_issues(text, "s", entries, from_text=True).collect()}
+    assert found == {(2, "INVALID_INTEGER"), (3, "DECIMAL_PRECISION_EXCEEDED")}
+
+
+def test_text_sheets_under_a_contract(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('a,b,c,d\n12,1.50,2024-01-31,"two\nlines"\nabc,1.555,31.1.2024,=SUM(A1)\n,x,2024-01-31 10:00:00, padded\n', encoding="utf-8")
+    sheet = landing.read_sheet(spark, str(tmp_path / "s.csv"), multi_line=True)
+    entries = [contract.ContractColumn("s", n, t, True) for n, t in (("a", "integer"), ("b", "decimal(10,2)"), ("c", "date"), ("d", "text"))]
+    found = sorted((r.source_row_number, r.column, r.code) for r in contract.value_issues(sheet, "s", entries, from_text=True).collect())
+    assert found == [(3, "a", "INVALID_INTEGER"), (3, "b", "DECIMAL_SCALE_EXCEEDED"), (3, "c", "INVALID_DATE"), (3, "d", "FORMULA_NOT_ALLOWED"),
+                     (4, "a", "REQUIRED_VALUE_MISSING"), (4, "b", "INVALID_DECIMAL"), (4, "d", "TEXT_SURROUNDING_WHITESPACE")]

@@ -20,13 +20,14 @@ def number_within(df: DataFrame, key: str, order: str, output: str,
         Window.unboundedPreceding, -1)
     offsets = (
         blocked.groupBy(key, "_block").agg(F.count("*").alias("_n"))
-        .select(key, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+        .select(key, "_block", F.sum("_n").over(earlier).alias("_offset"))
+        .where("_offset is not null")  # keys of a single block have no row here
     )
     position = F.row_number().over(Window.partitionBy(key, "_block").orderBy(order))
     return (
-        blocked.join(offsets, [key, "_block"])
-        .withColumn(output, (position + F.col("_offset")).cast("int"))
-        .drop("_block", "_offset")
+        blocked.withColumn("_position", position).join(offsets, [key, "_block"], "left")
+        .withColumn(output, (F.col("_position") + F.coalesce("_offset", F.lit(0))).cast("int"))
+        .drop("_block", "_offset", "_position")
     )
 
 

@@ -29,7 +29,6 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("error_message", T.StringType()),
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
 ])
-MAX_MESSAGE = 4000
 # --- fixed values: step -> status it needs, statuses that end a batch -----------------------------
 REQUIRED_STATUS = {"staging": "raw_loaded", "core": "staging_loaded", "finalize": "completed"}
 FINISHED = ("completed", "rejected", "failed")
@@ -40,8 +39,6 @@ def event(spark: SparkSession, batch_id: str, event_seq: int, status: str, **val
     """One event row; a repeated write of the same step carries the same ``event_seq``."""
     if status not in BATCH_STATUSES:
         raise ValueError(f"unknown status {status!r}")
-    if values.get("error_message"):
-        values["error_message"] = str(values["error_message"])[:MAX_MESSAGE]
     row = {f.name: None for f in EVENT_SCHEMA.fields}
     row.update(values, batch_id=batch_id, event_seq=event_seq, status=status,
                at=datetime.now(timezone.utc))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +42,8 @@ _SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
            + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000")
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ].*)?$"
 _ISO_MOMENT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
+_INTEGER = "^[+-]?[0-9]+$"
+_NUMBER = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 _WIDE = "decimal(38,18)"
 
 
@@ -144,6 +147,21 @@ class _Cell:
     double: Column  # double of a number, else null
     decimal: Column | None = None   # the cell itself where its column is a decimal
 
+    def whole(self) -> Column:
+        """A number without decimal places, exactly; exponents are those of doubles."""
+        if self.decimal is not None:
+            return F.round(self.decimal, 0) == self.decimal
+        return F.when(self.digits.contains("E"), F.floor(self.double) == self.double).otherwise(
+            ~self.digits.rlike("[.][0-9]*[1-9]"))
+
+    def beyond(self, places: int) -> Column:
+        """More than ``places`` digits before the decimal point, exactly."""
+        if self.decimal is not None:
+            return F.abs(self.decimal) >= F.lit(Decimal(10 ** places))
+        digits = F.length(F.regexp_extract(self.digits, "^[+-]?0*([0-9]*)", 1))
+        return F.when(self.digits.contains("E"), F.abs(self.double) >= float(10 ** places)).otherwise(
+            digits > places)
+
     def finer_than(self, scale: int) -> Column:
         """More decimal places than ``scale``, trailing zeros aside.
 
@@ -160,11 +178,13 @@ class _Cell:
         return F.when(self.digits.contains("E"), F.coalesce(exact, F.lit(False))).otherwise(plain)
 
 
-def _cell(field: T.StructField) -> _Cell:
+def _cell(field: T.StructField, from_text: bool = False) -> _Cell:
     value, dtype = F.col(f"`{field.name}`"), field.dataType
     none = F.lit(None)
     if isinstance(dtype, T.VariantType):
         return _variant_cell(value)
+    if isinstance(dtype, T.StringType) and from_text:
+        return _text_cell(value)
     if isinstance(dtype, T.StringType):
         return _Cell(F.when(value.isNotNull(), "str"), value, none.cast("string"),
                      none.cast("double"))
@@ -185,6 +205,20 @@ def _cell(field: T.StructField) -> _Cell:
         value if isinstance(dtype, T.DecimalType) else None)
 
 
+def _text_cell(value: Column) -> _Cell:
+    """A cell of a text file: its kind is read off the text."""
+    day = value.rlike(_ISO_DATE) & value.try_cast("timestamp_ntz").isNotNull()
+    moment = value.rlike(_ISO_MOMENT) & value.try_cast("timestamp_ntz").isNotNull()
+    kind = (
+        F.when(value.isNull() | (value == ""), F.lit(None))
+        .when(value.rlike(_INTEGER), "int").when(value.rlike(_NUMBER), "float")
+        .when(moment, "datetime").when(day, "date")
+        .when(F.lower(value).isin("true", "false"), "bool").otherwise("str"))
+    digits = F.when(value.rlike(_NUMBER), F.regexp_replace(
+        F.regexp_replace(F.upper(value), "([.][0-9]*?)0+(?=$|E)", "$1"), "[.](?=$|E)", ".0"))
+    return _Cell(kind, value, digits, digits.try_cast("double"))
+
+
 def _variant_cell(value: Column) -> _Cell:
     """JSON has no dates: ISO text is how a date or a time is written there."""
     token = F.schema_of_variant(value)
@@ -201,8 +235,29 @@ def _variant_cell(value: Column) -> _Cell:
     return _Cell(kind, text, as_text, as_text.try_cast("double"))
 
 
+def _settled(declared: str, dtype: T.DataType) -> set[str]:
+    """Codes that a column's type already rules out."""
+    match = re.match(DECIMAL_TYPE, declared)
+    if declared == "integer" and isinstance(dtype, T.IntegralType):
+        return {"INVALID_INTEGER"}
+    if declared == "text" and isinstance(dtype, T.StringType):
+        return {"INVALID_TEXT"}
+    if declared in ("date", "datetime") and isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return {"INVALID_DATE", "INVALID_DATETIME"}
+    if declared == "date" and isinstance(dtype, T.DateType):
+        return {"INVALID_DATE"}
+    if match and isinstance(dtype, T.DecimalType):
+        precision, scale = int(match.group(1)), int(match.group(2))
+        return {"INVALID_DECIMAL"} | (
+            {"DECIMAL_SCALE_EXCEEDED"} if dtype.scale <= scale else set()) | (
+            {"DECIMAL_PRECISION_EXCEEDED"} if dtype.precision - dtype.scale <= precision - scale else set())
+    if match and isinstance(dtype, T.IntegralType):
+        return {"INVALID_DECIMAL", "DECIMAL_SCALE_EXCEEDED"}
+    return set()
+
+
 def _problems(entry: ContractColumn, cell: _Cell, holds_text: bool,
-              from_json: bool) -> list[tuple]:
+              text_kinds: tuple[str, ...]) -> list[tuple]:
     """(level, code, condition, message) of one contract column."""
     stripped = F.btrim(cell.text, F.lit(_SPACES))
     blank = cell.kind.isNull()
@@ -227,18 +282,15 @@ def _problems(entry: ContractColumn, cell: _Cell, holds_text: bool,
 
     match = re.match(DECIMAL_TYPE, entry.declared)
     if entry.declared == "text":
-        text_kinds = ("str", "date", "datetime") if from_json else ("str",)
-        wrong("INVALID_TEXT", ~cell.kind.isin(*text_kinds))
+        wrong("INVALID_TEXT", ~cell.kind.isin(*(text_kinds or ("str",))))
     elif entry.declared == "integer":
-        whole = number & (F.floor(cell.double) == cell.double)
-        wrong("INVALID_INTEGER", ~((cell.kind == "int") | whole))
+        wrong("INVALID_INTEGER", ~((cell.kind == "int") | (number & F.coalesce(cell.whole(), F.lit(False)))))
     elif match:
         precision, scale = int(match.group(1)), int(match.group(2))
         wrong("INVALID_DECIMAL", ~number)
         for code, condition in (
                 ("DECIMAL_SCALE_EXCEEDED", cell.finer_than(scale)),
-                ("DECIMAL_PRECISION_EXCEEDED",
-                 F.abs(cell.double) >= float(10 ** (precision - scale)))):
+                ("DECIMAL_PRECISION_EXCEEDED", cell.beyond(precision - scale))):
             text = MESSAGES[code].format(precision=precision, scale=scale)
             out.append(("ERROR", code, filled & number & condition, F.lit(text)))
     elif entry.declared == "date":
@@ -252,10 +304,11 @@ def _problems(entry: ContractColumn, cell: _Cell, holds_text: bool,
 
 
 def value_issues(sheet: DataFrame, name: str, contract: list[ContractColumn],
-                 row: str = "source_row_number") -> DataFrame:
+                 row: str = "source_row_number", from_text: bool = False) -> DataFrame:
     """(level, code, sheet, row, column, message) of every offending cell.
 
-    Columns may be typed, or VARIANT where a column mixes types.
+    Columns may be typed, or VARIANT where a column mixes types.  ``from_text``: the text columns
+    are cells of a text file, whose kind is read off the text (anything is a text there).
     """
     fields = {f.name: f for f in sheet.schema.fields}
     found = []
@@ -265,12 +318,23 @@ def value_issues(sheet: DataFrame, name: str, contract: list[ContractColumn],
         field = fields[entry.column]
         from_json = isinstance(field.dataType, T.VariantType)
         holds_text = from_json or isinstance(field.dataType, T.StringType)
-        for level, code, condition, message in _problems(entry, _cell(field), holds_text,
-                                                         from_json):
+        as_text = isinstance(field.dataType, T.StringType) and from_text
+        texts = ("str", "int", "float", "bool", "date", "datetime") if as_text else (
+            ("str", "date", "datetime") if from_json else ())
+        settled = set() if as_text else _settled(entry.declared, field.dataType)
+        for level, code, condition, message in _problems(
+                entry, _cell(field, from_text), holds_text, texts):
+            if code in settled:
+                continue
             found.append((condition, F.struct(
                 F.lit(level).alias("level"), F.lit(code).alias("code"),
                 F.lit(name).alias("sheet"), F.col(row).alias("source_row_number"),
                 F.lit(entry.column).alias("column"), message.alias("message"))))
+    if not found:
+        found = [(F.lit(False), F.struct(
+            *[F.lit(None).cast("string").alias(c) for c in ("level", "code", "sheet")],
+            F.col(row).alias("source_row_number"),
+            *[F.lit(None).cast("string").alias(c) for c in ("column", "message")]))]
     return explode_where(sheet, found)
 
 

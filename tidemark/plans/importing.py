@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.model import CORE_TABLES, ISSUE_SCHEMA, SHEETS, Core, Sheets, staging_schema
+from tidemark.model import (
+    CORE_KEYS, CORE_REFERENCES, CORE_TABLES, ISSUE_SCHEMA, SHEET_KEYS, SHEETS, Core, Sheets, staging_schema,
+)
 from tidemark.operators.upsert import upsert
-from tidemark.plans import audit, core_load, rules, staging
+from tidemark.plans import audit, contract, core_load, rules, sheet_rules, staging
 from tidemark.sources import landing
 
 DIMENSIONS = {"suppliers": ["supplier_name"], "customers": ["customer_id"],
@@ -24,6 +27,18 @@ DIMENSIONS = {"suppliers": ["supplier_name"], "customers": ["customer_id"],
 FACTS = tuple(name for name in CORE_TABLES if name not in DIMENSIONS)
 
 
+class InputRejected(ValueError):
+    """The sheets break their contract or a business check; ``verdict`` has the counts."""
+
+    def __init__(self, verdict: dict):
+        super().__init__(f"input rejected: {json.dumps(verdict)}")
+        self.verdict = verdict
+
+
+class ConstraintBroken(RuntimeError):
+    """Rows that no table of the store may hold."""
+
+
 class Store:
     """Paths and readers of one warehouse folder."""
 
@@ -92,6 +107,76 @@ def _overwrite(df: DataFrame, path: str, partition: str) -> None:
         "partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def check_input(sheets: dict[str, DataFrame], entries: list[contract.ContractColumn] | None = None
+                ) -> dict[str, object]:
+    """Structure, then values, then business checks; a step with errors is the last one done.
+
+    Sheets of text alone are read as cells of a text file.
+    """
+    entries = entries or contract.default_contract()
+    found = contract.structure({n: _data_columns(df) for n, df in sheets.items()}, entries)
+    different = {e["sheet"]: e["status"] for e in found if e["status"] != "OK"}
+    verdict: dict[str, object] = {"step": "structure", "error_count": len(different), "warning_count": 0}
+    if different:
+        return verdict | {"sheets": different}
+
+    def textual(df: DataFrame) -> bool:
+        return all(isinstance(f.dataType, T.StringType) for f in df.schema.fields if f.name != "source_row_number")
+
+    def counted(step: str, issues: list[DataFrame]) -> None:
+        rows = reduce(DataFrame.unionByName, issues).groupBy("level", "code").count().collect()
+        verdict["step"] = step
+        verdict[step] = {r.code: r["count"] for r in sorted(rows, key=lambda r: r.code)}
+        for level, name in (("ERROR", "error_count"), ("WARNING", "warning_count")):
+            verdict[name] += sum(r["count"] for r in rows if r.level == level)
+
+    counted("values", [contract.value_issues(df, n, entries, from_text=textual(df)).select("level", "code")
+                       for n, df in sheets.items()])
+    if verdict["error_count"]:
+        return verdict
+    typed = Sheets(**{n: (lambda n=n: sheets[n].select("source_row_number", *[
+        staging.tried(F.col(c).cast("string"), declared).alias(c) for c, declared, _ in SHEETS[n]])) for n in SHEETS})
+    counted("business", [sheet_rules.all_findings(typed).select("level", "code")])
+    return verdict
+
+
+def staging_violations(sheets: Sheets) -> DataFrame:
+    """``table_name, rule, columns, violations``: repeated keys and missing values of staged sheets, if any."""
+    parts = []
+    for name, df in sheets.items():
+        required = [c for c, _, nullable in SHEETS[name] if not nullable]
+        nulls = audit.null_counts(df, required)
+        parts.append(nulls.select(F.explode(F.array(*[F.struct(
+            F.lit(name).alias("table_name"), F.lit("not null").alias("rule"), F.lit(c).alias("columns"),
+            F.col(c).cast("bigint").alias("violations")) for c in required])).alias("v")).select("v.*"))
+        if name in SHEET_KEYS:
+            keys = SHEET_KEYS[name]
+            parts.append(audit.key_violations(df, keys).agg(F.count("*").alias("violations")).select(
+                F.lit(name).alias("table_name"), F.lit("unique").alias("rule"),
+                F.lit(",".join(keys)).alias("columns"), "violations"))
+    return reduce(DataFrame.unionByName, parts).where("violations > 0")
+
+
+def core_violations(new: Core, known: Core) -> DataFrame:
+    """``table_name, rule, columns, violations``: repeated keys of ``new`` rows and references that ``known`` lacks."""
+    parts = []
+    for name, keys in CORE_KEYS.items():
+        parts.append(audit.key_violations(getattr(new, name), keys).agg(F.count("*").alias("violations")).select(
+            F.lit(name).alias("table_name"), F.lit("unique").alias("rule"), F.lit(",".join(keys)).alias("columns"), "violations"))
+    for child, column, parent, parent_column in CORE_REFERENCES:
+        parts.append(audit.reference_violations(getattr(new, child), column, getattr(known, parent), parent_column)
+                     .agg(F.count("*").alias("violations")).select(
+            F.lit(child).alias("table_name"), F.lit("reference").alias("rule"), F.lit(column).alias("columns"), "violations"))
+    return reduce(DataFrame.unionByName, parts).where("violations > 0")
+
+
+def _refuse(violations: DataFrame) -> None:
+    """A bounded list: one row a rule that is broken."""
+    broken = violations.collect()
+    if broken:
+        raise ConstraintBroken("; ".join(f"{r.table_name} {r.rule} {r.columns}: {r.violations}" for r in broken))
+
+
 def register(store: Store, file_sha256: str, **details) -> tuple[str, str, bool]:
     """(batch id, status, known before): the content hash is the identity of a batch."""
     sha = file_sha256.lower()
@@ -130,6 +215,7 @@ def load_staging(store: Store, batch_id: str) -> int:
     report = staging.completeness(raw, store.staged(batch_id)).collect()
     if not all(row.complete for row in report):
         raise RuntimeError("staging rows differ from raw rows")
+    _refuse(staging_violations(store.staged(batch_id)))
     total = sum(row.staging_rows for row in report)
     store.append_event(batch_id, 3, "staging_loaded", metadata={
         "staging_row_counts": json.dumps({r.sheet: r.staging_rows for r in report})})
@@ -179,6 +265,18 @@ def promote(store: Store, batch_id: str, batch_seq: int) -> dict[str, int]:
     fact("inventory_snapshots", core_load.inventory_snapshots(sheets))
     fact("inventory_snapshot_lines", core_load.inventory_snapshot_lines(sheets))
     fact("expeditions", core_load.expeditions(sheets))
+
+    def added(name: str) -> DataFrame:
+        if name in DIMENSIONS:
+            return spark.read.parquet(store.path("core", name, f"version={batch_seq}"))
+        return spark.read.parquet(store.path("core", name)).where(F.col("source_import_batch_id") == batch_id)
+
+    def whole(name: str) -> DataFrame:
+        rows = added(name)
+        return rows if old is None or name in DIMENSIONS else rows.unionByName(getattr(old, name))
+
+    _refuse(core_violations(Core(**{n: (lambda n=n: added(n)) for n in CORE_TABLES}),
+                            Core(**{n: (lambda n=n: whole(n)) for n in CORE_TABLES})))
     return counts
 
 
@@ -200,14 +298,47 @@ def load_core(store: Store, batch_id: str) -> str:
     return "completed"
 
 
-def import_sheets(store: Store, sheets: dict[str, DataFrame], file_sha256: str,
+def finalize(store: Store, batch_id: str) -> str:
+    """Write the report of a finished batch; rows per layer and table go to its metadata.
+
+    Returns the folder of the report (one JSON document).  It may be repeated.
+    """
+    raw, staged, core = store.raw(batch_id), store.staged(batch_id), store.core()
+    layers = {"raw": {"excel_rows": (raw, "import_batch_id")},
+              "staging": {n: (df, "import_batch_id") for n, df in staged.items()},
+              "core": {} if core is None else {
+                  n: (getattr(core, n).where(F.col("source_import_batch_id") == batch_id), "source_import_batch_id")
+                  for n in FACTS}}
+    counts = audit.layer_counts({k: v for k, v in layers.items() if v})
+    rows = counts.collect()     # one row a table and layer
+    totals = {r.layer: r.row_count for r in rows if r.table is None}
+    tables = {f"{r.layer}.{r.table}": r.row_count for r in rows if r.table is not None}
+    store.append_event(batch_id, 6, store.batches().where(F.col("batch_id") == batch_id).first().status,
+                       metadata={"layer_totals": json.dumps(totals), "layer_row_counts": json.dumps(tables)})
+    path = store.path("audit", "reports", f"import_batch_id={batch_id}")
+    record = store.batches().where(F.col("batch_id") == batch_id)
+    issues = store.issues().where(F.col("import_batch_id") == batch_id)
+    audit.batch_report(record, counts, issues).select("report").coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
+def import_sheets(store: Store, sheets: dict[str, DataFrame], file_sha256: str, gate: bool = True,
                   **details) -> tuple[str, str]:
     """Run or resume a batch; returns (batch id, status).
 
     A known content is not loaded again; an interrupted batch goes on from its last good step.
+    A new one is checked first (``gate``): with any error nothing is registered.  What the gate
+    lets pass still has to hold the constraints of staging and core.
     """
     for name in SHEETS:
         landing.guard_header(name, _data_columns(sheets[name]))
+    known = not store.batches().where(F.col("file_sha256") == file_sha256.lower()).isEmpty()
+    if gate and not known:
+        verdict = check_input(sheets)
+        if verdict["error_count"]:
+            raise InputRejected(verdict)
+        details = {"warning_count": verdict["warning_count"], **details,
+                   "metadata": {"input_checks": json.dumps(verdict), **details.get("metadata", {})}}
     batch_id, status, _ = register(store, file_sha256, **details)
     if status in ("registered", "validating"):
         _or_failed(store, batch_id, lambda: load_raw(store, batch_id, sheets))
@@ -217,6 +348,7 @@ def import_sheets(store: Store, sheets: dict[str, DataFrame], file_sha256: str,
         status = "staging_loaded"
     if status == "staging_loaded":
         status = _or_failed(store, batch_id, lambda: load_core(store, batch_id))
+        finalize(store, batch_id)
     return batch_id, status
 
 

@@ -18,7 +18,6 @@ from tidemark.plans.reconcile import refresh_checks
 from tidemark.plans.serve import mart_row_counts
 from tidemark.session import written
 
-MAX_MESSAGE = 4000
 RUN_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType(), False),
     T.StructField("event_seq", T.IntegerType(), False),
@@ -131,6 +130,6 @@ def refresh(spark: SparkSession, core: Core, root: str) -> str:
         counts = {row.mart: row.row_count for row in mart_row_counts(marts).collect()}
         _log(spark, root, run_id, 1, "completed", row_counts=json.dumps(counts))
     except Exception as error:
-        _log(spark, root, run_id, 1, "failed", error_message=str(error)[:MAX_MESSAGE])
+        _log(spark, root, run_id, 1, "failed", error_message=str(error))
         raise
     return run_id

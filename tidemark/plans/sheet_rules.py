@@ -19,6 +19,11 @@ from tidemark.model import (
 from tidemark.operators.duplicates import repeated_rows
 from tidemark.operators.findings import explode_where
 
+# What a finding says it expected.
+EXPECTED = {
+    "one name": "jeden nazov pre customer_id",
+    "one customer": "jeden customer_id pre nazov",
+}
 FIELDS = ("level", "code", "sheet", "source_row_number", "key", "field", "value", "expected")
 _ROW = "source_row_number"
 
@@ -225,9 +230,6 @@ def repeated_products(sheets: Sheets, sheet: str) -> DataFrame:
         F.lit(None)))
 
 
-LISTED_VALUES = 1000
-
-
 def value_pairs(sheets: Sheets, key: str, value: str) -> DataFrame:
     """Distinct (key, value) pairs of the sales sheet for keys with several values.
 
@@ -235,31 +237,23 @@ def value_pairs(sheets: Sheets, key: str, value: str) -> DataFrame:
     """
     pairs = sheets.sales.select(F.col(key).alias("k"), F.col(value).alias("v")).distinct()
     several = pairs.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(
-        F.col("k").alias("_k"), "n")
+        F.col("k").alias("_k"))
     return pairs.join(several, F.col("k").eqNullSafe(F.col("_k"))).select(
-        "k", F.coalesce(F.col("v").cast("string"), F.lit("None")).alias("v"), "n")
+        "k", F.coalesce(F.col("v").cast("string"), F.lit("None")).alias("v"))
 
 
-def _several(sheets: Sheets, code: str, key: str, value: str) -> DataFrame:
-    """One finding per key with several values, listing them sorted.
-
-    A key with more than ``LISTED_VALUES`` of them shows their number instead, so that no task
-    gathers an unbounded list; ``value_pairs`` has them all.
-    """
-    listed = F.when(F.col("n") <= LISTED_VALUES, F.col("v"))
-    groups = value_pairs(sheets, key, value).groupBy("k", "n").agg(
-        F.array_join(F.sort_array(F.collect_list(listed)), ", ").alias("vs"))
-    shown = F.when(F.col("n") <= LISTED_VALUES, F.col("vs")).otherwise(F.col("n").cast("string"))
-    return _select(groups, _finding(
-        "WARNING", code, "sales", F.col("k"), value, shown, "1", F.lit(None)))
+def _several(sheets: Sheets, code: str, key: str, value: str, expected: str) -> DataFrame:
+    """One finding per key and value of a key with several values: no list is gathered."""
+    return _select(value_pairs(sheets, key, value), _finding(
+        "WARNING", code, "sales", F.col("k"), value, F.col("v"), expected, F.lit(None)))
 
 
 def customer_with_several_names(sheets: Sheets) -> DataFrame:
-    return _several(sheets, "BIZ-W006", "customer_id", "customer_name")
+    return _several(sheets, "BIZ-W006", "customer_id", "customer_name", EXPECTED["one name"])
 
 
 def name_with_several_customers(sheets: Sheets) -> DataFrame:
-    return _several(sheets, "BIZ-W007", "customer_name", "customer_id")
+    return _several(sheets, "BIZ-W007", "customer_name", "customer_id", EXPECTED["one customer"])
 
 
 def _first_shipments(sheets: Sheets) -> DataFrame:

@@ -142,11 +142,11 @@ def _repeated(code: str, sheet: str, key: str) -> str:
         "null"))
 
 
-def _several(code: str, key: str, value: str) -> str:
+def _several(code: str, key: str, value: str, expected: str) -> str:
     return over_sheets(_finding(
-        "WARNING", code, "sales", value, "vs", "'1'", f"""from (select {key},
-        array_to_string(list_sort(list(distinct {value})), ', ') as vs from sales
-        group by {key} having count(distinct {value}) > 1)""", key, "null"))
+        "WARNING", code, "sales", value, "v", f"'{expected}'", f"""from (select distinct {key}, {value} as v
+        from sales where {key} in (select {key} from sales group by {key}
+        having count(distinct {value}) > 1))""", key, "null"))
 
 
 def _loads(code: str, field: str, column: str, places: int) -> str:
@@ -233,10 +233,10 @@ _ENTRIES = {
         _differences("BIZ-E051", "purchases", "purchase_order_id", ("order_date", "supplier"))),
     "check_w006_customer_with_several_names": (
         sheet_rules.customer_with_several_names,
-        _several("BIZ-W006", "customer_id", "customer_name")),
+        _several("BIZ-W006", "customer_id", "customer_name", "jeden nazov pre customer_id")),
     "check_w007_name_with_several_customers": (
         sheet_rules.name_with_several_customers,
-        _several("BIZ-W007", "customer_name", "customer_id")),
+        _several("BIZ-W007", "customer_name", "customer_id", "jeden customer_id pre nazov")),
     "check_w008_other_supplier": (
         lambda s: sheet_rules.purchase_warnings(s).where("code = 'BIZ-W008'"),
         over_sheets(_finding(

@@ -59,8 +59,9 @@ SHEET_SQL: dict[str, tuple[str, str, dict[str, str]]] = {
         "unit_price": f"case when l_orderkey % 43 = 1 then {_money('500')} when l_partkey % 89 = 1 "
                       f"then {_money('0')} when l_partkey % 101 = 1 "
                       f"then {_money('-100')} else {_money(_PRICE)} end",
-        "customer_id": "'C' || o_custkey",
-        "customer_name": "case when o_custkey % 40 = 1 then 'Spoločný názov' "
+        "customer_id": "case when o_orderkey % 11 = 3 then 'C0' else 'C' || o_custkey end",
+        "customer_name": "case when o_orderkey % 11 = 3 then 'Customer of ' || o_orderkey "
+                         "when o_custkey % 40 = 1 then 'Spoločný názov' "
                          "when o_orderkey % 50 = 1 then 'Zákazník ' || o_custkey "
                          "else 'Customer ' || o_custkey end",
         "region": f"case when l_partkey % 83 = 1 then 'XX' else {_REGION} end",

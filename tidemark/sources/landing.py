@@ -27,14 +27,21 @@ def guard_header(sheet: str, header: list[str | None]) -> None:
 
 
 def read_sheet(spark: SparkSession, path: str, fmt: str = "csv",
-               schema: T.StructType | str | None = None) -> DataFrame:
+               schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
     """Open a sheet as CSV (header in the first line), JSON lines, Parquet or ORC.
 
-    Adds ``source_row_number`` unless the input carries one.
+    Adds ``source_row_number`` unless the input carries one.  CSV without a schema is text, as the
+    contract checks of text sheets want it (``value_issues(..., from_text=True)``); with a schema a
+    value that does not fit fails the read instead of becoming null.  ``multi_line``: cells may hold
+    line breaks; such a file is read by one task.
     """
     reader = spark.read.schema(schema) if schema is not None else spark.read
+    if fmt in ("csv", "json"):
+        reader = reader.option("multiLine", multi_line)
+        if schema is not None:
+            reader = reader.option("mode", "FAILFAST")
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("escape", '"')
     sheet = reader.format(fmt).load(path)
     if "source_row_number" in sheet.columns:
         return sheet
