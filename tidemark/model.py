@@ -64,6 +64,19 @@ SHEETS: dict[str, tuple[tuple[str, str, bool], ...]] = {
         ("cost_per_km", "decimal(10,2)", False), ("driver", "text", False),
     ),
 }
+# What breaks a rule on two values of a row.
+ROW_CONDITIONS = {
+    "BIZ-E020": "stock_available <> stock_actual - stock_reserved",
+    "BIZ-E021": "stock_reserved > stock_actual",
+    "BIZ-E022": "min_stock > max_stock",
+    "BIZ-E032": "delivered_quantity > ordered_quantity",
+    "BIZ-E040": "expedition_date < order_date",
+    "BIZ-E041": "delivery_date < order_date",
+    "BIZ-E042": "picked_at < received_at",
+    "BIZ-E044": "expedition_date < cast(received_at as date)",
+    "BIZ-E045": "expedition_date < cast(picked_at as date)",
+    "BIZ-E070": f"delivery_type = '{OWN}' and vehicle_id is null",
+}
 SHEET_KEYS = {
     "products": ("product_id",),
     "vehicles": ("vehicle_id",),

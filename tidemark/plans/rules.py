@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.model import (
-    AVAILABILITIES, DELIVERY_TYPES, ISSUE_SCHEMA, ORDER_STATUSES, OWN, REGIONS, Core, Sheets,
+    AVAILABILITIES, DELIVERY_TYPES, ISSUE_SCHEMA, ORDER_STATUSES, REGIONS, ROW_CONDITIONS, Core,
+    Sheets,
 )
 from tidemark.operators.duplicates import variants
 from tidemark.operators.findings import explode_where
@@ -132,9 +133,9 @@ _PRODUCT_NUMBERS = ("purchase_price", "sales_price", "lead_time_days", "weight_k
 # Rules that need nothing but the row: (code, sheet) -> violation, reported value (None: the
 # rule's column itself).
 ROW_RULES: dict[tuple[str, str], tuple[str, str | None]] = {
-    ("BIZ-E020", "inventory"): ("stock_actual - stock_reserved <> stock_available", None),
-    ("BIZ-E021", "inventory"): ("stock_actual < stock_reserved", None),
-    ("BIZ-E022", "inventory"): ("max_stock < min_stock", None),
+    ("BIZ-E020", "inventory"): (ROW_CONDITIONS["BIZ-E020"], None),
+    ("BIZ-E021", "inventory"): (ROW_CONDITIONS["BIZ-E021"], None),
+    ("BIZ-E022", "inventory"): (ROW_CONDITIONS["BIZ-E022"], None),
     ("BIZ-E023", "inventory"): (_any_negative(*_STOCKS), _joined(*_STOCKS)),
     ("BIZ-E030", "products"): ("minimum_order_quantity <= 0", None),
     ("BIZ-E030", "sales"): ("quantity <= 0", None),
@@ -148,18 +149,18 @@ ROW_RULES: dict[tuple[str, str], tuple[str, str | None]] = {
     ("BIZ-E031", "expedition"): (_any_negative("weight_kg", "volume_m3"),
                                  _joined("weight_kg", "volume_m3")),
     ("BIZ-E031", "vehicles"): (_any_negative("cost_per_km"), None),
-    ("BIZ-E032", "purchases"): ("ordered_quantity < delivered_quantity", None),
-    ("BIZ-E040", "sales"): ("expedition_date < order_date", None),
-    ("BIZ-E041", "purchases"): ("delivery_date < order_date", None),
-    ("BIZ-E042", "expedition"): ("picked_at < received_at", None),
-    ("BIZ-E044", "expedition"): ("expedition_date < cast(received_at as date)", None),
-    ("BIZ-E045", "expedition"): ("expedition_date < cast(picked_at as date)", None),
+    ("BIZ-E032", "purchases"): (ROW_CONDITIONS["BIZ-E032"], None),
+    ("BIZ-E040", "sales"): (ROW_CONDITIONS["BIZ-E040"], None),
+    ("BIZ-E041", "purchases"): (ROW_CONDITIONS["BIZ-E041"], None),
+    ("BIZ-E042", "expedition"): (ROW_CONDITIONS["BIZ-E042"], None),
+    ("BIZ-E044", "expedition"): (ROW_CONDITIONS["BIZ-E044"], None),
+    ("BIZ-E045", "expedition"): (ROW_CONDITIONS["BIZ-E045"], None),
     ("BIZ-E060", "sales"): (f"region not in ({_listed(REGIONS)})", None),
     ("BIZ-E060", "expedition"): (f"region not in ({_listed(REGIONS)})", None),
     ("BIZ-E061", "sales"): (f"lower(order_status) not in ({_listed(ORDER_STATUSES)})", None),
     ("BIZ-E062", "expedition"): (f"delivery_type not in ({_listed(DELIVERY_TYPES)})", None),
     ("BIZ-E063", "vehicles"): (f"availability not in ({_listed(AVAILABILITIES)})", None),
-    ("BIZ-E070", "expedition"): (f"delivery_type = '{OWN}' and vehicle_id is null", None),
+    ("BIZ-E070", "expedition"): (ROW_CONDITIONS["BIZ-E070"], None),
 }
 
 

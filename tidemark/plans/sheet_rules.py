@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.model import (
-    AVAILABILITIES, CARRIER, DELIVERY_TYPES, ORDER_STATUSES, OWN, PICKUP, REGIONS, SHEET_KEYS,
+    AVAILABILITIES, CARRIER, DELIVERY_TYPES, ORDER_STATUSES, OWN, PICKUP, REGIONS, ROW_CONDITIONS, SHEET_KEYS,
     UNITS, Sheets, sheet_columns,
 )
 from tidemark.operators.duplicates import repeated_rows
@@ -21,9 +21,21 @@ from tidemark.operators.findings import explode_where
 
 # What a finding says it expected.
 EXPECTED = {
+    "positive": "hodnota > 0",
+    "not negative": "hodnota >= 0",
+    "not zero": "nenulova hodnota alebo zdovodnenie",
     "one name": "jeden nazov pre customer_id",
     "one customer": "jeden customer_id pre nazov",
+    "product once": "produkt najviac raz v objednavke alebo business zdovodnenie",
+    "known product": "existujuci products.product_id",
+    "known order": "existujuci sales.order_id",
+    "known vehicle": "existujuci vehicles.vehicle_id",
+    "one shipment": "prave jeden expedition riadok",
+    "all products": "vsetky products.product_id",
+    "one snapshot": "jeden snapshot za mesiac",
 }
+MISSING_MONTH = "chyba"
+MISSING_PRODUCTS = ("chyba ", " produktov")
 FIELDS = ("level", "code", "sheet", "source_row_number", "key", "field", "value", "expected")
 _ROW = "source_row_number"
 
@@ -88,29 +100,29 @@ VOCABULARIES = {
 COMPARISONS = {
     "products": (("BIZ-W005", "WARNING", "sales_price < purchase_price", "sales_price",
                   "purchase_price"),),
-    "sales": (("BIZ-E040", "ERROR", "expedition_date < order_date", "expedition_date",
+    "sales": (("BIZ-E040", "ERROR", ROW_CONDITIONS["BIZ-E040"], "expedition_date",
                "order_date"),),
     "inventory": (
-        ("BIZ-E020", "ERROR", "stock_available <> stock_actual - stock_reserved",
+        ("BIZ-E020", "ERROR", ROW_CONDITIONS["BIZ-E020"],
          "stock_available", "stock_actual - stock_reserved"),
-        ("BIZ-E021", "ERROR", "stock_reserved > stock_actual", "stock_reserved", "stock_actual"),
-        ("BIZ-E022", "ERROR", "min_stock > max_stock", "min_stock", "max_stock"),
+        ("BIZ-E021", "ERROR", ROW_CONDITIONS["BIZ-E021"], "stock_reserved", "stock_actual"),
+        ("BIZ-E022", "ERROR", ROW_CONDITIONS["BIZ-E022"], "min_stock", "max_stock"),
         ("BIZ-W013", "WARNING", "day(snapshot_date) <> 1", "snapshot_date",
          "trunc(snapshot_date, 'month')")),
     "purchases": (
-        ("BIZ-E032", "ERROR", "delivered_quantity > ordered_quantity", "delivered_quantity",
+        ("BIZ-E032", "ERROR", ROW_CONDITIONS["BIZ-E032"], "delivered_quantity",
          "ordered_quantity"),
-        ("BIZ-E041", "ERROR", "delivery_date < order_date", "delivery_date", "order_date")),
+        ("BIZ-E041", "ERROR", ROW_CONDITIONS["BIZ-E041"], "delivery_date", "order_date")),
     "expedition": (
-        ("BIZ-E070", "ERROR", f"delivery_type = '{OWN}' and vehicle_id is null", "vehicle_id",
+        ("BIZ-E070", "ERROR", ROW_CONDITIONS["BIZ-E070"], "vehicle_id",
          "delivery_type"),
         ("BIZ-W015", "WARNING",
          f"delivery_type in ('{CARRIER}', '{PICKUP}') and vehicle_id is not null", "vehicle_id",
          "delivery_type"),
-        ("BIZ-E042", "ERROR", "picked_at < received_at", "picked_at", "received_at"),
-        ("BIZ-E044", "ERROR", "expedition_date < cast(received_at as date)", "expedition_date",
+        ("BIZ-E042", "ERROR", ROW_CONDITIONS["BIZ-E042"], "picked_at", "received_at"),
+        ("BIZ-E044", "ERROR", ROW_CONDITIONS["BIZ-E044"], "expedition_date",
          "cast(received_at as date)"),
-        ("BIZ-E045", "ERROR", "expedition_date < cast(picked_at as date)", "expedition_date",
+        ("BIZ-E045", "ERROR", ROW_CONDITIONS["BIZ-E045"], "expedition_date",
          "cast(picked_at as date)")),
 }
 
@@ -125,14 +137,14 @@ def row_findings(sheets: Sheets, sheet: str, codes: set[str] | None = None) -> D
                 level, code, sheet, key, field, F.col(field), expected)))
 
     for field in POSITIVE.get(sheet, ()):
-        add("BIZ-E030", "ERROR", F.col(field) <= 0, field, "> 0")
+        add("BIZ-E030", "ERROR", F.col(field) <= 0, field, EXPECTED["positive"])
     for field in NOT_NEGATIVE.get(sheet, ()):
-        add("BIZ-E031", "ERROR", F.col(field) < 0, field, ">= 0")
+        add("BIZ-E031", "ERROR", F.col(field) < 0, field, EXPECTED["not negative"])
     if sheet == "inventory":
         for field in STOCKS:
-            add("BIZ-E023", "ERROR", F.col(field) < 0, field, ">= 0")
+            add("BIZ-E023", "ERROR", F.col(field) < 0, field, EXPECTED["not negative"])
     for field, code in ZERO_WARNINGS.get(sheet, ()):
-        add(code, "WARNING", F.col(field) == 0, field, "<> 0")
+        add(code, "WARNING", F.col(field) == 0, field, EXPECTED["not zero"])
     for field, level, code, allowed in VOCABULARIES.get(sheet, ()):
         inside = F.coalesce(F.col(field).isin(*allowed), F.lit(False))
         add(code, level, ~inside, field, ", ".join(allowed))
@@ -175,20 +187,20 @@ def unknown_product(sheets: Sheets, sheet: str) -> DataFrame:
     code = {"sales": "BIZ-E010", "inventory": "BIZ-E011", "purchases": "BIZ-E012"}[sheet]
     rows = _unknown(getattr(sheets, sheet), sheets.products, "product_id")
     return _select(rows, _finding("ERROR", code, sheet, _key(sheet), "product_id",
-                                  F.col("product_id"), "products.product_id"))
+                                  F.col("product_id"), EXPECTED["known product"]))
 
 
 def unknown_order(sheets: Sheets) -> DataFrame:
     rows = _unknown(sheets.expedition, sheets.sales, "order_id")
     return _select(rows, _finding("ERROR", "BIZ-E013", "expedition", F.col("order_id"),
-                                  "order_id", F.col("order_id"), "sales.order_id"))
+                                  "order_id", F.col("order_id"), EXPECTED["known order"]))
 
 
 def unknown_vehicle(sheets: Sheets) -> DataFrame:
     rows = _unknown(sheets.expedition.where("vehicle_id is not null"), sheets.vehicles,
                     "vehicle_id")
     return _select(rows, _finding("ERROR", "BIZ-E014", "expedition", F.col("order_id"),
-                                  "vehicle_id", F.col("vehicle_id"), "vehicles.vehicle_id"))
+                                  "vehicle_id", F.col("vehicle_id"), EXPECTED["known vehicle"]))
 
 
 # --- orders ---------------------------------------------------------------------------------------
@@ -226,8 +238,8 @@ def repeated_products(sheets: Sheets, sheet: str) -> DataFrame:
                  "purchases": ("BIZ-W011", "purchase_order_id")}[sheet]
     pairs = getattr(sheets, sheet).groupBy(key, "product_id").agg(F.count("*").alias("n"))
     return _select(pairs.where("n > 1"), _finding(
-        "WARNING", code, sheet, F.col(key), "product_id", F.col("product_id"), "1",
-        F.lit(None)))
+        "WARNING", code, sheet, F.col(key), "product_id", F.col("product_id"),
+        EXPECTED["product once"], F.lit(None)))
 
 
 def value_pairs(sheets: Sheets, key: str, value: str) -> DataFrame:
@@ -277,7 +289,7 @@ def fulfilled_without_shipment(sheets: Sheets) -> DataFrame:
     open_orders = _unknown(orders, sheets.expedition, "order_id")
     return _select(open_orders, _finding(
         "ERROR", "BIZ-E015", "sales", F.col("order_id"), "order_id", F.col("order_id"),
-        "1 expedition row", F.col("first_row")))
+        EXPECTED["one shipment"], F.col("first_row")))
 
 
 def shipment_differences(sheets: Sheets) -> DataFrame:
@@ -375,7 +387,8 @@ def incomplete_snapshots(sheets: Sheets) -> DataFrame:
     missing = found.select("snapshot_date", (size - F.col("n")).alias("missing"))
     return _select(missing.where("missing > 0"), _finding(
         "WARNING", "BIZ-W012", "inventory", F.col("snapshot_date"), "product_id",
-        F.col("missing"), "0", F.lit(None)))
+        F.concat(F.lit(MISSING_PRODUCTS[0]), F.col("missing"), F.lit(MISSING_PRODUCTS[1])),
+        EXPECTED["all products"], F.lit(None)))
 
 
 def missing_months(sheets: Sheets) -> DataFrame:
@@ -388,7 +401,7 @@ def missing_months(sheets: Sheets) -> DataFrame:
     gaps = spine.join(present, "m", "left_anti")
     return _select(gaps, _finding(
         "WARNING", "BIZ-W014", "inventory", F.date_format("m", "yyyy-MM"), "snapshot_date",
-        None, "1 snapshot", F.lit(None)))
+        F.lit(MISSING_MONTH), EXPECTED["one snapshot"], F.lit(None)))
 
 
 SET_CHECKS = {

@@ -6,16 +6,19 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.model import SHEETS
+from tidemark.model import CORE_KEYS, CORE_REFERENCES, SHEET_KEYS, SHEETS
 from tidemark.operators.upsert import upsert
-from tidemark.plans import audit, contract, core_load, profiles, rules, staging
+from tidemark.plans import audit, contract, core_load, importing, profiles, rules, staging
 from tidemark.plans.contract import ContractColumn
+from tidemark.registry.core_sql import over_core
 from tidemark.registry.portable import portable
+from tidemark.registry.rules import ORACLE as RULE_ORACLE
+from tidemark.registry.rules import _loaded_core as gate_core
 from tidemark.registry.rules import _SQL as RULE_SQL
 from tidemark.registry.sheet_sql import SHEET_SQL, flawed_sheets, over_sheets, raw_rows
 from tidemark.session import configure, shared_dir
 from tidemark.sources import landing
-from tidemark.sources.tables import table
+from tidemark.sources.tables import core_from_tables, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -474,7 +477,7 @@ _over_tables("c06a_json_token_types", _json_issues, """
     where cast(json_extract(props, '$.k') as bigint) >= 10""")
 _over_tables(
     "p07_preview",
-    lambda t: profiles.preview(landing.numbered_by_position(t("orders"))),
+    lambda t: profiles.preview(landing.numbered_by_position(t("orders"), first_rows=3)),
     """select rn as source_row_number, cast(o_orderkey as varchar) as o_orderkey,
     cast(o_custkey as varchar) as o_custkey, o_orderstatus, cast(o_totalprice as varchar) as
     o_totalprice, cast(o_orderdate as varchar) as o_orderdate, o_orderpriority from
@@ -684,3 +687,73 @@ _over_sheets("constraint_issue_domains",
                  for (code, sheet), (_, _, rest) in RULE_SQL.items()
                  if (code, sheet) in rules.ROW_RULES and sheet == "sales")
              + ") where source_row_number - 1000 < 2")
+
+
+# --- the constraints an import holds its rows against ---------------------------------------------
+
+def _violations_sql(parts: list[tuple[str, str, str, str]]) -> str:
+    return "select * from (" + " union all ".join(
+        f"select '{t}' as table_name, '{rule}' as rule, '{c}' as columns, count(*) as violations {rest}"
+        for t, rule, c, rest in parts) + ") where violations > 0"
+
+
+_over_sheets("constraint_staging_keys", importing.staging_violations, _violations_sql([
+    *[(n, "not null", c, f"from {n} where {c} is null")
+      for n, columns in SHEETS.items() for c, _, nullable in columns if not nullable],
+    *[(n, "unique", ",".join(k), f"from (select 1 from {n} group by {', '.join(k)} having count(*) > 1)")
+      for n, k in SHEET_KEYS.items()]]))
+
+# A core with flaws: shipments by own vehicles come twice; some products and vehicles are unknown.
+_SHIPPED = "(select * from expeditions union all select * from expeditions where kind = 'own')"
+_FLAWED_PARENTS = {"products": "(select * from products where product_id % 5 <> 0)",
+                   "vehicles": "(select * from vehicles where capacity_kg > 800)"}
+
+
+def _core_violations(spark, directory):
+    core = core_from_tables(configure(spark), directory)
+    shipped = core.expeditions.unionByName(core.expeditions.where(F.col("vehicle_id").isNotNull()))
+    new = core.replace(expeditions=shipped)
+    known = new.replace(products=core.products.where("product_id % 5 <> 0"),
+                        vehicles=core.vehicles.where("capacity_kg > 800"))
+    return portable(importing.core_violations(new, known))
+
+
+def _core_reference(child, column, parent, parent_column):
+    if child == "inventory_snapshot_lines" and parent == "inventory_snapshots":
+        column, parent_column = "snapshot_date", "snapshot_date"
+    rows = _SHIPPED if child == "expeditions" else child
+    return (f"from {rows} where {column} is not null and {column} not in "
+            f"(select {parent_column} from {_FLAWED_PARENTS.get(parent, parent)})")
+
+
+def _core_key(name, keys):
+    keys = ("snapshot_date", "product_id") if name == "inventory_snapshot_lines" else keys
+    rows = _SHIPPED if name == "expeditions" else name
+    return f"from (select 1 from {rows} group by {', '.join(keys)} having count(*) > 1)"
+
+
+QUERIES["constraint_core_rows"] = _core_violations
+ORACLE["constraint_core_rows"] = over_core(_violations_sql([
+    *[(n, "unique", ",".join(k), _core_key(n, k)) for n, k in CORE_KEYS.items()],
+    *[(c, "reference", column, _core_reference(c, column, p, pc)) for c, column, p, pc in CORE_REFERENCES]]))
+
+_over_tables("s02_header_guard",
+             lambda t: landing.header_problems(t("part").selectExpr(
+                 "'size ' || p_size as sheet", "case when p_partkey % 50 = 1 then ' ' else p_type end as name")
+                 .withColumn("name", F.nullif(F.trim("name"), F.lit("")))),
+             """select sheet, name, count(*) as n from (select 'size ' || p_size as sheet,
+             case when p_partkey % 50 = 1 then '' else p_type end as name from part)
+             group by all having count(*) > 1 or name = ''""")
+
+
+def _revalidated(spark, directory):
+    """The issues of a batch are written twice; the second time replaces the first."""
+    sheets = flawed_sheets(configure(spark), directory)
+    path = f"{shared_dir(spark)}/tidemark/issues-{uuid.uuid4().hex}/import_batch_id=batch-1"
+    for _ in range(2):
+        rules.all_issues(sheets, gate_core(spark, directory)).write.mode("overwrite").parquet(path)
+    return portable(audit.issue_summary(spark.read.parquet(path)))
+
+
+QUERIES["k13_revalidation"] = _revalidated
+ORACLE["k13_revalidation"] = RULE_ORACLE["k12_rule_gate"]

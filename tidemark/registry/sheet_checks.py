@@ -42,18 +42,18 @@ def _words(text: str) -> str:
 
 # (level, code, sheet, field, expected, violation) for checks on single rows
 _ROWS = [
-    *[("ERROR", "BIZ-E030", s, f, "'> 0'", f"not {f} > 0") for s, f in (
+    *[("ERROR", "BIZ-E030", s, f, "'hodnota > 0'", f"not {f} > 0") for s, f in (
         ("products", "minimum_order_quantity"), ("vehicles", "capacity_kg"),
         ("vehicles", "capacity_m3"), ("sales", "quantity"), ("purchases", "ordered_quantity"))],
-    *[("ERROR", "BIZ-E031", s, f, "'>= 0'", f"not {f} >= 0") for s, f in (
+    *[("ERROR", "BIZ-E031", s, f, "'hodnota >= 0'", f"not {f} >= 0") for s, f in (
         ("products", "purchase_price"), ("products", "sales_price"),
         ("products", "lead_time_days"), ("products", "weight_kg"), ("products", "volume_m3"),
         ("vehicles", "cost_per_km"), ("sales", "unit_price"),
         ("purchases", "delivered_quantity"), ("purchases", "purchase_price"),
         ("expedition", "weight_kg"), ("expedition", "volume_m3"))],
-    *[("ERROR", "BIZ-E023", "inventory", f, "'>= 0'", f"not {f} >= 0") for f in (
+    *[("ERROR", "BIZ-E023", "inventory", f, "'hodnota >= 0'", f"not {f} >= 0") for f in (
         "stock_actual", "stock_reserved", "stock_available", "min_stock", "max_stock")],
-    *[("WARNING", c, s, f, "'<> 0'", f"{f} = 0") for s, f, c in (
+    *[("WARNING", c, s, f, "'nenulova hodnota alebo zdovodnenie'", f"{f} = 0") for s, f, c in (
         ("products", "purchase_price", "BIZ-W002"), ("products", "sales_price", "BIZ-W002"),
         ("products", "weight_kg", "BIZ-W003"), ("products", "volume_m3", "BIZ-W003"),
         ("products", "lead_time_days", "BIZ-W004"), ("vehicles", "cost_per_km", "BIZ-W004"),
@@ -106,7 +106,7 @@ def _duplicates(sheet: str, code: str, keys: str, field: str, shown: str, key: s
 
 def _unknown(code: str, sheet: str, field: str, parent: str, extra: str = "true") -> str:
     return over_sheets(_finding(
-        "ERROR", code, sheet, field, field, f"'{parent}.{field}'",
+        "ERROR", code, sheet, field, field, f"'existujuci {parent}.{field}'",
         f"from {sheet} where {extra} and {field} not in (select {field} from {parent})"))
 
 
@@ -137,7 +137,8 @@ def _shipment(code: str, field: str, expected: str, violation: str) -> str:
 
 def _repeated(code: str, sheet: str, key: str) -> str:
     return over_sheets(_finding(
-        "WARNING", code, sheet, "product_id", "product_id", "'1'",
+        "WARNING", code, sheet, "product_id", "product_id",
+        "'produkt najviac raz v objednavke alebo business zdovodnenie'",
         f"from (select {key}, product_id from {sheet} group by all having count(*) > 1)", key,
         "null"))
 
@@ -213,7 +214,7 @@ _ENTRIES = {
     "check_e015_fulfilled_without_shipment": (
         sheet_rules.fulfilled_without_shipment,
         over_sheets(_finding(
-            "ERROR", "BIZ-E015", "sales", "order_id", "order_id", "'1 expedition row'",
+            "ERROR", "BIZ-E015", "sales", "order_id", "order_id", "'prave jeden expedition riadok'",
             f"from {_FIRST_SALE} where order_status = 'vybavená' and order_id not in "
             "(select order_id from expedition)", "order_id", "first_row"))),
     "check_e043_e080_e081_shipment_differences": (
@@ -260,7 +261,8 @@ _ENTRIES = {
     "check_w012_incomplete_snapshot": (
         sheet_rules.incomplete_snapshots,
         over_sheets(_finding(
-            "WARNING", "BIZ-W012", "inventory", "product_id", "count(*)", "'0'",
+            "WARNING", "BIZ-W012", "inventory", "product_id",
+            "'chyba ' || count(*) || ' produktov'", "'vsetky products.product_id'",
             """from (select distinct snapshot_date from inventory) cross join
             (select distinct product_id from products) where (snapshot_date, product_id) not in
             (select (snapshot_date, product_id) from inventory) group by snapshot_date""",
@@ -268,7 +270,7 @@ _ENTRIES = {
     "check_w014_missing_month": (
         sheet_rules.missing_months,
         over_sheets(_finding(
-            "WARNING", "BIZ-W014", "inventory", "snapshot_date", "null", "'1 snapshot'",
+            "WARNING", "BIZ-W014", "inventory", "snapshot_date", "'chyba'", "'jeden snapshot za mesiac'",
             """from (select cast(unnest(generate_series(date_trunc('month',
             min(snapshot_date)), date_trunc('month', max(snapshot_date)), interval 1 month))
             as date) as m from inventory) where m not in

@@ -72,8 +72,17 @@ def _numbered(sheet: DataFrame) -> DataFrame:
     )
 
 
-def numbered_by_position(sheet: DataFrame) -> DataFrame:
-    """The same for Parquet, which knows the position of a row in its file: no ranking."""
+def header_problems(headers: DataFrame) -> DataFrame:
+    """S02 as a table: ``sheet, name, n`` of blank or repeated names among (sheet, name) rows."""
+    name = F.coalesce(F.col("name").cast("string"), F.lit(""))
+    return headers.groupBy("sheet", name.alias("name")).agg(F.count("*").alias("n")).where("n > 1 or name = ''")
+
+
+def numbered_by_position(sheet: DataFrame, first_rows: int | None = None) -> DataFrame:
+    """The same for Parquet, which knows the position of a row in its file: no ranking.
+
+    ``first_rows``: only rows that may be among the first so many are read and joined.
+    """
     columns = sheet.columns
     placed = sheet.select("*", F.col("_metadata.file_path").alias("_file"),
                           F.col("_metadata.row_index").alias("_index"))
@@ -83,6 +92,8 @@ def numbered_by_position(sheet: DataFrame) -> DataFrame:
         .groupBy("_file").agg(F.count("*").alias("_n"))
         .select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
     )
+    if first_rows is not None:
+        placed = placed.where(F.col("_index") < first_rows)
     return placed.join(offsets, "_file").select(
         (F.col("_index") + F.col("_o") + FIRST_DATA_ROW).alias("source_row_number"), *columns)
 
