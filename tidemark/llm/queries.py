@@ -83,4 +83,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_license_scan, op3_sharding, op4_packing, op5_html_text, op6_near_duplicates, op7_decontamination,
     op8_lm_scores, op9_personal_data, op10_token_counts)}
-ORACLE: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op7_decontamination": f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, w, least(10, len(w)) as n from (select item_id, {_WORDS} as w from benchmark) where len(w) > 0),
+windows as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as win
+    from (select *, unnest(generate_series(1, len(w) - n + 1)) as i from b)),
+sizes as (select distinct n from b),
+runs as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as win
+    from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from d, sizes where len(w) >= n)),
+hits as (select doc_id, i, n, item_id from runs join windows using (n, win)),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(i, i + n - 1)) as p from hits) group by doc_id),
+items as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256
+    from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)""",
+}
