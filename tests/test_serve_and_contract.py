@@ -193,3 +193,15 @@ def test_text_sheets_under_a_contract(spark, tmp_path):
     found = sorted((r.source_row_number, r.column, r.code) for r in contract.value_issues(sheet, "s", entries, from_text=True).collect())
     assert found == [(3, "a", "INVALID_INTEGER"), (3, "b", "DECIMAL_SCALE_EXCEEDED"), (3, "c", "INVALID_DATE"), (3, "d", "FORMULA_NOT_ALLOWED"),
                      (4, "a", "REQUIRED_VALUE_MISSING"), (4, "b", "INVALID_DECIMAL"), (4, "d", "TEXT_SURROUNDING_WHITESPACE")]
+
+
+def test_value_checks_stay_small_enough_to_be_compiled(spark, capsys):
+    """HotSpot leaves methods of more than 8000 bytes to the interpreter."""
+    import re
+
+    from fixtures import sheets
+
+    for name, df in sheets(spark).items():
+        contract.value_issues(df, name, contract.default_contract()).explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) < 8000, (name, sizes)
