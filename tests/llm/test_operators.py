@@ -257,7 +257,7 @@ def test_pages_query_against_the_article_element(spark):
 def true_classes(texts):
     sets = {}
     for i, t in texts.items():
-        w = WORD.findall(t or "")
+        w = WORD.findall(re.sub("[.,;:!?]", "", lower(t or "")))
         n = min(5, len(w))
         sets[i] = Counter(tuple(w[k:k + n]) for k in range(len(w) - n + 1)) if n else Counter()
     parent = {i: i for i in texts}
