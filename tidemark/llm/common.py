@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import shared_dir
 
-# Rows in one Arrow batch: a batch of the longest texts still fits a small Python worker.
+# Rows and bytes in one Arrow batch: one of the longest texts still fits a small Python worker.
 BATCH_ROWS = 512
+BATCH_BYTES = "8m"
 
 _FOLDERS: list[str] = []
 
@@ -20,6 +21,7 @@ _FOLDERS: list[str] = []
 def tuned(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches that go to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
