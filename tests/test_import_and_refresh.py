@@ -145,6 +145,8 @@ def test_refresh_publishes_and_failed_refresh_keeps_the_old_marts(spark, store,
     assert refresh.published(spark, root) is None
     run = refresh.refresh(spark, core, root)
     marts = refresh.published(spark, root)
+    left = {p.name for p in (tmp_path / "marts" / f"refresh_id={run}").iterdir()}
+    assert left == set(MART_TABLES)     # nothing else stays behind
     row = refresh.latest_run(refresh.runs(spark, root)).first()
     assert (row.run_id, row.status) == (run, "completed")
     assert set(json.loads(row.row_counts)) == set(MART_TABLES)

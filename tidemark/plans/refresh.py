@@ -16,7 +16,7 @@ from tidemark.model import MART_TABLES, Core, Marts
 from tidemark.plans import marts as build
 from tidemark.plans.reconcile import refresh_checks
 from tidemark.plans.serve import mart_row_counts
-from tidemark.session import written
+from tidemark.session import work_folder, written
 
 RUN_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType(), False),
@@ -122,7 +122,8 @@ def refresh(spark: SparkSession, core: Core, root: str) -> str:
     summary = source_summary(core).select(F.to_json(F.struct("*")).alias("j")).first().j
     _log(spark, root, run_id, 0, "running", source_summary=summary)
     try:
-        marts = write_marts(core, f"{root}/refresh_id={run_id}")
+        with work_folder(spark, f"{root}/refresh_id={run_id}/_work"):
+            marts = write_marts(core, f"{root}/refresh_id={run_id}")
         failed = [row.check_name for row in refresh_checks(core, marts).collect()
                   if not row.valid]
         if failed:

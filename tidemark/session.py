@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,7 @@ RUNTIME_SETTINGS = {
 
 
 _LOCAL_DIRS: dict[str, str] = {}
+_WORK: list[str] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -64,6 +66,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[application]
 
 
+@contextmanager
+def work_folder(spark: SparkSession, folder: str):
+    """Meanwhile ``written`` uses ``folder``, which is deleted at the end: whoever opens it must
+    have stored its results by then."""
+    _WORK.append(folder)
+    try:
+        yield
+    finally:
+        _WORK.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -71,6 +86,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     a lost executor re-reads files instead of recomputing, and readers still prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    folder = _WORK[-1] if _WORK else f"{shared_dir(spark)}/tidemark"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
