@@ -2,34 +2,58 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, neardup, packing, pii, quality
-from tidemark.llm.common import delete, release, table, tuned
+from tidemark.llm.common import collected, delete, table, tuned
 from tidemark.session import shared_dir
 
 
+_LAST = threading.local()
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """A stage's work tables are needed until its result is written, that is, until the next stage begins."""
+    @wraps(work)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        clear(tuned(spark))
+        with collected() as folders:
+            out = work(spark, docs, sf_dir)
+        _LAST.folders = folders
+        return out
+    return staged
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the work tables of this thread's last stage."""
+    for folder in _LAST.__dict__.pop("folders", []):
+        delete(spark, folder)
+
+
 def _recounted(docs: DataFrame) -> DataFrame:
     """``n_chars`` after the text has changed."""
     return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+@stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    release(tuned(spark))
     return quality.quality_rules(docs).where("kept").select(*docs.columns)
 
 
+@stage
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each near-duplicate class; of rows that repeat that id, one.
 
     Rows without an id stay: nothing names them.
     """
-    release(tuned(spark))
     classes = neardup.near_duplicates(docs, columns=["doc_id"])
     dropped = classes.where("doc_id <> class_id").select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
@@ -40,22 +64,22 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
 
 
+@stage
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages; those that are mostly such passages go."""
-    release(tuned(spark))
     clean = decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"))
     return _recounted(clean.select(*docs.columns))
 
 
+@stage
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
-    release(tuned(spark))
     return _recounted(pii.find_personal_data(docs, redact=True).select(*docs.columns))
 
 
+@stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens in sequences of 1024."""
-    release(tuned(spark))
     return packing.pack_texts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -75,12 +99,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written as Parquet and read again."""
     docs, before = table(tuned(spark), sf_dir, "documents"), None
     folder = f"{shared_dir(spark)}/tidemark-llm/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
+    for name, work in STAGES:
         path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        work(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             delete(spark, before)
         before = path
-    release(spark)
+    clear(spark)
     return docs

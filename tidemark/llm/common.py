@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +17,7 @@ from tidemark.session import shared_dir
 BATCH_ROWS = 512
 BATCH_BYTES = "8m"
 
-_FOLDERS: list[str] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -47,12 +49,13 @@ def bytes_of(text: str) -> Column:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputing.
 
-    ``release`` deletes what was written once nothing reads it any more.
+    Inside ``collected`` the folder is noted, so that it can be deleted once nothing reads it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _FOLDERS.append(path)
+    if (folders := _SCOPE.get()) is not None:
+        folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,10 +64,15 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables written by ``saved`` so far; for when all results built on them are written."""
-    while _FOLDERS:
-        delete(spark, _FOLDERS.pop())
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The folders that ``saved`` writes meanwhile (in this thread)."""
+    folders: list[str] = []
+    token = _SCOPE.set(folders)
+    try:
+        yield folders
+    finally:
+        _SCOPE.reset(token)
 
 
 def broadcast(spark: SparkSession, value: object) -> Broadcast:
