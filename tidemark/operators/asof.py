@@ -2,7 +2,8 @@
 
 The lookup needs one answer per (product, day), however many sales lines share that day.  Both
 sides are therefore reduced to one row per product and day *before* anything is ordered:
-purchases by a map-side combined ``max_by``, demand by the caller's aggregation.  What is left
+purchases by ``max_by``, combined in each task after sorting its lines (a
+struct's maximum is no hash aggregate), demand by the caller's aggregation.  What is left
 per product is bounded by the calendar (two rows a day), so a product that holds a third of all
 lines makes the window no larger than any other product's.
 """
