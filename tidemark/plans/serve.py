@@ -186,18 +186,29 @@ def product_ranking(marts: Marts, date_from: date | None = None, date_to: date |
     ).orderBy(order, F.col("product_id").asc()).limit(_limit(limit))
 
 
-def filter_options(marts: Marts, date_from: date | None = None,
-                   date_to: date | None = None) -> DataFrame:
-    """Q05: sorted distinct categories and suppliers as arrays, null when there are none."""
+def filter_values(marts: Marts, date_from: date | None = None,
+                  date_to: date | None = None) -> DataFrame:
+    """Q05 as rows: (kind, value) of the distinct categories and suppliers, however many there are."""
     rows = _ranged(marts, "product_sales_monthly", date_from, date_to)
     pairs = rows.select("category", "supplier_name").distinct()
+    return pairs.select(F.explode(F.array(
+        F.struct(F.lit("category").alias("kind"), F.col("category").alias("value")),
+        F.struct(F.lit("supplier").alias("kind"), F.col("supplier_name").alias("value")))).alias("v")).select(
+        "v.*").where("value is not null").distinct()
 
-    def values(column: str) -> Column:
-        found = F.sort_array(F.collect_set(column))
+
+def filter_options(marts: Marts, date_from: date | None = None,
+                   date_to: date | None = None) -> DataFrame:
+    """Q05 as a report: sorted distinct categories and suppliers as arrays, null when there are none.
+
+    One row for a form to choose from; ``filter_values`` has the same without gathering it.
+    """
+    def values(kind: str) -> Column:
+        found = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("value"))))
         return F.when(F.size(found) > 0, found)
 
-    return pairs.agg(values("category").alias("categories"),
-                     values("supplier_name").alias("suppliers"))
+    return filter_values(marts, date_from, date_to).agg(
+        values("category").alias("categories"), values("supplier").alias("suppliers"))
 
 
 def inventory(marts: Marts, date_from: date | None = None,

@@ -324,6 +324,10 @@ _READS = {
         over_core("""select string_agg(distinct category, '|' order by category) as categories,
         string_agg(distinct supplier_name, '|' order by supplier_name) as suppliers
         from product_sales_monthly""")),
+    "q05a_filter_values": (
+        lambda c, m: serve.filter_values(m),
+        over_core("""select 'category' as kind, category as value from product_sales_monthly where category is not null
+        union select 'supplier', supplier_name from product_sales_monthly where supplier_name is not null""")),
     "q06_inventory": (lambda c, m: serve.inventory(m, _FROM, _TO), over_core(dates_as_text(
         "*", f"inventory_health_monthly where {_RANGE}", "month_start"))),
     "q07_supplier_ranking": (lambda c, m: serve.supplier_ranking(m), _SUPPLIERS),
