@@ -305,6 +305,29 @@ def test_star_of_near_copies_around_one_text(spark):
     assert {frozenset(x) for x in got.values()} == true_classes(texts)
 
 
+def test_family_of_variants_without_its_centre(spark, monkeypatch):
+    """Followers that are near one another but not near the leader of their bucket are found."""
+    rng = random.Random(5)
+    texts = {}
+    for family in range(3):
+        base = [f"f{family}w{rng.randrange(5000)}" for _ in range(200)]
+        for arm in range(6):  # each arm is a chain away from the centre, whose text is not there
+            w = list(base)
+            for step in range(5):
+                for k in range(2):
+                    w[5 + 30 * arm + 6 * step + 3 * k] = f"x{arm}_{step}_{k}"
+                if step > 1:
+                    texts[1000 * family + 10 * arm + step] = " ".join(w)
+    # One bucket for all texts: whatever is near must come out, whoever leads.
+    monkeypatch.setattr(neardup, "band_keys", lambda s, bands, rows: np.zeros((len(s), bands), np.uint64))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = defaultdict(set)
+    for r in neardup.near_duplicates(df).collect():
+        got[r.class_id].add(r.doc_id)
+    assert {frozenset(x) for x in got.values()} == true_classes(texts)
+    assert 3 < len(got) < len(texts)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.8):
