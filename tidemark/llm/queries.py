@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html, licenses, lm_score, neardup, packing, pii, quality, sharding, tokens
+from tidemark.llm import bestfit, decontaminate, html, licenses, lm_score, neardup, packing, pii, quality, sharding, tokens
 from tidemark.llm.common import table, tuned
 
 
@@ -80,9 +80,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in few sequences of 1024, only longer documents cut."""
+    docs = table(tuned(spark), sf_dir, "documents")
+    pieces = bestfit.pack_best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_license_scan, op3_sharding, op4_packing, op5_html_text, op6_near_duplicates, op7_decontamination,
-    op8_lm_scores, op9_personal_data, op10_token_counts)}
+    op8_lm_scores, op9_personal_data, op10_token_counts, op11_best_fit_packing)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
