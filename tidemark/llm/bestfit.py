@@ -76,8 +76,8 @@ def pack_best_fit(docs: DataFrame, tokenizer_file: str, length: int = 1024, open
     Returns per piece ``doc_id, piece, start, length, ids`` (little-endian 32-bit), ``sequence_id, offset``.
     Documents of up to ``length`` tokens stay whole; only the first piece of a longer one may be short.
     Null and empty texts are the end id alone.  Ties: equal lengths as they come, into the bin used last of
-    those with equal space.  Repeated rows are packed each; a null id stays null; very long texts are encoded whole, one at a time; an empty table gives
-    an empty table; only the two named columns are read, so others may have any names.  Rows are packed
+    those with equal space.  Repeated rows are packed each; a null id stays null; very long texts are encoded whole, one at
+    a time; an empty table gives an empty table; only the two named columns are read, so others may have any names.  Rows are packed
     where they lie, without a shuffle: each task ends with at most ``open_bins`` bins that are not full.
     """
     names = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
