@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bestfit, decontaminate, html, licenses, lm_score, neardup, packing, pii, quality, sharding, tokens
+from tidemark.llm import bestfit, decontaminate, html, licenses, lm_score, neardup, negatives, packing, pii, quality, sharding, tokens, trie
 from tidemark.llm.common import table, tuned
 
 
@@ -87,9 +87,22 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the trie of rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, with a seventh of the labels moved."""
+    vectors = table(tuned(spark), sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.expr("vec_id % 100 = 0"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_license_scan, op3_sharding, op4_packing, op5_html_text, op6_near_duplicates, op7_decontamination,
-    op8_lm_scores, op9_personal_data, op10_token_counts, op11_best_fit_packing)}
+    op8_lm_scores, op9_personal_data, op10_token_counts, op11_best_fit_packing,
+    op12_prefix_trie, op13_hard_negatives)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -109,4 +122,46 @@ items as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
     coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (doc_id) left join items using (doc_id)""",
+    "op12_prefix_trie": """
+with crc_table as (select list(c order by i) as entries from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+    from (select cast(range as bigint) as i from range(256)))),
+turns as (select conv_id, size, sym, row_number() over (partition by conv_id order by turn nulls first, sym) as pos
+    from (select conv_id, turn, strlen(coalesce(text, '')) as size,
+        md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as sym from conversations where conv_id is not null)),
+convs as (select conv_id, conv_id - conv_id % 5 as base, n, xor(list_reduce(list_prepend(4294967295, list_transform(
+        string_split(cast(conv_id as varchar), ''), lambda d: cast(ascii(d) as bigint))), lambda c, d: xor(c >> 8, entries[(xor(c, d) & 255) + 1])), 4294967295) % 9 as h
+    from (select conv_id, count(*) as n from turns group by conv_id), crc_table),
+rebuilt as (select c.conv_id, t.pos as depth, sym, size from convs c join turns t on t.conv_id = c.base and t.pos <= c.h
+    union all
+    select c.conv_id, t.pos - c.h + least(c.h, coalesce(b.n, 0)), sym, size from convs c join turns t on t.conv_id = c.conv_id and t.pos > c.h
+        left join convs b on b.conv_id = c.base),
+steps as (select conv_id, 0 as depth, '' as path, 0 as size from convs
+    union all
+    select conv_id, depth, string_agg(sym, '') over (partition by conv_id order by depth), size from rebuilt),
+ends as (select path, sha256(string_agg(cast(conv_id as varchar), ',' order by conv_id)) as digest
+    from (select conv_id, max_by(path, depth) as path from steps group by conv_id) group by path),
+nodes as (select path, depth, min(conv_id) as conv_id, count(*) as n_convs, max(size) as size from steps group by path, depth),
+children as (select left(path, 32 * (depth - 1)) as path, count(*) as n_children from nodes where depth > 0 group by 1),
+valued as (select n.*, coalesce(n_children, 0) as n_children, coalesce(digest, sha256('')) as ends_sha256
+    from nodes n left join children using (path) left join ends using (path)),
+below as (select u.path, sum(case when v.n_children = 0 then 1 else 0 end) as n_leaves, sum((v.n_convs - 1) * v.size) as saved_tokens
+    from valued u join valued v on starts_with(v.path, u.path) group by u.path)
+select v.conv_id, cast(v.depth as bigint) as depth, p.conv_id as parent_conv_id, v.n_convs, v.n_children,
+    cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, v.ends_sha256
+from valued v join below using (path) left join nodes p on v.depth > 0 and p.path = left(v.path, 32 * (v.depth - 1))""",
+    "op13_hard_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+    from embeddings where label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as alike, cast(list_inner_product(a.q, b.q) as bigint) as score
+    from v a, v b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from scored where alike
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank,
+    vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not alike and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 10""",
 }
