@@ -40,7 +40,7 @@ def compare(spark, connection, directory: str, run, sql: str):
     if left[0] != right[0]:
         return f"columns {left[0]} != {right[0]}"
     spark_kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
-                   "boolean": "BOOLEAN"}
+                   "boolean": "BOOLEAN", "int": "INTEGER"}
     for name, kind in df.dtypes:
         if spark_kinds.get(kind) != kinds[name]:
             return f"type of {name}: {kind} != {kinds[name]}"
