@@ -1,11 +1,11 @@
 import json
-from datetime import date
+from datetime import date, datetime
 from decimal import Decimal as D
 
 import pytest
 from fixtures import input_sheets
 
-from tidemark.model import MART_TABLES
+from tidemark.model import MART_TABLES, Core
 from tidemark.plans import audit, importing, reconcile, refresh, serve
 
 SHA = "a" * 64
@@ -177,3 +177,79 @@ def test_refresh_publishes_and_failed_refresh_keeps_the_old_marts(spark, store,
         refresh.refresh(spark, core.replace(
             **{n: df.limit(0) for n, df in core.items()}), root)
     assert serve.status(marts, refresh.runs(spark, root)).first().status == "not_ready"
+
+
+def rows_of(df):
+    return sorted(map(repr, df.collect()))
+
+
+def assert_same_marts(spark, store, root, tmp_path, name):
+    """Marts refreshed by month equal those of a full refresh."""
+    other = str(tmp_path / name)
+    refresh.refresh(spark, store.core(), other)
+    by_month, full = refresh.published(spark, root), refresh.published(spark, other)
+    for mart in MART_TABLES:
+        assert rows_of(getattr(by_month, mart).select(getattr(full, mart).columns)) == rows_of(getattr(full, mart)), mart
+
+
+def moved(months, prefix, day=date(2024, 7, 1)):
+    """The fixture's orders as new ones, all in one month; its purchases and snapshots later."""
+    changes = [("sales", i, "order_id", f"{prefix}{i // 2}") for i in range(4)]
+    changes += [("sales", i, c, v) for i in range(4) for c, v in (
+        ("order_date", day), ("expedition_date", day.replace(day=9)), ("customer_id", "C1"), ("customer_name", "Zákazník 1"), ("region", "BA"))]
+    changes += [("expedition", i, c, v) for i in range(2) for c, v in (
+        ("order_id", f"{prefix}{i}"), ("received_at", datetime(day.year, day.month, 2, 8)), ("picked_at", datetime(day.year, day.month, 2, 9)),
+        ("expedition_date", day.replace(day=9)), ("region", "BA"))]
+    changes += [("purchases", i, c, v) for i in range(2) for c, v in (
+        ("purchase_order_id", f"{prefix}N{i}"), ("order_date", day), ("delivery_date", day.replace(day=20 + i)))]
+    changes += [("inventory", i, "snapshot_date", date(months, 1 + i // 2, 1)) for i in range(8)]
+    return changes
+
+
+def test_refresh_by_month(spark, tmp_path):
+    store, root = importing.Store(spark, str(tmp_path / "warehouse")), str(tmp_path / "marts")
+    with pytest.raises(refresh.RefreshFailed):
+        refresh.refresh_changes(store, root)
+    def load(sha, changes, drop=None):
+        sheets = input_sheets(spark, changes)
+        if drop:
+            sheets["expedition"] = sheets["expedition"].where(drop)
+        assert importing.import_sheets(store, sheets, sha * 64, gate=False)[1] == "completed"
+        return refresh.refresh_changes(store, root)
+
+    first = load("1", [])
+    assert set(refresh.last_published(spark, root)["months"]["product_sales_monthly"].values()) == {first}
+
+    # orders and purchases of July, snapshots of 2025: earlier months stay as they were written
+    second = load("2", moved(2025, "T"), "order_id <> 'S3'")
+    months = refresh.last_published(spark, root)["months"]["product_sales_monthly"]
+    assert {m: run == second for m, run in months.items()} == {
+        "2024-01-01": False, "2024-02-01": False, "2024-04-01": False, "2024-07-01": True}
+    written = {p.name for p in (tmp_path / "marts" / f"refresh_id={second}" / "product_sales_monthly").iterdir() if p.is_dir()}
+    assert written == {"month=2024-07-01"}
+
+    # purchases in January change the costs of P1 from then on; P2 and its April sales keep theirs
+    third = load("3", moved(2026, "U", date(2024, 1, 1)), "order_id <> 'S3'")
+    assert_same_marts(spark, store, root, tmp_path, "full3")
+    months = refresh.last_published(spark, root)["months"]["product_sales_monthly"]
+    assert {m for m, run in months.items() if run == third} == {"2024-01-01", "2024-02-01", "2024-07-01"}
+
+    # master data: a price for every month of the product, lead times and capacities for the state made with them
+    changes = moved(2027, "W", date(2024, 9, 1)) + [
+        ("products", 1, "purchase_price", D("2.50")), ("products", 0, "lead_time_days", 60), ("vehicles", 0, "capacity_kg", 3)]
+    load("4", changes, "order_id <> 'S3'")
+    assert_same_marts(spark, store, root, tmp_path, "full4")
+    state = refresh.last_published(spark, root)["state"]
+    assert [len(state[n]) for n in ("product_days", "supplier_totals", "vehicle_days")] == [4, 1, 1]
+
+    # nothing new: nothing is written by month
+    last = refresh.refresh_changes(store, root)
+    assert last not in refresh.last_published(spark, root)["months"]["product_sales_monthly"].values()
+
+
+def test_building_marts_starts_no_job(spark, store, first):
+    from tidemark.plans import marts
+    core = Core(**dict(store.core().items()))   # opened before: a Parquet file's schema is read by a job
+    spark.sparkContext.setJobGroup("building", "building")
+    assert marts.all_marts(core).management_kpis_monthly.schema
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == 0

@@ -4,7 +4,7 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import price_points, with_price_as_of
+from tidemark.operators.asof import packed_points, price_points, unpacked, with_price_as_of
 from tidemark.operators.duplicates import repeated_rows, variants
 from tidemark.operators.median import grouped_median
 from tidemark.operators.numbering import dense_ids, number_within
@@ -17,9 +17,9 @@ def _asof(spark, purchases, asked):
     orders = spark.createDataFrame(
         [(i, p[1]) for i, p in enumerate(purchases)], "purchase_order_id int, order_date date")
     lines = spark.createDataFrame(
-        [(i, 1, p[0], p[2], p[3]) for i, p in enumerate(purchases)],
+        [(i, 1, p[0], p[2], p[3], i + 2) for i, p in enumerate(purchases)],
         "purchase_order_id int, line_number int, product_id int, delivery_date date, "
-        "purchase_price decimal(10,2)")
+        "purchase_price decimal(10,2), source_row_number long")
     demand = spark.createDataFrame(asked, "product_id int, day date")
     found = with_price_as_of(demand, price_points(orders, lines), "day")
     return {(r.product_id, r.day): r.historical_price for r in found.collect()}
@@ -31,6 +31,24 @@ def _brute(purchases, product, day):
     return max(known)[3] if known else None
 
 
+def test_price_points_pack_and_merge(spark):
+    """Latest delivery, then batch, then sheet row; extreme values; no sorting of lines; batches merge by the maximum."""
+    top, low = D("99999999.99"), D("-99999999.99")
+    orders = spark.createDataFrame([(i, DAY) for i in range(9)], "purchase_order_id int, order_date date")
+    rows = [(0, 1, DAY, D("1.00"), 1, 9), (1, 1, DAY + timedelta(1), D("2.00"), 1, 2), (2, 1, DAY, D("3.00"), 2, 9),
+            (3, 2, DAY, D("1.00"), 1, 9), (4, 2, DAY, D("2.00"), 1, 10), (5, 2, DAY, D("9.00"), 0, 11),
+            (6, 3, date(9999, 12, 31), top, 2 ** 22, 2 ** 40 - 1), (7, 4, date(1, 1, 1), low, 0, 2), (8, 4, date(1, 1, 1), D("0.00"), 0, 1)]
+    lines = spark.createDataFrame(rows, "purchase_order_id int, product_id int, delivery_date date, purchase_price decimal(10,2), "
+                                        "batch_seq long, source_row_number long")
+    points = packed_points(orders, lines)
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert {r.product_id: r.price for r in unpacked(points).collect()} == {1: D("2.00"), 2: D("2.00"), 3: top, 4: low}
+    parts = [packed_points(orders, lines.where(f"batch_seq % 2 = {i}")) for i in (0, 1)]
+    merged = parts[0].unionByName(parts[1]).groupBy("product_id", "price_date").agg(F.max("packed").alias("packed"))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, points.collect()))
+
+
 def test_asof_equals_brute_force_with_a_hot_product(spark):
     rng = random.Random(7)
     purchases = []

@@ -115,7 +115,8 @@ def test_clean_sheets_have_no_findings(spark):
 def test_incomplete_snapshot(spark):
     moved = [("inventory", 0, "snapshot_date", date(2024, 5, 1))]
     found = sheet_rules.incomplete_snapshots(sheets(spark, moved)).collect()
-    assert sorted((r.key, r.value) for r in found) == [("2024-01-01", "1"), ("2024-05-01", "1")]
+    assert sorted((r.key, r.value) for r in found) == [
+        ("2024-01-01", "chyba 1 produktov"), ("2024-05-01", "chyba 1 produktov")]
 
 
 def test_missing_month_and_half_even_rounding(spark):

@@ -133,6 +133,34 @@ DAYS = T.DecimalType(14, 2)
 WEIGHT = T.DecimalType(24, 2)
 VOLUME = T.DecimalType(24, 3)
 
+# --- fixed values: column types of the marts' contract ----------------------------------------
+MART_LIMITS = {
+    "decimal(16,2)": (
+        "revenue", "estimated_cost", "gross_profit", "inventory_cost_value", "inventory_sales_value",
+        "inventory_potential_margin_value", "ordered_value", "delivered_value",
+        "procurement_delivered_value", "total_weight_kg", "transported_weight_kg"),
+    "decimal(16,3)": ("total_volume_m3", "transported_volume_m3"),
+    "decimal(14,2)": ("average_order_value", "average_days_of_cover", "median_days_of_cover"),
+    "decimal(14,4)": ("average_unit_price",),
+    "decimal(10,2)": (
+        "average_actual_lead_time_days", "average_standard_lead_time_days", "average_picking_hours",
+        "median_picking_hours", "average_order_to_expedition_days",
+        "average_procurement_lead_time_days", "capacity_m3"),
+}
+MART_BIGINTS = ("units_sold", "ordered_units", "delivered_units", "undelivered_units", "supplier_id")
+# ---------------------------------------------------------------------------------------------
+
+
+def mart_limit(field: T.StructField) -> str | None:
+    """Type that the marts' contract gives a column, if values of the column may be beyond it."""
+    for declared, columns in MART_LIMITS.items():
+        if field.name in columns:
+            return declared
+    if field.name.endswith("_pct"):
+        return "decimal(9,4)"
+    return "int" if isinstance(field.dataType, T.LongType) and field.name not in MART_BIGINTS else None
+
+
 _SPARK_TYPES = {
     "text": T.StringType(), "integer": T.IntegerType(), "date": T.DateType(),
     "datetime": T.TimestampNTZType(),
@@ -227,3 +255,26 @@ class Marts(_TableSet):
     """The seven monthly marts."""
 
     names = MART_TABLES
+
+
+class State(_TableSet):
+    """Facts reduced for the marts; rows of several batches are merged by ``MERGED_BY``."""
+
+    names = (
+        "product_days", "customer_months", "product_customers", "price_points", "supplier_totals",
+        "shipment_totals", "picking_times", "vehicle_days",
+    )
+
+
+# State table -> key; columns beside it are added up, these but by their maximum.
+MERGED_BY = {
+    "product_days": ("month_start", "product_id", "order_date"),
+    "customer_months": ("month_start", "customer_id"),
+    "product_customers": ("month_start", "product_id", "customer_id"),
+    "price_points": ("product_id", "price_date"),
+    "supplier_totals": ("month_start", "supplier_id"),
+    "shipment_totals": ("month_start",),
+    "picking_times": ("month_start", "picking"),
+    "vehicle_days": ("vehicle_id", "expedition_date"),
+}
+MERGED_MAXIMA = ("packed", "top_weight", "top_volume")

@@ -2,37 +2,66 @@
 
 The lookup needs one answer per (product, day), however many sales lines share that day.  Both
 sides are therefore reduced to one row per product and day *before* anything is ordered:
-purchases by ``max_by``, combined in each task after sorting its lines (a
-struct's maximum is no hash aggregate), demand by the caller's aggregation.  What is left
-per product is bounded by the calendar (two rows a day), so a product that holds a third of all
-lines makes the window no larger than any other product's.
+purchases by the maximum of one packed number, which is a hash aggregate and needs no sorting of
+lines, demand by the caller's aggregation.  What is left per product is bounded by the calendar
+(two rows a day), so a product that holds a third of all lines makes the window no larger than
+any other product's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Places of the packed number, from the right: price in cents (moved up, so that it is positive),
+# number of the line, delivery day.  They fill 37 of the 38 digits of a decimal.
+_PRICE, _LINE = 11, 19
+_PACKED = "decimal(38,0)"
 
-def price_points(purchase_orders: DataFrame, purchase_order_lines: DataFrame) -> DataFrame:
-    """One row per product and purchase day: (product_id, price_date, price).
 
-    Of several lines on a day the latest delivery wins, then the line loaded last.
+def _whole(power: int) -> Column:
+    return F.lit("1" + "0" * power).cast(f"decimal({power + 1},0)")
+
+
+def line_number_of(lines: DataFrame) -> Column:
+    """A line's place in the order of loading: batch, then sheet row; 2^40 rows a batch."""
+    row = F.col("source_row_number").cast("bigint")
+    return F.shiftleft(F.col("batch_seq").cast("bigint"), 40) + row if "batch_seq" in lines.columns else row
+
+
+def packed_points(purchase_orders: DataFrame, purchase_order_lines: DataFrame) -> DataFrame:
+    """(product_id, price_date, packed): of several lines on a day the latest delivery wins, then the line loaded last.
+
+    ``packed`` may be merged with that of other batches by its maximum.
     """
-    loaded_last = [c for c in ("batch_seq",) if c in purchase_order_lines.columns]
-    rank = F.struct("delivery_date", *loaded_last, "purchase_order_id", "line_number",
-                    "purchase_price")
+    day = F.date_diff("delivery_date", F.lit("0001-01-01").cast("date")).cast("decimal(7,0)")
+    cents = (F.col("purchase_price") * 100).cast("decimal(11,0)") + _whole(_PRICE - 1)
+    packed = (day * _whole(_PRICE + _LINE)
+              + F.col("_line").cast("decimal(19,0)") * _whole(_PRICE) + cents).cast(_PACKED)
     lines = purchase_order_lines.select(
-        "purchase_order_id", "product_id", "purchase_price", rank.alias("rank"))
+        "purchase_order_id", "product_id", "delivery_date", "purchase_price",
+        line_number_of(purchase_order_lines).alias("_line")).select(
+        "purchase_order_id", "product_id", packed.alias("packed"))
     headers = purchase_orders.select("purchase_order_id",
                                      F.col("order_date").alias("price_date"))
     return (
         lines.join(headers, "purchase_order_id")
-        .groupBy("product_id", "price_date")
-        .agg(F.max_by("purchase_price", "rank").alias("price"))
+        .groupBy("product_id", "price_date").agg(F.max("packed").alias("packed"))
     )
 
 
+def unpacked(points: DataFrame) -> DataFrame:
+    """(product_id, price_date, price) of packed points."""
+    cents = (F.col("packed") % _whole(_PRICE)).cast("bigint") - 10 ** (_PRICE - 1)
+    price = (cents.cast("decimal(10,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(10,2)")
+    return points.select("product_id", "price_date", price.alias("price"))
+
+
+def price_points(purchase_orders: DataFrame, purchase_order_lines: DataFrame) -> DataFrame:
+    """One row per product and purchase day: (product_id, price_date, price)."""
+    return unpacked(packed_points(purchase_orders, purchase_order_lines))
+
+
 def with_price_as_of(demand: DataFrame, points: DataFrame, day: str,
                      output: str = "historical_price") -> DataFrame:
     """Add the last price with ``price_date <= day`` (null where the product has none yet).

@@ -15,16 +15,18 @@ from pyspark.sql import functions as F
 _BINS_PER_E = 4096
 
 
-def grouped_median(df: DataFrame, keys: list[str], value: str, output: str = "median") -> DataFrame:
+def grouped_median(df: DataFrame, keys: list[str], value: str, output: str = "median",
+                   weight: str | None = None) -> DataFrame:
     """Median of the non-null values per group: the mean of the two middle values.
 
-    ``value`` must be an integer or a decimal.
+    ``value`` must be an integer or a decimal; with ``weight`` a row stands for so many equal ones.
     """
+    times = F.count("*") if weight is None else F.sum(weight)
     number = F.col("_v").cast("double")
     log_bin = F.signum(number) * F.floor(F.ln(F.abs(number) + 1.0) * _BINS_PER_E)
     pairs = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+        .groupBy(*keys, F.col(value).alias("_v")).agg(times.alias("_n"))
         .withColumn("_bin", log_bin.cast("long"))
     )
 

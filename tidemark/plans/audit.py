@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.model import BATCH_STATUSES, SEVERITIES
+from tidemark.model import BATCH_STATUSES, SEVERITIES, mart_limit
+from tidemark.operators.findings import explode_where
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("batch_id", T.StringType(), False),
@@ -182,6 +183,23 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
 
 
+def overflow_violations(mart: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """``table_name, key, column_name, value, declared``: values of a mart beyond the type its contract declares.
+
+    Marts are kept in wider types, so such a value is found as a row instead of ending the job.
+    """
+    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    found = []
+    for field in mart.schema.fields:
+        declared = mart_limit(field)
+        if declared and field.name not in keys:
+            value = F.col(field.name)
+            found.append((value.isNotNull() & value.try_cast(declared).isNull(), F.struct(
+                F.lit(name).alias("table_name"), key.alias("key"), F.lit(field.name).alias("column_name"),
+                value.cast("string").alias("value"), F.lit(declared).alias("declared"))))
+    return explode_where(mart, found)
+
+
 def batch_violations(batch_table: DataFrame) -> DataFrame:
     """Batches whose record breaks a domain rule."""
     sha = F.col("file_sha256").rlike("^[0-9a-f]{64}$")

@@ -348,10 +348,22 @@ def variant_sheet(raw: DataFrame, sheet: str, columns: list[str]) -> DataFrame:
 
 # --- C14, C15: roll-ups ---------------------------------------------------------------------------
 
+def counted_issues(issues: DataFrame, once: Column | None = None) -> DataFrame:
+    """Issues per (level, code); those with the same value of ``once`` (where it is not null) count as one."""
+    once = F.lit(None).cast("string") if once is None else once
+    return (
+        issues.groupBy("level", "code", once.alias("_once")).agg(F.count("*").alias("_n"))
+        .groupBy("level", "code").agg(
+            F.sum(F.when(F.col("_once").isNull(), F.col("_n")).otherwise(1)).alias("issue_count"))
+    )
+
+
 def issue_rollup(issues: DataFrame, order: list[str], example: Column,
-                 limit: int = VALUE_EXAMPLES) -> DataFrame:
+                 limit: int = VALUE_EXAMPLES, once: Column | None = None) -> DataFrame:
     """C14: number of issues per (level, code) with the first ``limit`` examples.
 
+    ``once``: see ``counted_issues``.
+
     The row number is filtered by a constant, which Spark applies per task before the exchange:
     a code that fires on every row still sends only ``limit`` examples per task.
     """
@@ -363,8 +375,7 @@ def issue_rollup(issues: DataFrame, order: list[str], example: Column,
         .agg(F.sort_array(F.collect_list(F.struct("_rank", "_example"))).alias("e"))
         .select("level", "code", F.col("e._example").alias("examples"))
     )
-    counts = issues.groupBy("level", "code").agg(F.count("*").alias("issue_count"))
-    return counts.join(examples, ["level", "code"])
+    return counted_issues(issues, once).join(examples, ["level", "code"])
 
 
 def value_totals(rows: dict[str, DataFrame], contract: list[ContractColumn],

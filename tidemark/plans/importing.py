@@ -11,7 +11,7 @@ import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,20 +81,33 @@ class Store:
             T.StructField("import_batch_id", T.StringType())])
         return self._read(self.path("audit", "issues"), schema)
 
-    def core(self) -> Core | None:
-        """Core tables of the completed batches; None before the first one."""
-        done = self.batches().where("status = 'completed'").select("batch_id", "batch_seq")
-        newest = done.agg(F.max("batch_seq").alias("s")).first().s
-        if newest is None:
+    def completed(self) -> list[str]:
+        """Batches that count, in their order: one entry an import."""
+        rows = self.batches().where("status = 'completed'").orderBy("batch_seq").select("batch_id").collect()
+        return [r.batch_id for r in rows]
+
+    def newest(self) -> int | None:
+        """Sequence of the newest completed batch: the version of the dimensions."""
+        return self.batches().where("status = 'completed'").agg(F.max("batch_seq").alias("s")).first().s
+
+    def core(self, batch_ids: list[str] | None = None, version: int | None = None) -> Core | None:
+        """Core tables of the completed batches; None before the first one.
+
+        ``batch_ids``: facts of these batches alone; ``version``: dimensions as of that batch.
+        """
+        version = self.newest() if version is None else version
+        if version is None:
             return None
-        ids = done.select(F.col("batch_id").alias("source_import_batch_id"))
+        done = self.batches().where("status = 'completed'").select(F.col("batch_id").alias("source_import_batch_id"))
 
         def fact(name: str) -> DataFrame:
             rows = self.spark.read.parquet(self.path("core", name))
-            return rows.join(ids, "source_import_batch_id", "left_semi")
+            if batch_ids is not None:   # folders of other batches are not read
+                return rows.where(F.col("source_import_batch_id").isin(batch_ids))
+            return rows.join(done, "source_import_batch_id", "left_semi")
 
         def dimension(name: str) -> DataFrame:
-            return self.spark.read.parquet(self.path("core", name, f"version={newest}"))
+            return self.spark.read.parquet(self.path("core", name, f"version={version}"))
 
         return Core(**{
             **{n: (lambda n=n: fact(n)) for n in FACTS},
@@ -123,20 +136,21 @@ def check_input(sheets: dict[str, DataFrame], entries: list[contract.ContractCol
     def textual(df: DataFrame) -> bool:
         return all(isinstance(f.dataType, T.StringType) for f in df.schema.fields if f.name != "source_row_number")
 
-    def counted(step: str, issues: list[DataFrame]) -> None:
-        rows = reduce(DataFrame.unionByName, issues).groupBy("level", "code").count().collect()
+    def counted(step: str, issues: DataFrame, once: Column | None = None) -> None:
+        rows = contract.counted_issues(issues, once).collect()   # one row a code
         verdict["step"] = step
-        verdict[step] = {r.code: r["count"] for r in sorted(rows, key=lambda r: r.code)}
+        verdict[step] = {r.code: r.issue_count for r in sorted(rows, key=lambda r: r.code)}
         for level, name in (("ERROR", "error_count"), ("WARNING", "warning_count")):
-            verdict[name] += sum(r["count"] for r in rows if r.level == level)
+            verdict[name] += sum(r.issue_count for r in rows if r.level == level)
 
-    counted("values", [contract.value_issues(df, n, entries, from_text=textual(df)).select("level", "code")
-                       for n, df in sheets.items()])
+    counted("values", reduce(DataFrame.unionByName, [
+        contract.value_issues(df, n, entries, from_text=textual(df)).select("level", "code")
+        for n, df in sheets.items()]))
     if verdict["error_count"]:
         return verdict
     typed = Sheets(**{n: (lambda n=n: sheets[n].select("source_row_number", *[
         staging.tried(F.col(c).cast("string"), declared).alias(c) for c, declared, _ in SHEETS[n]])) for n in SHEETS})
-    counted("business", [sheet_rules.all_findings(typed).select("level", "code")])
+    counted("business", sheet_rules.all_findings(typed), sheet_rules.counted_once())
     return verdict
 
 

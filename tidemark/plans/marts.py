@@ -1,8 +1,9 @@
-"""The seven monthly marts.
+"""The seven monthly marts, in two steps.
 
-Shape shared by the sales and stock marts: facts are first reduced to (product, day) or
-(product, customer, month) rows with map-side combining, the as-of cost is attached to the
-reduced rows, and only then are months summed.  No plan here orders or collects a whole group.
+Facts are first reduced with map-side combining: to (product, day), (customer, month), (supplier,
+month), (vehicle, day) rows.  These reduced tables (``State``) can be merged across batches
+by sums and maxima.  Then marts are finished from them: the as-of cost is attached to product days
+and months are summed.  No plan here orders or collects a whole group, and building one starts no job.
 """
 
 from __future__ import annotations
@@ -14,11 +15,10 @@ from pyspark.sql import types as T
 from tidemark.functions.numeric import count_true, month_of, percent, ratio, rounded
 from tidemark.model import (
     CARRIER, DAYS, DAYS_PER_MONTH, MONEY, OWN, PERCENT, PICKUP, UNIT_PRICE, VOLUME, WEIGHT,
-    Core, Marts,
+    Core, Marts, State,
 )
-from tidemark.operators.asof import price_points, with_price_as_of
+from tidemark.operators.asof import packed_points, unpacked, with_price_as_of
 from tidemark.operators.median import grouped_median
-from tidemark.session import written
 
 _AMOUNT = T.DecimalType(38, 2)
 _DAYS_OF_COVER = T.DecimalType(28, 10)
@@ -35,34 +35,60 @@ def _amount(cents: str) -> Column:
             ).cast(_AMOUNT)
 
 
-# --- M00: as-of cost --------------------------------------------------------------------------
-
-def purchase_price_points(core: Core) -> DataFrame:
-    return price_points(core.purchase_orders, core.purchase_order_lines)
-
+# --- facts reduced ----------------------------------------------------------------------------
 
 def sales_lines(core: Core) -> DataFrame:
     """Sales lines with the header fields the marts need."""
     headers = core.sales_orders.select("order_id", "order_date", "customer_id")
     lines = core.sales_order_lines.select("order_id", "product_id", "quantity", "unit_price")
-    return lines.join(headers, "order_id")
+    return lines.join(headers, "order_id").withColumn("month_start", month_of(F.col("order_date")))
 
 
-def product_days(detail: DataFrame) -> DataFrame:
+def product_days(core: Core) -> DataFrame:
     """Sales lines summed per product and day."""
-    return detail.groupBy("product_id", "order_date").agg(
+    return sales_lines(core).groupBy("month_start", "product_id", "order_date").agg(
         F.sum("quantity").alias("units"),
         F.sum(_line_cents("quantity", "unit_price")).alias("revenue_cents"),
         F.count("*").alias("line_count"),
     )
 
 
-def costed_product_days(core: Core, detail: DataFrame, points: DataFrame) -> DataFrame:
+def customer_months(core: Core) -> DataFrame:
+    """Orders with lines per customer and month: an order has one customer and one date."""
+    return sales_lines(core).select("order_id", "customer_id", "month_start").distinct().groupBy(
+        "month_start", "customer_id").agg(F.count("*").alias("orders"))
+
+
+def product_customers(core: Core) -> DataFrame:
+    """Orders per product, customer and month."""
+    return sales_lines(core).select("order_id", "product_id", "customer_id", "month_start").distinct().groupBy(
+        "month_start", "product_id", "customer_id").agg(F.count("*").alias("orders"))
+
+
+def reduced(core: Core, facts: Core | None = None) -> State:
+    """The facts of ``facts`` (all of ``core`` by default) reduced; master data and headers are looked up in ``core``."""
+    facts = core if facts is None else facts
+    return State(
+        product_days=lambda: product_days(facts),
+        customer_months=lambda: customer_months(facts),
+        product_customers=lambda: product_customers(facts),
+        price_points=lambda: packed_points(facts.purchase_orders, facts.purchase_order_lines),
+        supplier_totals=lambda: supplier_totals(facts.replace(products=core.products)),
+        shipment_totals=lambda: shipment_totals(facts.replace(sales_orders=core.sales_orders)),
+        picking_times=lambda: picking_times(facts),
+        vehicle_days=lambda: vehicle_days(facts.replace(vehicles=core.vehicles)),
+    )
+
+
+# --- M00: as-of cost --------------------------------------------------------------------------
+
+def costed_product_days(core: Core, state: State | None = None) -> DataFrame:
     """Product days with unit cost: as-of purchase price, else the product's master price."""
+    state = reduced(core) if state is None else state
     master = core.products.select("product_id", "purchase_price")
     historical = F.col("historical_price")
     return (
-        with_price_as_of(product_days(detail), points, "order_date")
+        with_price_as_of(state.product_days, unpacked(state.price_points), "order_date")
         .join(master, "product_id")
         .withColumn("has_historical_cost", historical.isNotNull())
         .withColumn("unit_cost", F.coalesce(historical, "purchase_price"))
@@ -72,8 +98,8 @@ def costed_product_days(core: Core, detail: DataFrame, points: DataFrame) -> Dat
 
 def as_of_unit_cost(core: Core) -> DataFrame:
     """M00 as a result of its own: unit cost per product and sales day."""
-    days = costed_product_days(core, sales_lines(core), purchase_price_points(core))
-    return days.select("product_id", "order_date", "unit_cost", "has_historical_cost")
+    return costed_product_days(core).select(
+        "product_id", "order_date", "unit_cost", "has_historical_cost")
 
 
 def _cost_sums(days: DataFrame, *keys: Column | str) -> DataFrame:
@@ -97,20 +123,13 @@ def _profit() -> Column:
 
 # --- M01 / M02: sales -------------------------------------------------------------------------
 
-def sales_monthly(core: Core, detail: DataFrame | None = None,
-                  points: DataFrame | None = None) -> DataFrame:
-    detail = sales_lines(core) if detail is None else detail
-    points = purchase_price_points(core) if points is None else points
-    money = _cost_sums(costed_product_days(core, detail, points),
-                       month_of(F.col("order_date")).alias("month_start"))
-    # An order has one customer and one date: reduce to orders, then customers, then months.
-    buyers = (
-        detail.select("order_id", "customer_id",
-                      month_of(F.col("order_date")).alias("month_start")).distinct()
-        .groupBy("month_start", "customer_id").agg(F.count("*").alias("orders"))
-        .groupBy("month_start").agg(F.sum("orders").alias("order_count"),
-                                    F.count("customer_id").alias("customer_count"))
-    )
+def sales_monthly(core: Core, state: State | None = None,
+                  costed: DataFrame | None = None) -> DataFrame:
+    state = reduced(core) if state is None else state
+    costed = costed_product_days(core, state) if costed is None else costed
+    money = _cost_sums(costed, "month_start")
+    buyers = state.customer_months.groupBy("month_start").agg(
+        F.sum("orders").alias("order_count"), F.count("customer_id").alias("customer_count"))
     return money.join(buyers, "month_start").select(
         "month_start",
         rounded(F.col("revenue"), MONEY).alias("revenue"),
@@ -129,20 +148,14 @@ def sales_monthly(core: Core, detail: DataFrame | None = None,
     )
 
 
-def product_sales_monthly(core: Core, detail: DataFrame | None = None,
-                          points: DataFrame | None = None) -> DataFrame:
-    detail = sales_lines(core) if detail is None else detail
-    points = purchase_price_points(core) if points is None else points
+def product_sales_monthly(core: Core, state: State | None = None,
+                          costed: DataFrame | None = None) -> DataFrame:
+    state = reduced(core) if state is None else state
+    costed = costed_product_days(core, state) if costed is None else costed
     keys = ["month_start", "product_id"]
-    money = _cost_sums(costed_product_days(core, detail, points),
-                       month_of(F.col("order_date")).alias("month_start"), "product_id")
-    buyers = (
-        detail.select("order_id", "product_id", "customer_id",
-                      month_of(F.col("order_date")).alias("month_start")).distinct()
-        .groupBy(*keys, "customer_id").agg(F.count("*").alias("orders"))
-        .groupBy(*keys).agg(F.sum("orders").alias("order_count"),
-                            F.count("customer_id").alias("customer_count"))
-    )
+    money = _cost_sums(costed, *keys)
+    buyers = state.product_customers.groupBy(*keys).agg(
+        F.sum("orders").alias("order_count"), F.count("customer_id").alias("customer_count"))
     catalogue = core.products.select("product_id", "product_name", "category", "supplier_id")
     names = core.suppliers.select(F.col("id").alias("supplier_id"), "supplier_name")
     return (
@@ -163,52 +176,68 @@ def product_sales_monthly(core: Core, detail: DataFrame | None = None,
 
 # --- M03: inventory ---------------------------------------------------------------------------
 
-def monthly_units(core: Core, detail: DataFrame | None = None) -> DataFrame:
+def monthly_units(core: Core, state: State | None = None) -> DataFrame:
     """Units sold per month and product."""
-    detail = sales_lines(core) if detail is None else detail
-    return detail.groupBy(month_of(F.col("order_date")).alias("month_start"), "product_id").agg(
-        F.sum("quantity").alias("units_sold"))
-
+    state = reduced(core) if state is None else state
+    return state.product_days.groupBy("month_start", "product_id").agg(
+        F.sum("units").alias("units_sold"))
 
-def inventory_detail(core: Core, detail: DataFrame | None = None,
-                     points: DataFrame | None = None) -> DataFrame:
-    """Stock lines with unit cost, month sales and days of cover.
 
-    The snapshot date is used as the month as it stands: a snapshot taken inside a month meets
-    no month sales and so has no days of cover.
-    """
-    points = purchase_price_points(core) if points is None else points
+def stock_lines(core: Core) -> DataFrame:
+    """Stock lines with their snapshot date as the month."""
     dates = core.inventory_snapshots.select(F.col("id").alias("snapshot_id"), "snapshot_date")
-    stock = (
+    return (
         core.inventory_snapshot_lines
         .select("snapshot_id", "product_id", "stock_available", "min_stock", "max_stock")
         .join(dates, "snapshot_id")
         .select("product_id", F.col("snapshot_date").alias("month_start"), "stock_available",
                 "min_stock", "max_stock")
     )
-    master = core.products.select("product_id", "purchase_price", "sales_price")
+
+
+def _cover() -> Column:
     cover = (
         F.col("stock_available").cast("decimal(16,0)")
         * F.lit(DAYS_PER_MONTH).cast("decimal(6,4)")
         / F.nullif(F.col("units_sold"), F.lit(0)).cast("decimal(12,0)")
     )
+    return F.when(F.col("units_sold") > 0, cover.cast(_DAYS_OF_COVER)).alias("days_of_cover")
+
+
+def inventory_detail(core: Core, state: State | None = None,
+                     stock: DataFrame | None = None) -> DataFrame:
+    """Stock lines with unit cost, month sales and days of cover.
+
+    The snapshot date is used as the month as it stands: a snapshot taken inside a month meets
+    no month sales and so has no days of cover.
+    """
+    state = reduced(core) if state is None else state
+    stock = stock_lines(core) if stock is None else stock
+    master = core.products.select("product_id", "purchase_price", "sales_price")
     return (
-        with_price_as_of(stock, points, "month_start")
+        with_price_as_of(stock, unpacked(state.price_points), "month_start")
         .join(master, "product_id")
-        .join(monthly_units(core, detail), ["month_start", "product_id"], "left")
+        .join(monthly_units(core, state), ["month_start", "product_id"], "left")
         .select(
             "month_start", "product_id", "stock_available", "min_stock", "max_stock",
             "sales_price", F.coalesce("historical_price", "purchase_price").alias("unit_cost"),
             F.col("historical_price").isNotNull().alias("has_historical_cost"), "units_sold",
-            F.when(F.col("units_sold") > 0, cover.cast(_DAYS_OF_COVER)).alias("days_of_cover"),
+            _cover(),
         )
     )
 
 
-def inventory_health_monthly(core: Core, detail: DataFrame | None = None,
-                             points: DataFrame | None = None) -> DataFrame:
-    # Sums and median both read the detail: written once instead of joined twice.
-    lines = written(inventory_detail(core, detail, points), "inventory_detail")
+def days_of_cover(core: Core, state: State, stock: DataFrame) -> DataFrame:
+    """The stock lines that have days of cover, as far as a median needs them: no cost, no master data."""
+    sold = monthly_units(core, state).where("units_sold > 0")
+    return stock.join(sold, ["month_start", "product_id"]).select("month_start", _cover())
+
+
+def inventory_health_monthly(core: Core, state: State | None = None,
+                             stock: DataFrame | None = None) -> DataFrame:
+    state = reduced(core) if state is None else state
+    stock = stock_lines(core) if stock is None else stock
+    lines = inventory_detail(core, state, stock)
     available, low, high = F.col("stock_available"), F.col("min_stock"), F.col("max_stock")
     sold = F.col("units_sold")
     sums = lines.groupBy("month_start").agg(
@@ -225,8 +254,9 @@ def inventory_health_monthly(core: Core, detail: DataFrame | None = None,
         F.sum("days_of_cover").alias("cover_sum"),
         F.count("days_of_cover").alias("cover_count"),
     )
-    medians = grouped_median(lines.select("month_start", "days_of_cover"), ["month_start"],
-                             "days_of_cover", "cover_median")
+    # Every stock line has a product (a constraint of the core), so the median needs no master data.
+    medians = grouped_median(days_of_cover(core, state, stock), ["month_start"], "days_of_cover",
+                             "cover_median")
     return sums.join(medians, "month_start", "left").select(
         "month_start", "product_count", "stockout_products", "below_min_products",
         "above_max_products", "healthy_products",
@@ -248,7 +278,8 @@ def inventory_health_monthly(core: Core, detail: DataFrame | None = None,
 
 # --- M04: procurement -------------------------------------------------------------------------
 
-def procurement_supplier_monthly(core: Core) -> DataFrame:
+def supplier_totals(core: Core) -> DataFrame:
+    """Purchases summed per month and supplier."""
     headers = core.purchase_orders.select("purchase_order_id", "order_date", "supplier_id")
     lines = core.purchase_order_lines.select(
         "purchase_order_id", "product_id", "delivery_date", "ordered_quantity",
@@ -272,9 +303,13 @@ def procurement_supplier_monthly(core: Core) -> DataFrame:
     )
     sums = ("lines", "ordered", "delivered", "lead", "standard_lead", "in_time", "late")
     cents = ("ordered_cents", "delivered_cents")
-    totals = per_order.groupBy("month_start", "supplier_id").agg(
+    return per_order.groupBy("month_start", "supplier_id").agg(
         F.count("*").alias("orders"), *[F.sum(c).alias(c) for c in sums],
-        *[F.sum(F.col(c).cast("decimal(18,0)")).alias(c) for c in cents])
+        *[F.sum(F.col(c).cast("decimal(18,0)")).cast("decimal(34,0)").alias(c) for c in cents])
+
+
+def procurement_supplier_monthly(core: Core, state: State | None = None) -> DataFrame:
+    totals = (reduced(core) if state is None else state).supplier_totals
     names = core.suppliers.select(F.col("id").alias("supplier_id"), "supplier_name")
     lines_count = F.col("lines")
     return totals.join(names, "supplier_id").select(
@@ -297,36 +332,45 @@ def procurement_supplier_monthly(core: Core) -> DataFrame:
 
 # --- M05: expedition --------------------------------------------------------------------------
 
-def expedition_monthly(core: Core) -> DataFrame:
+def _picking() -> Column:
+    return F.timestamp_diff("MICROSECOND", F.col("received_at"), F.col("picked_at")).alias("picking")
+
+
+def shipment_totals(core: Core) -> DataFrame:
+    """Shipments summed per month."""
     orders = core.sales_orders.select("order_id", "order_date")
-    micros = F.timestamp_diff("MICROSECOND", F.col("received_at"), F.col("picked_at"))
-    shipments = (
-        core.expeditions.join(orders, "order_id")
-        .select(
-            month_of(F.col("expedition_date")).alias("month_start"), "delivery_type",
-            "weight_kg", "volume_m3", micros.alias("picking"),
-            F.date_diff("expedition_date", "order_date").alias("days"),
-        )
-    )
-    # Sums and median both read the joined shipments: written once instead of joined twice.
-    shipments = written(shipments, "shipments")
     kind = F.col("delivery_type")
-    sums = shipments.groupBy("month_start").agg(
-        F.count("*").alias("expedition_count"),
-        count_true(kind == OWN).alias("own_delivery_expeditions"),
-        count_true(kind == CARRIER).alias("external_delivery_expeditions"),
-        count_true(kind == PICKUP).alias("pickup_expeditions"),
-        F.sum("weight_kg").alias("weight"), F.sum("volume_m3").alias("volume"),
-        F.sum(F.col("picking").cast("decimal(20,0)")).alias("picking"),
-        F.count("picking").alias("picked"),
-        F.sum("days").alias("days"),
-        count_true(F.col("days") == 0).alias("same_day"),
+    return (
+        core.expeditions.join(orders, "order_id")
+        .select(month_of(F.col("expedition_date")).alias("month_start"), "delivery_type",
+                "weight_kg", "volume_m3", _picking(),
+                F.date_diff("expedition_date", "order_date").alias("days"))
+        .groupBy("month_start").agg(
+            F.count("*").alias("expedition_count"),
+            count_true(kind == OWN).alias("own_delivery_expeditions"),
+            count_true(kind == CARRIER).alias("external_delivery_expeditions"),
+            count_true(kind == PICKUP).alias("pickup_expeditions"),
+            F.sum("weight_kg").cast("decimal(28,2)").alias("weight"),
+            F.sum("volume_m3").cast("decimal(28,3)").alias("volume"),
+            F.sum(F.col("picking").cast("decimal(20,0)")).cast("decimal(30,0)").alias("picking"),
+            F.count("picking").alias("picked"),
+            F.sum("days").alias("days"),
+            count_true(F.col("days") == 0).alias("same_day"))
     )
-    medians = grouped_median(shipments.select("month_start", "picking"), ["month_start"],
-                             "picking", "picking_median")
+
+
+def picking_times(core: Core) -> DataFrame:
+    """How often each picking time, a missing one too, occurs in a month.  A shipment has an order (a constraint)."""
+    return core.expeditions.select(
+        month_of(F.col("expedition_date")).alias("month_start"), _picking()).groupBy("month_start", "picking").agg(F.count("*").alias("n"))
+
+
+def expedition_monthly(core: Core, state: State | None = None) -> DataFrame:
+    state = reduced(core) if state is None else state
+    medians = grouped_median(state.picking_times, ["month_start"], "picking", "picking_median", "n")
     count = F.col("expedition_count")
     hour = F.lit(3_600_000_000).cast("decimal(10,0)")
-    return sums.join(medians, "month_start", "left").select(
+    return state.shipment_totals.join(medians, "month_start", "left").select(
         "month_start", "expedition_count", "own_delivery_expeditions",
         "external_delivery_expeditions", "pickup_expeditions",
         rounded(F.col("weight"), WEIGHT).alias("total_weight_kg"),
@@ -340,35 +384,40 @@ def expedition_monthly(core: Core) -> DataFrame:
 
 # --- M06: vehicles ----------------------------------------------------------------------------
 
-def vehicle_utilization_monthly(core: Core) -> DataFrame:
-    """Dense months x vehicles.
-
-    The months are one bounded array (a scalar subquery over the calendar) exploded onto the
-    fleet; trips are reduced per vehicle and day before they meet that grid.
-    """
-    fleet = core.vehicles.select("vehicle_id", "driver", "capacity_kg", "capacity_m3")
-    months = core.expeditions.select(
-        month_of(F.col("expedition_date")).alias("m")).distinct().agg(F.collect_set("m"))
-    grid = fleet.select("*", F.explode(months.scalar()).alias("month_start"))
-
+def vehicle_days(core: Core) -> DataFrame:
+    """Trips with the own fleet summed per vehicle and day."""
     own = core.expeditions.where(F.col("delivery_type") == OWN).select(
         "vehicle_id", "expedition_date", "weight_kg", "volume_m3")
     limits = core.vehicles.select("vehicle_id", "capacity_kg", "capacity_m3")
     too_much = ((F.col("weight_kg") > F.col("capacity_kg"))
                 | (F.col("volume_m3") > F.col("capacity_m3")))
-    trips = (
+    return (
         own.join(limits, "vehicle_id")
         .groupBy("vehicle_id", "expedition_date").agg(
             F.count("*").alias("trips"),
-            F.sum("weight_kg").alias("weight"), F.sum("volume_m3").alias("volume"),
+            F.sum("weight_kg").cast("decimal(24,2)").alias("weight"),
+            F.sum("volume_m3").cast("decimal(24,3)").alias("volume"),
             F.max("weight_kg").alias("top_weight"), F.max("volume_m3").alias("top_volume"),
             count_true(too_much).alias("overloaded"))
-        .groupBy("vehicle_id", month_of(F.col("expedition_date")).alias("month_start")).agg(
-            F.sum("trips").alias("trips"), F.count("*").alias("days"),
-            F.sum("weight").alias("weight"), F.sum("volume").alias("volume"),
-            F.max("top_weight").alias("top_weight"), F.max("top_volume").alias("top_volume"),
-            F.sum("overloaded").alias("overloaded"))
     )
+
+
+def vehicle_utilization_monthly(core: Core, state: State | None = None) -> DataFrame:
+    """Dense months x vehicles.
+
+    The months are one bounded array (a scalar subquery over the calendar) exploded onto the
+    fleet; trips are reduced per vehicle and day before they meet that grid.
+    """
+    state = reduced(core) if state is None else state
+    fleet = core.vehicles.select("vehicle_id", "driver", "capacity_kg", "capacity_m3")
+    months = state.picking_times.select("month_start").distinct().agg(F.collect_set("month_start"))
+    grid = fleet.select("*", F.explode(months.scalar()).alias("month_start"))
+    trips = state.vehicle_days.groupBy(
+        "vehicle_id", month_of(F.col("expedition_date")).alias("month_start")).agg(
+        F.sum("trips").alias("trips"), F.count("*").alias("days"),
+        F.sum("weight").alias("weight"), F.sum("volume").alias("volume"),
+        F.max("top_weight").alias("top_weight"), F.max("top_volume").alias("top_volume"),
+        F.sum("overloaded").alias("overloaded"))
     count = F.col("trips")
     zero = F.lit(0)
     return grid.join(trips, ["month_start", "vehicle_id"], "left").select(
@@ -459,17 +508,18 @@ def management_kpis_monthly(sales: DataFrame, inventory: DataFrame, procurement:
     )
 
 
-def all_marts(core: Core) -> Marts:
+def all_marts(core: Core, state: State | None = None) -> Marts:
     """The plans of all seven marts."""
-    detail, points = sales_lines(core), purchase_price_points(core)
-    sales = sales_monthly(core, detail, points)
-    inventory = inventory_health_monthly(core, detail, points)
-    procurement = procurement_supplier_monthly(core)
-    expedition = expedition_monthly(core)
-    vehicles = vehicle_utilization_monthly(core)
+    state = reduced(core) if state is None else state
+    costed = costed_product_days(core, state)
+    sales = sales_monthly(core, state, costed)
+    inventory = inventory_health_monthly(core, state)
+    procurement = procurement_supplier_monthly(core, state)
+    expedition = expedition_monthly(core, state)
+    vehicles = vehicle_utilization_monthly(core, state)
     return Marts(
         sales_monthly=sales,
-        product_sales_monthly=product_sales_monthly(core, detail, points),
+        product_sales_monthly=product_sales_monthly(core, state, costed),
         inventory_health_monthly=inventory,
         procurement_supplier_monthly=procurement,
         expedition_monthly=expedition,

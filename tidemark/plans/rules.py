@@ -1,8 +1,8 @@
 """Business rules on a staged batch: every violation is one issue row.
 
-Rules that look at one row are evaluated together: one scan per sheet, one predicate, and issue
-rows only for the rows it keeps.  Rules across rows or sheets first reduce the other
-side to one row per key.
+Rules that look at a row and what it refers to are evaluated together: one scan per sheet, joined to the keys
+or order facts it is checked against, one predicate, and issue rows only for the rows it keeps.
+Rules on whole orders read the same facts: the rows of an order reduced to one.
 """
 
 from __future__ import annotations
@@ -183,83 +183,106 @@ def _issues(rows: DataFrame, code: str, sheet: str, value: str | Column | None =
         *[F.col(f"i.{name}") for name in ISSUE_SCHEMA.names])
 
 
-def row_rule_issues(sheets: Sheets, sheet: str, codes: set[str] | None = None) -> DataFrame:
-    """All single-row rules of one sheet in one pass."""
-    found = []
-    for (code, of), (violation, value) in ROW_RULES.items():
-        if of != sheet or (codes is not None and code not in codes):
-            continue
-        shown = F.expr(value if value is not None else _TEXTS[code, sheet][0])
-        found.append((F.expr(violation), _issue(code, sheet, F.col(KEY[sheet]), shown)))
-    return explode_where(getattr(sheets, sheet), found)
-
-
-# --- rules across rows and sheets -----------------------------------------------------------------
-
-def _missing(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    return child.join(parent.select(key).distinct(), key, "left_anti")
-
+# --- facts that rules look up ---------------------------------------------------------------------
 
-def unknown_product(sheets: Sheets, sheet: str) -> DataFrame:
-    code = {"sales": "BIZ-E010", "inventory": "BIZ-E011", "purchases": "BIZ-E012"}[sheet]
-    rows = _missing(getattr(sheets, sheet), sheets.products, "product_id")
-    return _issues(rows, code, sheet)
+SALES_HEADER = ("order_date", "customer_id", "customer_name", "region", "order_status", "expedition_date")
 
 
-def unknown_order(sheets: Sheets) -> DataFrame:
-    return _issues(_missing(sheets.expedition, sheets.sales, "order_id"), "BIZ-E013",
-                   "expedition")
-
-
-def unknown_vehicle(sheets: Sheets) -> DataFrame:
-    named = sheets.expedition.where("vehicle_id is not null")
-    return _issues(_missing(named, sheets.vehicles, "vehicle_id"), "BIZ-E014", "expedition")
-
-
-def _first_rows(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(key).agg(F.min("source_row_number").alias("source_row_number"))
-
+def order_facts(sales: DataFrame) -> DataFrame:
+    """One row per order: first sheet row, number of different headers, first order date, least and
+    greatest shipping date and region."""
+    row = "source_row_number"
+    return (
+        sales.groupBy("order_id", *SALES_HEADER).agg(F.min(row).alias(row))
+        .groupBy("order_id").agg(
+            F.min(row).alias(row), F.count("*").alias("variant_count"), F.min("order_date").alias("first_date"),
+            F.min("expedition_date").alias("low_date"), F.max("expedition_date").alias("high_date"),
+            F.min("region").alias("low_region"), F.max("region").alias("high_region"))
+    )
 
-def order_without_expedition(sheets: Sheets) -> DataFrame:
-    orders = _first_rows(sheets.sales, "order_id")
-    return _issues(_missing(orders, sheets.expedition, "order_id"), "BIZ-E015", "sales")
 
+# Rules on a reference: (code, sheet) -> table that must hold the value of the rule's column, if there is one.
+REFERENCE_RULES = {
+    ("BIZ-E010", "sales"): "products",
+    ("BIZ-E011", "inventory"): "products",
+    ("BIZ-E012", "purchases"): "products",
+    ("BIZ-E014", "expedition"): "vehicles",
+}
 
-def _shipments_with_order_facts(sheets: Sheets) -> DataFrame:
-    facts = sheets.sales.groupBy("order_id").agg(
-        F.min("order_date").alias("first_date"),
-        F.min("expedition_date").alias("low_date"), F.max("expedition_date").alias("high_date"),
-        F.min("region").alias("low_region"), F.max("region").alias("high_region"))
-    return sheets.expedition.join(facts, "order_id")
 
+def _differs(own: str, low: str, high: str) -> str:
+    """The order has not exactly one value, or another one than the shipment."""
+    return f"({low} is null or {low} <> {high} or {low} <> {own})"
 
-def received_before_order(sheets: Sheets) -> DataFrame:
-    rows = _shipments_with_order_facts(sheets).where("cast(received_at as date) < first_date")
-    return _issues(rows, "BIZ-E043", "expedition")
 
+# Rules on a shipment and the facts of its order.
+SHIPMENT_RULES = {
+    "BIZ-E013": "_order is null",
+    "BIZ-E043": "cast(received_at as date) < first_date",
+    "BIZ-E080": f"_order and {_differs('expedition_date', 'low_date', 'high_date')}",
+    "BIZ-E081": f"_order and {_differs('region', 'low_region', 'high_region')}",
+}
+# Rules on the facts of an order: condition, reported value.
+ORDER_RULES = {
+    "BIZ-E015": ("_shipped is null", None),
+    "BIZ-E050": ("variant_count > 1", "variant_count"),
+    "CORE-E001": ("_loaded", None),
+}
 
-def _differs(own: str, low: str, high: str) -> str:
-    """The order has not exactly one value, or another one than the shipment."""
-    return f"{low} is null or {low} <> {high} or {low} <> {own}"
 
+def _flagged(rows: DataFrame, parent: DataFrame, key: str, flag: str) -> DataFrame:
+    """``rows`` with ``flag`` true where ``parent``, one row a key, has their key, else null."""
+    return rows.join(parent.select(key, F.lit(True).alias(flag)), key, "left")
 
-def expedition_date_differs(sheets: Sheets) -> DataFrame:
-    rows = _shipments_with_order_facts(sheets)
-    return _issues(rows.where(_differs("expedition_date", "low_date", "high_date")),
-                   "BIZ-E080", "expedition")
 
+def sheet_issues(sheets: Sheets, sheet: str, codes: set[str] | None = None) -> DataFrame | None:
+    """All rules on single rows of a sheet, and on what they refer to, in one pass."""
+    rows, found = getattr(sheets, sheet), []
 
-def region_differs(sheets: Sheets) -> DataFrame:
-    rows = _shipments_with_order_facts(sheets)
-    return _issues(rows.where(_differs("region", "low_region", "high_region")), "BIZ-E081",
-                   "expedition")
+    def wanted(code: str) -> bool:
+        return codes is None or code in codes
 
+    def add(code: str, condition: str, value: str | None = None) -> None:
+        shown = F.expr(value if value is not None else _TEXTS[code, sheet][0])
+        found.append((F.expr(condition), _issue(code, sheet, F.col(KEY[sheet]), shown)))
 
-def inconsistent_sales_header(sheets: Sheets) -> DataFrame:
-    header = ["order_date", "customer_id", "customer_name", "region", "order_status",
-              "expedition_date"]
-    found = variants(sheets.sales, "order_id", header, "source_row_number")
-    return _issues(found.where("variant_count > 1"), "BIZ-E050", "sales", "variant_count")
+    for (code, of), (violation, value) in ROW_RULES.items():
+        if of == sheet and wanted(code):
+            add(code, violation, value)
+    for (code, of), parent in REFERENCE_RULES.items():
+        if of == sheet and wanted(code):
+            column, flag = _TEXTS[code, sheet][0], f"_{parent}"
+            rows = _flagged(rows, getattr(sheets, parent).select(column).distinct(), column, flag)
+            optional = f"{column} is not null and " if code == "BIZ-E014" else ""
+            add(code, f"{optional}{flag} is null")
+    shipment = [code for code in SHIPMENT_RULES if sheet == "expedition" and wanted(code)]
+    if shipment:
+        facts = order_facts(sheets.sales).drop("source_row_number", "variant_count")
+        rows = rows.join(facts.withColumn("_order", F.lit(True)), "order_id", "left")
+        for code in shipment:
+            add(code, SHIPMENT_RULES[code])
+    return explode_where(rows, found) if found else None
+
+
+def row_rule_issues(sheets: Sheets, sheet: str) -> DataFrame:
+    """The rules that need nothing but the row."""
+    return sheet_issues(sheets, sheet, {code for code, of in ROW_RULES if of == sheet})
+
+
+def order_issues(sheets: Sheets, core: Core | None = None, codes: set[str] | None = None) -> DataFrame:
+    """The rules on whole orders in one pass over their facts; CORE-E001 only where there is a core."""
+    wanted = [c for c in ORDER_RULES if (codes is None or c in codes) and (c != "CORE-E001" or core is not None)]
+    rows = order_facts(sheets.sales)
+    if "BIZ-E015" in wanted:
+        rows = _flagged(rows, sheets.expedition.select("order_id").distinct(), "order_id", "_shipped")
+    if "CORE-E001" in wanted:
+        rows = _flagged(rows, core.sales_orders, "order_id", "_loaded")
+    found = []
+    for code in wanted:
+        condition, value = ORDER_RULES[code]
+        found.append((F.coalesce(F.expr(condition), F.lit(False)),
+                      _issue(code, "sales", F.col("order_id"), F.expr(value or _TEXTS[code, "sales"][0]))))
+    return explode_where(rows, found)
 
 
 def inconsistent_purchase_header(sheets: Sheets) -> DataFrame:
@@ -268,10 +291,8 @@ def inconsistent_purchase_header(sheets: Sheets) -> DataFrame:
     return _issues(found.where("variant_count > 1"), "BIZ-E051", "purchases", "variant_count")
 
 
-def order_already_loaded(sheets: Sheets, core: Core) -> DataFrame:
-    rows = _first_rows(sheets.sales, "order_id").join(
-        core.sales_orders.select("order_id"), "order_id", "left_semi")
-    return _issues(rows, "CORE-E001", "sales")
+def _first_rows(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.min("source_row_number").alias("source_row_number"))
 
 
 def purchase_already_loaded(sheets: Sheets, core: Core) -> DataFrame:
@@ -291,21 +312,7 @@ def expedition_already_loaded(sheets: Sheets, core: Core) -> DataFrame:
     return _issues(rows, "CORE-E004", "expedition")
 
 
-SET_RULES = {
-    ("BIZ-E010", "sales"): lambda s: unknown_product(s, "sales"),
-    ("BIZ-E011", "inventory"): lambda s: unknown_product(s, "inventory"),
-    ("BIZ-E012", "purchases"): lambda s: unknown_product(s, "purchases"),
-    ("BIZ-E013", "expedition"): unknown_order,
-    ("BIZ-E014", "expedition"): unknown_vehicle,
-    ("BIZ-E015", "sales"): order_without_expedition,
-    ("BIZ-E043", "expedition"): received_before_order,
-    ("BIZ-E050", "sales"): inconsistent_sales_header,
-    ("BIZ-E051", "purchases"): inconsistent_purchase_header,
-    ("BIZ-E080", "expedition"): expedition_date_differs,
-    ("BIZ-E081", "expedition"): region_differs,
-}
 CORE_RULES = {
-    ("CORE-E001", "sales"): order_already_loaded,
     ("CORE-E002", "purchases"): purchase_already_loaded,
     ("CORE-E003", "inventory"): snapshot_already_loaded,
     ("CORE-E004", "expedition"): expedition_already_loaded,
@@ -314,17 +321,19 @@ CORE_RULES = {
 
 def rule_issues(code: str, sheet: str, sheets: Sheets, core: Core | None = None) -> DataFrame:
     """The issues of one rule on one sheet."""
-    if (code, sheet) in ROW_RULES:
-        return row_rule_issues(sheets, sheet, {code})
-    if (code, sheet) in SET_RULES:
-        return SET_RULES[code, sheet](sheets)
-    return CORE_RULES[code, sheet](sheets, core)
+    if (code, sheet) in CORE_RULES:
+        return CORE_RULES[code, sheet](sheets, core)
+    if code in ORDER_RULES:
+        return order_issues(sheets, core, {code})
+    if code == "BIZ-E051":
+        return inconsistent_purchase_header(sheets)
+    return sheet_issues(sheets, sheet, {code})
 
 
 def all_issues(sheets: Sheets, core: Core | None) -> DataFrame:
     """Every rule on every sheet; the rules against the core only if there is one."""
-    parts = [row_rule_issues(sheets, sheet) for sheet in KEY]
-    parts += [rule(sheets) for rule in SET_RULES.values()]
+    parts = [sheet_issues(sheets, sheet) for sheet in KEY]
+    parts += [order_issues(sheets, core), inconsistent_purchase_header(sheets)]
     if core is not None:
         parts += [rule(sheets, core) for rule in CORE_RULES.values()]
     return reduce(DataFrame.unionByName, parts)

@@ -254,6 +254,15 @@ def value_pairs(sheets: Sheets, key: str, value: str) -> DataFrame:
         "k", F.coalesce(F.col("v").cast("string"), F.lit("None")).alias("v"))
 
 
+# A key with several values is one warning, of which every value is a row.
+ONE_PER_KEY = ("BIZ-W006", "BIZ-W007")
+
+
+def counted_once() -> Column:
+    """What rows of findings have in common that count as one; null for all others."""
+    return F.when(F.col("code").isin(*ONE_PER_KEY), F.coalesce("key", F.lit("")))
+
+
 def _several(sheets: Sheets, code: str, key: str, value: str, expected: str) -> DataFrame:
     """One finding per key and value of a key with several values: no list is gathered."""
     return _select(value_pairs(sheets, key, value), _finding(

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.plans import marts
+from tidemark.plans import audit, marts
 from tidemark.registry.core_sql import dates_as_text, over_core
 from tidemark.registry.portable import portable
 from tidemark.session import configure
 from tidemark.sources.tables import core_from_tables
 
 
+_AMOUNTS = ("revenue", "estimated_cost", "gross_profit")
+
+
 def _core_query(build):
     def run(spark, directory):
         return portable(build(core_from_tables(configure(spark), directory)))
@@ -21,6 +24,15 @@ def _mart_sql(name: str) -> str:
     return over_core(dates_as_text("*", name, "month_start"))
 
 
+def _beyond(core):
+    """Amounts of the sales mart times 10^8: some are within the declared type, some beyond."""
+    factor = F.lit("100000000").cast("decimal(9,0)")
+    amounts = marts.sales_monthly(core).select(
+        "month_start", *[(F.col(c) * factor).alias(c) for c in _AMOUNTS])
+    return audit.overflow_violations(amounts, "sales_monthly", ["month_start"]).withColumn(
+        "value", F.col("value").cast("double"))
+
+
 def _fleet(core):
     return marts.fleet_by_month(marts.vehicle_utilization_monthly(core))
 
@@ -50,6 +62,7 @@ QUERIES = {
     "m07c_procurement_by_month": _core_query(lambda core: marts.procurement_by_month(
         marts.procurement_supplier_monthly(core))),
     "m07d_fleet_by_month": _core_query(_fleet),
+    "constraint_overflow": _core_query(_beyond),
 }
 
 ORACLE = {
@@ -76,4 +89,9 @@ ORACLE = {
     "m07b_month_spine": _mart_sql("spine"),
     "m07c_procurement_by_month": _mart_sql("procurement_by_month"),
     "m07d_fleet_by_month": _mart_sql("fleet_by_month"),
+    "constraint_overflow": over_core(" union all ".join(f"""
+        select 'sales_monthly' as table_name, cast(month_start as varchar) as key, '{c}' as column_name,
+               cast(amount as double) as value, 'decimal(16,2)' as declared
+        from (select month_start, cast(round({c} * 100) as hugeint) * 1000000 as amount from sales_monthly)
+        where abs(amount) > 99999999999999""" for c in _AMOUNTS)),
 }

@@ -331,7 +331,7 @@ def _rollup(spark, directory):
     example = F.concat_ws("!", "sheet", F.col("source_row_number").cast("string"))
     rolled = contract.issue_rollup(
         findings, ["sheet", F.col("source_row_number").asc_nulls_last(), "key", "field"],
-        example, contract.BUSINESS_EXAMPLES)
+        example, contract.BUSINESS_EXAMPLES, sheet_rules.counted_once())
     return portable(rolled.select(
         "level", "code", "issue_count", F.array_join("examples", " ").alias("examples")))
 
@@ -348,10 +348,11 @@ _ALL_CODES = " union all ".join(
                          "e031_negative")))]])
 QUERIES["c14_business_rollup"] = _rollup
 ORACLE["c14_business_rollup"] = over_sheets(f"""
-    select level, code, max(n) as issue_count,
+    select level, code, case when code in ('BIZ-W006', 'BIZ-W007') then max(keys) else max(n) end as issue_count,
            string_agg(concat_ws('!', sheet, cast(source_row_number as varchar)), ' '
                       order by rn) as examples
     from (select *, count(*) over (partition by level, code) as n,
+                 count(distinct coalesce(key, '')) over (partition by level, code) as keys,
                  row_number() over (partition by level, code order by sheet,
                    source_row_number nulls last, key, field) as rn
           from ({_ALL_CODES})) where rn <= 20 group by level, code""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,7 @@ RUNTIME_SETTINGS = {
 
 
 _LOCAL_DIRS: dict[str, str] = {}
-_WORK: list[str] = []
+_WORK: ContextVar[str | None] = ContextVar("work_folder", default=None)
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -68,13 +69,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def work_folder(spark: SparkSession, folder: str):
-    """Meanwhile ``written`` uses ``folder``, which is deleted at the end: whoever opens it must
-    have stored its results by then."""
-    _WORK.append(folder)
+    """Meanwhile ``written`` uses ``folder`` (in this thread), which is deleted at the end: whoever opens
+    it must have stored its results by then."""
+    token = _WORK.set(folder)
     try:
         yield
     finally:
-        _WORK.remove(folder)
+        _WORK.reset(token)
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -86,7 +87,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     a lost executor re-reads files instead of recomputing, and readers still prune columns.
     """
     spark = df.sparkSession
-    folder = _WORK[-1] if _WORK else f"{shared_dir(spark)}/tidemark"
+    folder = _WORK.get() or f"{shared_dir(spark)}/tidemark"
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -133,6 +133,7 @@ def core_from_tables(spark: SparkSession, directory: str) -> Core:
             .alias("delivered_quantity"),
             cents(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100
                   / F.col("l_quantity")).alias("purchase_price"),
+            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("source_row_number"),
         ),
         inventory_snapshots=lambda: sold.select(month_of(day).alias("snapshot_date")).distinct()
         .select(F.date_diff("snapshot_date", F.lit("1970-01-01").cast("date"))
