@@ -197,6 +197,12 @@ def test_packing_of_texts(spark, texts):
     assert 0 <= padding < 1024 * 9  # at most a sequence a task
 
 
+def test_many_short_texts_fill_their_sequences(spark):
+    df = spark.createDataFrame([(i, "five short words are here") for i in range(6000)], "doc_id long, text string").coalesce(1)
+    got = packing.pack_texts(df, BYTE_BPE).collect()
+    assert len({r.sequence_id for r in got}) <= sum(r.length for r in got) / 1024 + 4  # one open end a block of 2048
+
+
 def test_vector_packing_respects_every_limit():
     rng = np.random.default_rng(0)
     demands = np.c_[rng.integers(1, 900, 500), rng.integers(1, 9, 500), rng.integers(0, 500, 500)].astype(float)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import quoted
-from tidemark.llm.packing import UnitEncoder
+from tidemark.llm.packing import encoder_of
 
 OPEN_BINS = 2048
 RUN = 2048  # pieces that are put in order before they are placed
@@ -84,7 +84,7 @@ def pack_best_fit(docs: DataFrame, tokenizer_file: str, length: int = 1024, open
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = UnitEncoder(tokenizer_file), np.uint32(end_id).astype("<u4").tobytes()
+        encoder, end = encoder_of(tokenizer_file), np.uint32(end_id).astype("<u4").tobytes()
         bins = OpenBins(length, open_bins, TaskContext.get().partitionId() << 40)
         waiting: list[tuple] = []
 
