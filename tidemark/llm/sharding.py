@@ -1,7 +1,7 @@
 """Shards of nearly equal bytes by histogram sort, with DataFrame operations only.
 
-Rows are keyed by a hash of the text, then by a hash of the row, so that equal texts are neighbours
-and a group of copies is split only where it must be.  Rounds of probes count the exact bytes below
+Rows are keyed by a hash of the text, then by a hash of the row and its place, so that equal texts are
+neighbours and a group of copies, or of equal rows, is split only where it must be.  Rounds of probes count the exact bytes below
 candidate boundaries over all partitions; each round narrows the interval of every boundary until
 the bytes below it meet the tolerance.  Rows then move once.
 """
@@ -44,12 +44,15 @@ def _key(*columns: Column) -> Column:
 
 
 def keyed(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with the private columns ``__g`` (text key), ``__t`` (row key), ``__size`` (bytes + 1)."""
+    """``docs`` with the private columns ``__g`` (text key), ``__t`` (row key), ``__size`` (bytes + 1).
+
+    A row's place tells it from equal ones; the keys hold for the table that is written with them.
+    """
     body = F.coalesce(quoted(text).cast("string"), F.lit(""))
     simple = [quoted(f.name) for f in docs.schema.fields
               if f.name != text and isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType, T.DateType,
                                                             T.TimestampType, T.BinaryType))]
-    return docs.select("*", _key(body, F.lit(1)).alias("__g"), _key(F.lit(2), *simple).alias("__t"),
+    return docs.select("*", _key(body, F.lit(1)).alias("__g"), _key(F.lit(2), F.monotonically_increasing_id(), *simple).alias("__t"),
                        (F.octet_length(body).cast("long") + 1).alias("__size"))
 
 
@@ -113,16 +116,22 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", tolera
     """``docs`` (or ``columns`` of it) with ``size, text_crc32, law, shard, slot, grown_shard``.
 
     Law ``bytes``: shards are of equal bytes within the tolerance, or within one row where a row is
-    larger.  Slots number a shard's rows without gaps.  Null texts weigh one byte.  Equal texts stay
-    together unless a boundary has to cut their group; rows equal in all columns cannot be parted
-    and share a shard.  An empty table gives an empty table; columns named like the added ones
-    are replaced.
+    larger: a very long text is one row, never cut.  Slots number a shard's rows without gaps.  Null texts weigh
+    one byte.  Equal texts stay together unless a boundary has to cut their group; equal rows
+    likewise.  Ties, rows of one key, go to one side together.  An empty table gives an empty table; columns
+    named like the added ones are replaced.
     """
     added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     private = ["__g", "__t", "__size", "__cell", "__before"]
     docs = without(docs, private)
-    rows = keyed(docs, text)
-    sizes = saved(rows.select("__g", "__t", "__size"), "shard-sizes")
+    taken = {n.lower() for n in added}
+    kept = [c for c in (columns or docs.columns) if c.lower() not in taken]
+    body = F.coalesce(quoted(text).cast("string"), F.lit(""))
+    # Written once, under plain names: the keys stay as they are whatever is computed again.
+    rows = saved(keyed(docs, text).select(
+        "__g", "__t", "__size", F.crc32(body.cast("binary")).alias("__crc"),
+        *[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)]), "shard-rows")
+    sizes = rows.select("__g", "__t", "__size")
     cuts = splitters(sizes, shards, tolerance)
     shard = F.lit(0)
     for g, t in cuts:
@@ -132,14 +141,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", tolera
     before = (sizes.groupBy(shard.alias("shard"), cell.alias("__cell")).count()
               .withColumn("__before", F.sum("count").over(Window.partitionBy("shard").orderBy("__cell")) - F.col("count"))
               .drop("count"))
-    taken = {n.lower() for n in added}
-    kept = [c for c in (columns or docs.columns) if c.lower() not in taken]
-    body = F.coalesce(quoted(text).cast("string"), F.lit(""))
-    placed = rows.select(*[quoted(c) for c in kept], "__g", "__t", F.col("__size").alias("size"),
-                         F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
-                         shard.alias("shard"), cell.alias("__cell"))
+    placed = rows.select("*", F.lit("bytes").alias("law"), shard.alias("shard"), cell.alias("__cell"))
     number = F.row_number().over(Window.partitionBy("shard", "__cell").orderBy("__g", "__t"))
     return (placed.join(before, ["shard", "__cell"])
             .withColumn("slot", (F.col("__before") + number - 1).cast("long"))
-            .withColumn("grown_shard", F.lit(None).cast("int"))
-            .select(*[quoted(c) for c in kept], *added))
+            .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("__size").alias("size"),
+                    F.col("__crc").alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard")))
