@@ -152,6 +152,33 @@ def test_shards_are_even_and_gapless(spark, texts):
     assert max(size.values()) - min(size.values()) <= 2 * max(len(t.encode()) + 1 for t in texts.values())
 
 
+def test_equal_rows_are_spread(spark):
+    rows = [(1, "the same row") if i % 5 else (i, f"text number {i}") for i in range(25_000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    size, slots = Counter(), defaultdict(list)
+    for r in got:
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(rows) and len(size) == 8
+    assert max(size.values()) - min(size.values()) <= 0.01 * sum(size.values()) / 8
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_splitters_by_brute_force(spark):
+    """Every boundary is as near its share of the bytes as a cut between keys can be, or within the tolerance."""
+    rng = random.Random(2)
+    rows = [(i, "x" * rng.choice([0, 5, 80, 3000])) for i in range(900)]
+    sizes = sharding.keyed(spark.createDataFrame(rows, "doc_id long, text string"), "text").select("__g", "__t", "__size").collect()
+    ordered = sorted(map(tuple, sizes))
+    total = sum(n for _, _, n in ordered)
+    ends = list(itertools.accumulate(n for _, _, n in ordered))
+    cuts = sharding.splitters(spark.createDataFrame([tuple(r) for r in sizes], "__g long, __t long, __size long"), 8)
+    for s, cut in enumerate(cuts, 1):
+        below = sum(n for g, t, n in ordered if (g, t) < cut)
+        best = min(abs(e - total * s / 8) for e in [0, *ends])
+        assert abs(below - total * s / 8) <= max(best, 0.001 * total / 8)
+
+
 def test_hot_group_is_split_only_by_boundaries(spark):
     rows = [(i, "the same text for all" if i % 3 == 0 else f"text number {i}") for i in range(6000)]
     got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -245,6 +272,46 @@ def test_main_text_of_pages():
     assert html.main_text("<article><p>cut in a tag <a hre") == "cut in a tag"
 
 
+def test_pages_that_mark_little_or_end_nothing():
+    text, more = "a sentence of the main text " * 6, "another sentence of it " * 6
+    for start in ("<html><head><title>t</title><body>", "<html><head><title>t<body>", "<html><head><meta charset=x>", "<svg><path>", "<div><svg><path></div>",
+                  "<noscript><img></noscript>", "<div><template><p>no</div>"):
+        for element in ("article", "main"):
+            want = "" if start == "<svg><path>" else text.strip()
+            assert html.main_text(f"{start}<{element}><p>{text}") == want, start
+    teaser = f"<div><p>{text * 4}</p><p>{more * 4}</p></div><article><p>Read our other story on this page now.</p></article>"
+    assert html.main_text(teaser) == (text * 4).strip() + "\n" + (more * 4).strip()
+    assert html.main_text(f"<article><p>{text}</p></article><div>{more[:90]}</div>") == text.strip()
+    named = f"<article><div class='share-of-market'>{text}</div><p class=comment>{more}</p><div class='share-buttons'>tell all</div><p class=ad>x</p></article>"
+    assert html.main_text(named) == f"{text.strip()}\n{more.strip()}\nx"
+    between = f"<body><p>{text}</p><aside>see also</aside><p>Short but article.</p><div class='ad-slot left'>buy</div><p>{more}</p><nav>on</nav><p>tiny</p>"
+    assert html.main_text(between) == f"{text.strip()}\nShort but article.\n{more.strip()}"
+    assert not html.hinted("class='download header-less adsorption'") and html.hinted("id=site-footer") and html.hinted('class="x cookie_notice-2"')
+
+
+def test_surges_by_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        lengths = [rng.choice([0, 0, 0, 5, 40, 200]) for _ in range(rng.randint(0, 30))]
+        window = rng.randint(1, 4)
+        sums = [sum(lengths[i:i + window]) for i in range(len(lengths))]
+        want, i = [], 0
+        while i < len(lengths):
+            if lengths[i]:  # up to the next window without text
+                end = next((j for j in range(i, len(lengths)) if sums[j] == 0), len(lengths))
+                want.append((i, end, max(sums[i:end])))
+                i = end
+            else:
+                i += 1
+        assert html.surges(lengths, window) == want
+
+
+def test_articles_are_found_without_their_element(spark):
+    """The window sums alone find the article of every page: its element is taken out of the mark-up."""
+    for p in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        assert html.main_text(re.sub(r"</?article>", "", p.html)) == html.main_text(p.html)
+
+
 def test_pages_query_against_the_article_element(spark):
     import html as entities
 
@@ -334,6 +401,28 @@ def test_family_of_variants_without_its_centre(spark, monkeypatch):
     assert 3 < len(got) < len(texts)
 
 
+def test_pairs_grow_with_the_members_of_a_family(spark, monkeypatch):
+    """Variants of one text that are mostly below the threshold: pairs a member stay bounded."""
+    compared = neardup._compared
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+
+    def variant(i):
+        w = list(base)
+        for at in rng.sample(range(200), 7):
+            w[at] = f"x{i}_{at}"
+        return " ".join(w)
+
+    counts = []
+    for n in (150, 300, 600):
+        seen = []
+        monkeypatch.setattr(neardup, "_compared", lambda pairs, *rest: seen.append(pairs.count()) or compared(pairs, *rest))
+        df = spark.createDataFrame([(i, variant(i)) for i in range(n)], "doc_id long, text string")
+        assert neardup.near_duplicates(df).count() == n
+        counts.append(sum(seen))
+    assert counts[-1] <= 2.2 ** 2 * counts[0] and all(c <= 40 * n for c, n in zip(counts, (150, 300, 600))), counts
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.8):
@@ -485,6 +574,19 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert redacted[200].text == "please ring Telefon: [PHONE] today" and redacted[201].text == docs[-3][1]
 
 
+def test_rounds_go_on_until_nothing_is_new(spark):
+    """Each level of identifiers is learnt from patterns that only the level before makes trustworthy."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    level, texts = [f"seed{x}@mail.example" for x in letters[:12]], []
+    for i in range(10):
+        fresh = [f"{letters[i]}{letters[j]}-12345" for j in range(12)]
+        for k in range(4):
+            texts += [f"key{letters[i]}{letters[k]} {x}" for x in level + fresh[3 * k:3 * k + 3]]
+        level = fresh
+    got = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.spans for r in got)
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 def test_token_counts_equal_the_library(texts):

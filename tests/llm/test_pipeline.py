@@ -78,3 +78,11 @@ def test_quality_stage_on_an_empty_table(spark, staged):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
     assert quality.quality_rules(empty).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a, "x"), (1, b, "x"), (2, a, "y"), (None, a, "x"), (None, d, "x"), (3, c, "x"), (3, c, "x"), (None, None, "x"), (4, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class_id string")
+    got = corpus_pipeline.neardup_stage(spark, docs, SF).collect()
+    assert sorted(got, key=repr) == sorted([(1, a, "x"), (1, b, "x"), (None, d, "x"), (3, c, "x"), (4, "", "x")], key=repr)

@@ -17,7 +17,6 @@ from tidemark.llm.common import quoted, saved, without
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3  # distinct known entities behind a pattern
 CONFIDENCE = 0.8  # least share of them among the identifiers beside the pattern
-ROUNDS = 8
 CONTEXT = 64  # code points looked at on either side
 
 # The base patterns, written so that one scan is linear: what cannot be given back is possessive,
@@ -93,7 +92,7 @@ def discover(found: DataFrame) -> DataFrame:
     graph = saved(every.select("v", "kind", F.explode(patterns).alias("p")).select("v", "kind", "p.side", "p.words").distinct(), "pii-graph")
     edges = graph.groupBy("side", "words", "v").agg(F.min("kind").alias("kind"))
     known = None
-    for _ in range(ROUNDS):
+    while True:  # each round but the last learns at least one identifier
         now = edges if known is None else edges.join(known.withColumnRenamed("kind", "learnt"), "v", "left").select(
             "side", "words", "v", F.coalesce("kind", "learnt").alias("kind"))
         counts = [F.count_if(F.col("kind") == i).alias(f"k{i}") for i in range(len(KINDS))]
@@ -125,7 +124,8 @@ def find_personal_data(docs: DataFrame, text: str = "text", columns: list[str] |
     """``docs`` (or ``columns`` of it) with counts of the base kinds, ``base_sha256`` and ``spans``.
 
     ``redact`` replaces every span in the text by its kind in brackets, overlapping spans by the
-    first.  Null and empty texts hold nothing; repeated rows are read each; an empty table gives an
+    first.  Null and empty texts hold nothing; a very long text is read whole, by one task; repeated rows are read
+    each; an identifier with equal votes for two kinds takes the first as listed; an empty table gives an
     empty table; columns named like the added ones are replaced.
     """
     private = ["__body", "__row", "__base", "__more", "__new", "__all", "__digits", "__words", *[f"__{k}" for k in KINDS]]
