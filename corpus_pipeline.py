@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, neardup, packing, pii, quality
-from tidemark.llm.common import collected, delete, table, tuned
+from tidemark.llm.common import collected, delete, saved, table, tuned
 from tidemark.session import shared_dir
 
 
@@ -50,18 +50,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate class; of rows that repeat that id, one.
+    """One document of each near-duplicate class: of the least id (null last), then of the least digest; of equal rows one.
 
-    Rows without an id stay: nothing names them.
+    Rows are told apart by id and text, so different texts of one id each stay or go by themselves.
     """
-    classes = neardup.near_duplicates(docs, columns=["doc_id"])
-    dropped = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(
-        kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    keyed = docs.withColumn("__digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    classes = neardup.near_duplicates(keyed, id_column="__digest", columns=["doc_id", "__digest"])
+    rows = saved(classes.groupBy("class_id", "doc_id", "__digest").agg(F.count(F.lit(1)).alias("n")), "classes")
+    first = rows.groupBy("class_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest")).alias("first"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("__digest") == F.col("first.__digest"))
+    dropped = rows.join(first, "class_id").where(~same).select(F.col("doc_id").alias("__id"), F.col("__digest").alias("__text"))
+
+    def matching(other: DataFrame, how: str) -> DataFrame:
+        return kept.join(other, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__text")), how)
+
+    kept = keyed
+    kept = matching(dropped, "left_anti")
+    repeated = rows.where("n > 1").select(F.col("doc_id").alias("__id"), F.col("__digest").alias("__text"))
+    if not repeated.isEmpty():
+        kept = matching(repeated, "left_anti").unionByName(matching(repeated, "left_semi").dropDuplicates(["doc_id", "__digest"]))
+    return kept.select(*docs.columns)
 
 
 @stage
