@@ -98,7 +98,7 @@ FOLLOW_UPS = {"BIZ-W008", "BIZ-W009", "BIZ-W010", "BIZ-W018", "BIZ-W019"}
 
 def test_each_broken_cell_is_found_on_the_sheet(spark):
     s = side_by_side(spark, [(changes, extra) for changes, extra, _ in SHEET_CASES])
-    parts = [sheet_rules.row_findings(s, sheet) for sheet in SHEETS]
+    parts = [sheet_rules.sheet_findings(s, sheet) for sheet in SHEETS]
     parts += [check(s) for name, check in sheet_rules.SET_CHECKS.items() if name not in WHOLE]
     found: dict[int, set] = {i: set() for i in range(len(SHEET_CASES))}
     for row in reduce(DataFrame.unionByName, parts).collect():
@@ -136,3 +136,40 @@ def test_every_value_of_a_key_is_reported(spark):
     changes += [("sales", i, "customer_name", f"n{i}") for i in range(4)]
     found = sheet_rules.customer_with_several_names(sheets(spark, changes)).collect()
     assert sorted((r.key, r.value) for r in found) == [("C1", f"n{i}") for i in range(4)]
+
+
+def scans(df):
+    """Reads of a table in the executed plan, those of reused exchanges left out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("Scan" in line for line in plan.split("\n"))
+
+
+def test_rules_share_their_inputs(spark, tmp_path):
+    s = sheets(spark)
+    for name, df in s.items():
+        df.write.parquet(str(tmp_path / name))
+    stored = type(s)(**{name: spark.read.parquet(str(tmp_path / name)) for name, _ in s.items()})
+    assert scans(rules.all_issues(stored, None)) <= 14
+    assert scans(sheet_rules.all_findings(stored)) <= 40
+
+
+def test_a_key_with_several_values_is_one_warning(spark):
+    from tidemark.plans import contract
+
+    changes = [("sales", i, "customer_id", "C1") for i in range(4)]
+    changes += [("sales", i, "customer_name", f"n{i}") for i in range(4)]
+    found = sheet_rules.all_findings(sheets(spark, changes))
+    counts = {r.code: r.issue_count for r in contract.counted_issues(found, sheet_rules.counted_once()).collect()}
+    assert counts["BIZ-W006"] == 1 and found.where("code = 'BIZ-W006'").count() == 4
+
+
+def test_values_beyond_the_declared_types(spark):
+    from tidemark.plans import audit
+
+    rows = [("m1", D("99999999999999.99"), D("99999.9999"), 2 ** 31 - 1, 2 ** 40), ("m2", D("100000000000000.00"), D("100000.0000"), 2 ** 31, 2 ** 40),
+            ("m3", D("-100000000000000.00"), None, -2 ** 31, 1), ("m4", None, D("-100000.0000"), None, None)]
+    mart = spark.createDataFrame(rows, "month_start string, revenue decimal(24,2), gross_margin_pct decimal(18,4), order_count long, units_sold long")
+    got = sorted((r.key, r.column_name, r.declared) for r in audit.overflow_violations(mart, "m", ["month_start"]).collect())
+    assert got == [("m2", "gross_margin_pct", "decimal(9,4)"), ("m2", "order_count", "int"), ("m2", "revenue", "decimal(16,2)"),
+                   ("m3", "revenue", "decimal(16,2)"), ("m4", "gross_margin_pct", "decimal(9,4)")]

@@ -7,6 +7,7 @@ version, and a batch counts only once the event log says ``completed``.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from functools import reduce
@@ -25,6 +26,10 @@ from tidemark.sources import landing
 DIMENSIONS = {"suppliers": ["supplier_name"], "customers": ["customer_id"],
               "products": ["product_id"], "vehicles": ["vehicle_id"]}
 FACTS = tuple(name for name in CORE_TABLES if name not in DIMENSIONS)
+# Facts that later batches are held against, and the key that is looked up.
+LOOKED_UP = {"sales_orders": "order_id", "purchase_orders": "purchase_order_id",
+             "inventory_snapshots": "snapshot_date", "expeditions": "order_id"}
+BUCKETS = 64
 
 
 class InputRejected(ValueError):
@@ -114,6 +119,37 @@ class Store:
             **{n: (lambda n=n: dimension(n)) for n in DIMENSIONS}})
 
 
+    # Keys of the looked-up facts are kept a second time, bucketed by key: joining a batch to them shuffles the batch alone.
+
+    def _keys_table(self, name: str) -> str:
+        """The catalogue entry, in this session, of the folder with a table's keys."""
+        key = LOOKED_UP[name]
+        table = f"keys_{hashlib.md5(self.root.encode()).hexdigest()[:12]}_{name}"
+        kind = "date" if key == "snapshot_date" else "string"
+        self.spark.sql(
+            f"create table if not exists {table} ({key} {kind}, source_import_batch_id string) using parquet "
+            f"clustered by ({key}) sorted by ({key}) into {BUCKETS} buckets location '{self.path('core_keys', name)}'")
+        self.spark.catalog.refreshTable(table)
+        return table
+
+    def add_keys(self, name: str, rows: DataFrame) -> None:
+        """Append the keys of a batch; they count once the batch is completed, and may come twice."""
+        rows.select(LOOKED_UP[name], "source_import_batch_id").distinct().write.insertInto(self._keys_table(name))
+
+    def keys(self, name: str) -> DataFrame:
+        """Keys of the completed batches, one row each; read by bucket."""
+        done = self.completed()
+        if done and self.spark.table(self._keys_table(name)).isEmpty():     # a store of before there were keys
+            self.add_keys(name, getattr(self.core(), name))
+        return self.spark.table(self._keys_table(name)).where(
+            F.col("source_import_batch_id").isin(done)).select(LOOKED_UP[name]).distinct()
+
+    def loaded(self) -> Core | None:
+        """The core as far as rules look into it: keys of the looked-up facts."""
+        core = self.core()
+        return None if core is None else core.replace(**{n: (lambda n=n: self.keys(n)) for n in LOOKED_UP})
+
+
 def _overwrite(df: DataFrame, path: str, partition: str) -> None:
     """Replace only the partitions ``df`` has."""
     df.write.partitionBy(partition).mode("overwrite").option(
@@ -171,14 +207,20 @@ def staging_violations(sheets: Sheets) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("violations > 0")
 
 
-def core_violations(new: Core, known: Core) -> DataFrame:
-    """``table_name, rule, columns, violations``: repeated keys of ``new`` rows and references that ``known`` lacks."""
+def core_violations(new: Core, known: Core, loaded: Core | None = None) -> DataFrame:
+    """``table_name, rule, columns, violations``: repeated keys of ``new`` rows and references that ``known`` lacks.
+
+    What ``known`` lacks of the looked-up keys may be in ``loaded``.
+    """
     parts = []
     for name, keys in CORE_KEYS.items():
         parts.append(audit.key_violations(getattr(new, name), keys).agg(F.count("*").alias("violations")).select(
             F.lit(name).alias("table_name"), F.lit("unique").alias("rule"), F.lit(",".join(keys)).alias("columns"), "violations"))
     for child, column, parent, parent_column in CORE_REFERENCES:
-        parts.append(audit.reference_violations(getattr(new, child), column, getattr(known, parent), parent_column)
+        missing = audit.reference_violations(getattr(new, child), column, getattr(known, parent), parent_column)
+        if loaded is not None and LOOKED_UP.get(parent) == parent_column:
+            missing = audit.reference_violations(missing, column, getattr(loaded, parent), parent_column)
+        parts.append(missing
                      .agg(F.count("*").alias("violations")).select(
             F.lit(child).alias("table_name"), F.lit("reference").alias("rule"), F.lit(column).alias("columns"), "violations"))
     return reduce(DataFrame.unionByName, parts).where("violations > 0")
@@ -238,7 +280,7 @@ def load_staging(store: Store, batch_id: str) -> int:
 
 def validate(store: Store, batch_id: str) -> dict[str, int]:
     """Write the batch's issues (replacing earlier ones), count them per rule."""
-    found = rules.all_issues(store.staged(batch_id), store.core())
+    found = rules.all_issues(store.staged(batch_id), store.loaded())
     path = store.path("audit", "issues", f"import_batch_id={batch_id}")
     found.hint("rebalance").write.mode("overwrite").parquet(path)
     counts = store.spark.read.parquet(path).groupBy("rule_code").agg(
@@ -248,9 +290,14 @@ def validate(store: Store, batch_id: str) -> dict[str, int]:
 
 def promote(store: Store, batch_id: str, batch_seq: int) -> dict[str, int]:
     """Next version of the dimensions, then the facts of the batch."""
-    sheets, old, spark = store.staged(batch_id), store.core(), store.spark
+    sheets, old, loaded, spark = store.staged(batch_id), store.core(), store.loaded(), store.spark
     counts: dict[str, int] = {}
 
+    def added(name: str) -> DataFrame:
+        if name in DIMENSIONS:
+            return spark.read.parquet(store.path("core", name, f"version={batch_seq}"))
+        return spark.read.parquet(store.path("core", name)).where(F.col("source_import_batch_id") == batch_id)
+
     def dimension(name: str, incoming: DataFrame) -> DataFrame:
         path = store.path("core", name, f"version={batch_seq}")
         rows = core_load.stamped(incoming)
@@ -264,6 +311,8 @@ def promote(store: Store, batch_id: str, batch_seq: int) -> dict[str, int]:
     def fact(name: str, rows: DataFrame) -> None:
         path = store.path("core", name)
         _overwrite(rows, path, "source_import_batch_id")
+        if name in LOOKED_UP:
+            store.add_keys(name, added(name))
         counts[name] = spark.read.parquet(path).where(
             F.col("source_import_batch_id") == batch_id).count()
 
@@ -280,17 +329,13 @@ def promote(store: Store, batch_id: str, batch_seq: int) -> dict[str, int]:
     fact("inventory_snapshot_lines", core_load.inventory_snapshot_lines(sheets))
     fact("expeditions", core_load.expeditions(sheets))
 
-    def added(name: str) -> DataFrame:
-        if name in DIMENSIONS:
-            return spark.read.parquet(store.path("core", name, f"version={batch_seq}"))
-        return spark.read.parquet(store.path("core", name)).where(F.col("source_import_batch_id") == batch_id)
-
     def whole(name: str) -> DataFrame:
         rows = added(name)
-        return rows if old is None or name in DIMENSIONS else rows.unionByName(getattr(old, name))
+        keyed = LOOKED_UP.get(name) in {c for _, _, parent, c in CORE_REFERENCES if parent == name}
+        return rows if old is None or name in DIMENSIONS or keyed else rows.unionByName(getattr(old, name))
 
     _refuse(core_violations(Core(**{n: (lambda n=n: added(n)) for n in CORE_TABLES}),
-                            Core(**{n: (lambda n=n: whole(n)) for n in CORE_TABLES})))
+                            Core(**{n: (lambda n=n: whole(n)) for n in CORE_TABLES}), loaded))
     return counts
 
 
@@ -366,6 +411,19 @@ def import_sheets(store: Store, sheets: dict[str, DataFrame], file_sha256: str,
     return batch_id, status
 
 
+def import_files(store: Store, files: dict[str, str], fmt: str = "csv", gate: bool = True, multi_line: bool = True,
+                 **details) -> tuple[str, str]:
+    """Import sheet files (sheet -> path): the batch is known by the content of all of them.
+
+    Content that a batch has seen is not read again.
+    """
+    prints = landing.fingerprints(store.spark, sorted(files.values()))
+    sizes = prints.agg(F.sum("file_size_bytes").alias("n")).first().n
+    sheets = {name: landing.read_sheet(store.spark, path, fmt, multi_line=multi_line and fmt == "csv")
+              for name, path in files.items()}
+    return import_sheets(store, sheets, landing.content_hash(prints), gate, file_size_bytes=sizes, **details)
+
+
 def _or_failed(store: Store, batch_id: str, step):
     """Run a step; an error ends the batch (a staging error does not: it can be repeated)."""
     try:

@@ -127,8 +127,8 @@ COMPARISONS = {
 }
 
 
-def row_findings(sheets: Sheets, sheet: str, codes: set[str] | None = None) -> DataFrame:
-    """All checks of one sheet that need nothing but the row, in one pass."""
+def row_conditions(sheet: str, codes: set[str] | None = None) -> list[tuple[Column, Column]]:
+    """All checks of one sheet that need nothing but the row: condition and finding."""
     key, found = _key(sheet), []
 
     def add(code: str, level: str, condition: Column, field: str, expected: Column | str):
@@ -150,7 +150,12 @@ def row_findings(sheets: Sheets, sheet: str, codes: set[str] | None = None) -> D
         add(code, level, ~inside, field, ", ".join(allowed))
     for code, level, violation, field, limit in COMPARISONS.get(sheet, ()):
         add(code, level, F.expr(violation), field, F.expr(limit))
-    return explode_where(getattr(sheets, sheet), found)
+    return found
+
+
+def row_findings(sheets: Sheets, sheet: str, codes: set[str] | None = None) -> DataFrame:
+    """The same in one pass."""
+    return explode_where(getattr(sheets, sheet), row_conditions(sheet, codes))
 
 
 # --- duplicates -----------------------------------------------------------------------------------
@@ -177,30 +182,84 @@ def duplicate_rows(sheets: Sheets, sheet: str) -> DataFrame:
 
 # --- references -----------------------------------------------------------------------------------
 
-def _unknown(child: DataFrame, parent: DataFrame, column: str) -> DataFrame:
-    """Rows whose reference (a missing value included) is not among the parent's values."""
-    known = parent.select(F.col(column).alias("_known")).distinct()
-    return child.join(known, F.col(column).eqNullSafe(F.col("_known")), "left_anti")
+def _looked_up(child: DataFrame, parent: DataFrame, column: str) -> DataFrame:
+    """``child`` beside the row of ``parent`` (one a key) with its reference, a missing value being one too;
+    ``_known`` is null where there is none."""
+    named = parent.withColumnRenamed(column, "_key").withColumn("_known", F.lit(True))
+    return child.join(named, F.col(column).eqNullSafe(F.col("_key")), "left")
+
+
+_UNKNOWN_PRODUCT = {"sales": "BIZ-E010", "inventory": "BIZ-E011", "purchases": "BIZ-E012"}
+
+
+def _unknown(code: str, sheet: str, column: str, expected: str) -> tuple[Column, Column]:
+    return F.col("_known").isNull(), _finding(
+        "ERROR", code, sheet, _key(sheet), column, F.col(column), EXPECTED[expected])
+
+
+def product_checks(sheets: Sheets, sheet: str) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """BIZ-E010 - E012 unknown product; of purchases W008 other supplier than the product's, W009 not a
+    multiple of its minimum."""
+    found = [_unknown(_UNKNOWN_PRODUCT[sheet], sheet, "product_id", "known product")]
+    if sheet != "purchases":
+        return _looked_up(getattr(sheets, sheet), sheets.products.select("product_id").distinct(), "product_id"), found
+    catalogue = last_rows(sheets.products, "product_id", ("supplier", "minimum_order_quantity"))
+    known, key = F.col("_known") & F.col("product_id").isNotNull(), F.col("purchase_order_id")
+    minimum = F.nullif(F.col("own_minimum_order_quantity"), F.lit(0))
+    return _looked_up(sheets.purchases, catalogue, "product_id"), [
+        *found,
+        (known & ~F.col("supplier").eqNullSafe(F.col("own_supplier")),
+         _finding("WARNING", "BIZ-W008", "purchases", key, "supplier", F.col("supplier"), F.col("own_supplier"))),
+        (known & (F.col("ordered_quantity") % minimum != 0),
+         _finding("WARNING", "BIZ-W009", "purchases", key, "ordered_quantity", F.col("ordered_quantity"), minimum))]
+
+
+def vehicle_checks(sheets: Sheets) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """BIZ-E014 unknown vehicle; W016 / W017 own delivery beyond the weight or volume of its vehicle."""
+    fleet = last_rows(sheets.vehicles, "vehicle_id", ("capacity_kg", "capacity_m3"))
+    named = F.col("vehicle_id").isNotNull()
+    unknown, finding = _unknown("BIZ-E014", "expedition", "vehicle_id", "known vehicle")
+    found = [(named & unknown, finding)]
+    for code, field, limit in (("BIZ-W016", "weight_kg", "own_capacity_kg"), ("BIZ-W017", "volume_m3", "own_capacity_m3")):
+        found.append((named & (F.col("delivery_type") == OWN) & (F.col(field) > F.col(limit)), _finding(
+            "WARNING", code, "expedition", F.col("order_id"), field, F.col(field), F.col(limit))))
+    return _looked_up(sheets.expedition, fleet, "vehicle_id"), found
+
+
+def sheet_findings(sheets: Sheets, sheet: str) -> DataFrame:
+    """All checks on single rows of a sheet and on what they refer to, in one pass over it."""
+    rows, found = getattr(sheets, sheet), []
+    if sheet in _UNKNOWN_PRODUCT:
+        rows, found = product_checks(sheets, sheet)
+    elif sheet == "expedition":
+        rows, found = vehicle_checks(sheets)
+    return explode_where(rows, row_conditions(sheet) + found)
 
 
 def unknown_product(sheets: Sheets, sheet: str) -> DataFrame:
-    code = {"sales": "BIZ-E010", "inventory": "BIZ-E011", "purchases": "BIZ-E012"}[sheet]
-    rows = _unknown(getattr(sheets, sheet), sheets.products, "product_id")
-    return _select(rows, _finding("ERROR", code, sheet, _key(sheet), "product_id",
-                                  F.col("product_id"), EXPECTED["known product"]))
+    rows, found = product_checks(sheets, sheet)
+    return explode_where(rows, found[:1])
 
 
-def unknown_order(sheets: Sheets) -> DataFrame:
-    rows = _unknown(sheets.expedition, sheets.sales, "order_id")
-    return _select(rows, _finding("ERROR", "BIZ-E013", "expedition", F.col("order_id"),
-                                  "order_id", F.col("order_id"), EXPECTED["known order"]))
+def purchase_warnings(sheets: Sheets) -> DataFrame:
+    rows, found = product_checks(sheets, "purchases")
+    return explode_where(rows, found[1:])
 
 
 def unknown_vehicle(sheets: Sheets) -> DataFrame:
-    rows = _unknown(sheets.expedition.where("vehicle_id is not null"), sheets.vehicles,
-                    "vehicle_id")
-    return _select(rows, _finding("ERROR", "BIZ-E014", "expedition", F.col("order_id"),
-                                  "vehicle_id", F.col("vehicle_id"), EXPECTED["known vehicle"]))
+    rows, found = vehicle_checks(sheets)
+    return explode_where(rows, found[:1])
+
+
+def overload_warnings(sheets: Sheets) -> DataFrame:
+    rows, found = vehicle_checks(sheets)
+    return explode_where(rows, found[1:])
+
+
+def unknown_order(sheets: Sheets) -> DataFrame:
+    """BIZ-E013."""
+    rows = _looked_up(sheets.expedition, sheets.sales.select("order_id").distinct(), "order_id")
+    return explode_where(rows, [_unknown("BIZ-E013", "expedition", "order_id", "known order")])
 
 
 # --- orders ---------------------------------------------------------------------------------------
@@ -277,109 +336,81 @@ def name_with_several_customers(sheets: Sheets) -> DataFrame:
     return _several(sheets, "BIZ-W007", "customer_name", "customer_id", EXPECTED["one customer"])
 
 
-def _first_shipments(sheets: Sheets) -> DataFrame:
-    """The first expedition row per order."""
-    columns = ("received_at", "expedition_date", "region", "weight_kg", "volume_m3")
-    return first_lines(sheets.expedition, "order_id", columns).select(
-        "order_id", F.col("first_row").alias(_ROW),
-        *[F.col(f"first_{c}").alias(c) for c in columns])
-
-
-def orders_and_shipments(sheets: Sheets) -> DataFrame:
-    """First sales row and first expedition row of each shipped order."""
-    sales = first_lines(sheets.sales, "order_id", ("order_date", "expedition_date", "region"))
-    return sales.join(_first_shipments(sheets), "order_id")
-
-
-def fulfilled_without_shipment(sheets: Sheets) -> DataFrame:
-    """BIZ-E015: the first row says fulfilled, no expedition row exists."""
-    orders = first_lines(sheets.sales, "order_id", ("order_status",)).where(
-        F.col("first_order_status").isin(*ORDER_STATUSES))
-    open_orders = _unknown(orders, sheets.expedition, "order_id")
-    return _select(open_orders, _finding(
-        "ERROR", "BIZ-E015", "sales", F.col("order_id"), "order_id", F.col("order_id"),
-        EXPECTED["one shipment"], F.col("first_row")))
-
-
-def shipment_differences(sheets: Sheets) -> DataFrame:
-    """BIZ-E043, E080, E081: first shipment against the first row of its order."""
-    def finding(code: str, field: str, expected: str) -> Column:
-        return _finding("ERROR", code, "expedition", F.col("order_id"), field, F.col(field),
-                        F.col(expected))
-
-    def differs(column: str) -> Column:
-        return ~F.col(column).eqNullSafe(F.col(f"first_{column}"))
-
-    early = F.col("received_at").cast("date") < F.col("first_order_date")
-    return explode_where(orders_and_shipments(sheets), [
-        (early, finding("BIZ-E043", "received_at", "first_order_date")),
-        (differs("expedition_date"),
-         finding("BIZ-E080", "expedition_date", "first_expedition_date")),
-        (differs("region"), finding("BIZ-E081", "region", "first_region")),
-    ])
-
+def last_rows(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """The last sheet row per key (a repeated key overwrites the earlier one)."""
+    return df.groupBy(key).agg(F.max(F.struct(_ROW, *columns)).alias("s")).select(
+        key, *[F.col(f"s.{c}").alias(f"own_{c}") for c in columns])
 
-def load_differences(sheets: Sheets) -> DataFrame:
-    """BIZ-W018 / W019: shipped weight and volume against the sum over the order's lines.
 
-    Rounded half to even at 2 and 3 places; an order with a line that cannot be computed is
-    left out.
-    """
+def order_facts(sheets: Sheets) -> DataFrame:
+    """One row per order: its first sales row, the weight and volume of its lines as computed from the
+    products (``computable`` if every line can be), and its first expedition row, if any (``_shipped``)."""
     loads = last_rows(sheets.products, "product_id", ("weight_kg", "volume_m3"))
-    lines = sheets.sales.select("order_id", "product_id", "quantity").join(
-        loads, "product_id", "left")
+    first = ("order_date", "expedition_date", "region", "order_status")
     computable = (F.col("quantity").isNotNull() & F.col("own_weight_kg").isNotNull()
                   & F.col("own_volume_m3").isNotNull())
-    sums = lines.groupBy("order_id").agg(
-        F.every(computable).alias("ok"),
+    orders = sheets.sales.select(_ROW, "order_id", "product_id", "quantity", *first).join(
+        loads, "product_id", "left").groupBy("order_id").agg(
+        F.min(F.struct(_ROW, *first)).alias("s"), F.every(computable).alias("computable"),
         F.sum(F.col("quantity") * F.col("own_weight_kg")).alias("w"),
-        F.sum(F.col("quantity") * F.col("own_volume_m3")).alias("v"))
-    both = sums.where("ok").join(_first_shipments(sheets), "order_id")
+        F.sum(F.col("quantity") * F.col("own_volume_m3")).alias("v")).select(
+        "order_id", "computable", "w", "v", F.col(f"s.{_ROW}").alias("first_row"),
+        *[F.col(f"s.{c}").alias(f"first_{c}") for c in first])
+    columns = ("received_at", "expedition_date", "region", "weight_kg", "volume_m3")
+    shipments = first_lines(sheets.expedition, "order_id", columns).select(
+        F.col("order_id").alias("_order"), F.lit(True).alias("_shipped"), F.col("first_row").alias(_ROW),
+        *[F.col(f"first_{c}").alias(c) for c in columns])
+    return orders.join(shipments, F.col("order_id").eqNullSafe(F.col("_order")), "left")
 
-    def finding(code: str, field: str, computed: str, places: int) -> tuple[Column, Column]:
-        wanted = F.bround(computed, places)
-        return F.bround(field, places) != wanted, _finding(
-            "WARNING", code, "expedition", F.col("order_id"), field, F.col(field), wanted)
 
-    return explode_where(both, [finding("BIZ-W018", "weight_kg", "w", 2),
-                            finding("BIZ-W019", "volume_m3", "v", 3)])
+def order_conditions() -> dict[str, list[tuple[Column, Column]]]:
+    """Checks on ``order_facts``.
 
+    BIZ-E015: the first row says fulfilled, no expedition row exists.  E043, E080, E081: first shipment
+    against the first row of its order.  W018 / W019: shipped weight and volume against the sum over the
+    order's lines, rounded half to even at 2 and 3 places; an order with a line that cannot be
+    computed is left out.
+    """
+    key = F.col("order_id")
+    shipped = F.col("_shipped") & key.isNotNull()
 
-# --- products of purchases, vehicles of shipments -------------------------------------------------
+    def differs(code: str, field: str) -> tuple[Column, Column]:
+        return shipped & ~F.col(field).eqNullSafe(F.col(f"first_{field}")), _finding(
+            "ERROR", code, "expedition", key, field, F.col(field), F.col(f"first_{field}"))
 
-def last_rows(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """The last sheet row per key (a repeated key overwrites the earlier one)."""
-    return df.groupBy(key).agg(F.max(F.struct(_ROW, *columns)).alias("s")).select(
-        key, *[F.col(f"s.{c}").alias(f"own_{c}") for c in columns])
+    def load(code: str, field: str, computed: str, places: int) -> tuple[Column, Column]:
+        wanted = F.bround(computed, places)
+        return shipped & F.col("computable") & (F.bround(field, places) != wanted), _finding(
+            "WARNING", code, "expedition", key, field, F.col(field), wanted)
 
+    open_order = F.col("_shipped").isNull() & F.col("first_order_status").isin(*ORDER_STATUSES)
+    early = F.col("received_at").cast("date") < F.col("first_order_date")
+    return {
+        "orders": [(open_order, _finding("ERROR", "BIZ-E015", "sales", key, "order_id", key,
+                                         EXPECTED["one shipment"], F.col("first_row")))],
+        "shipments": [
+            (shipped & early, _finding("ERROR", "BIZ-E043", "expedition", key, "received_at",
+                                       F.col("received_at"), F.col("first_order_date"))),
+            differs("BIZ-E080", "expedition_date"), differs("BIZ-E081", "region")],
+        "loads": [load("BIZ-W018", "weight_kg", "w", 2), load("BIZ-W019", "volume_m3", "v", 3)],
+    }
 
-def purchase_warnings(sheets: Sheets) -> DataFrame:
-    """BIZ-W008 other supplier than the product's; W009 not a multiple of its minimum."""
-    catalogue = last_rows(sheets.products, "product_id", ("supplier", "minimum_order_quantity"))
-    rows = sheets.purchases.join(catalogue, "product_id")
-    key = F.col("purchase_order_id")
-    other = ~F.col("supplier").eqNullSafe(F.col("own_supplier"))
-    minimum = F.nullif(F.col("own_minimum_order_quantity"), F.lit(0))
-    return explode_where(rows, [
-        (other, _finding("WARNING", "BIZ-W008", "purchases", key, "supplier",
-                         F.col("supplier"), F.col("own_supplier"))),
-        (F.col("ordered_quantity") % minimum != 0,
-         _finding("WARNING", "BIZ-W009", "purchases", key, "ordered_quantity",
-                  F.col("ordered_quantity"), minimum)),
-    ])
 
+def order_findings(sheets: Sheets) -> DataFrame:
+    """All checks on whole orders, in one pass over their facts."""
+    return explode_where(order_facts(sheets), [c for conditions in order_conditions().values() for c in conditions])
 
-def overload_warnings(sheets: Sheets) -> DataFrame:
-    """BIZ-W016 / W017: own delivery beyond the weight or volume of its vehicle."""
-    fleet = last_rows(sheets.vehicles, "vehicle_id", ("capacity_kg", "capacity_m3"))
-    own = sheets.expedition.where(F.col("delivery_type") == OWN).join(fleet, "vehicle_id")
 
-    def finding(code: str, field: str, limit: str) -> tuple[Column, Column]:
-        return F.col(field) > F.col(limit), _finding(
-            "WARNING", code, "expedition", F.col("order_id"), field, F.col(field), F.col(limit))
+def fulfilled_without_shipment(sheets: Sheets) -> DataFrame:
+    return explode_where(order_facts(sheets), order_conditions()["orders"])
+
 
-    return explode_where(own, [finding("BIZ-W016", "weight_kg", "own_capacity_kg"),
-                           finding("BIZ-W017", "volume_m3", "own_capacity_m3")])
+def shipment_differences(sheets: Sheets) -> DataFrame:
+    return explode_where(order_facts(sheets), order_conditions()["shipments"])
+
+
+def load_differences(sheets: Sheets) -> DataFrame:
+    return explode_where(order_facts(sheets), order_conditions()["loads"])
 
 
 # --- snapshots ------------------------------------------------------------------------------------
@@ -420,28 +451,20 @@ SET_CHECKS = {
     "duplicate_expeditions": lambda s: duplicate_keys(s, "expedition"),
     "duplicate_sales_rows": lambda s: duplicate_rows(s, "sales"),
     "duplicate_purchase_rows": lambda s: duplicate_rows(s, "purchases"),
-    "unknown_sales_product": lambda s: unknown_product(s, "sales"),
-    "unknown_stock_product": lambda s: unknown_product(s, "inventory"),
-    "unknown_purchase_product": lambda s: unknown_product(s, "purchases"),
     "unknown_order": unknown_order,
-    "unknown_vehicle": unknown_vehicle,
-    "fulfilled_without_shipment": fulfilled_without_shipment,
-    "shipment_differences": shipment_differences,
-    "load_differences": load_differences,
+    "orders": order_findings,
     "sales_header_differences": lambda s: header_differences(s, "sales"),
     "purchase_header_differences": lambda s: header_differences(s, "purchases"),
     "repeated_sales_products": lambda s: repeated_products(s, "sales"),
     "repeated_purchase_products": lambda s: repeated_products(s, "purchases"),
     "customer_with_several_names": customer_with_several_names,
     "name_with_several_customers": name_with_several_customers,
-    "purchase_warnings": purchase_warnings,
-    "overload_warnings": overload_warnings,
     "incomplete_snapshots": incomplete_snapshots,
     "missing_months": missing_months,
 }
 
 
 def all_findings(sheets: Sheets) -> DataFrame:
-    parts = [row_findings(sheets, sheet) for sheet in (
+    parts = [sheet_findings(sheets, sheet) for sheet in (
         "products", "sales", "inventory", "purchases", "expedition", "vehicles")]
     return reduce(DataFrame.unionByName, parts + [check(sheets) for check in SET_CHECKS.values()])

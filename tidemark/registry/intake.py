@@ -139,6 +139,16 @@ _over_tables(
     cast(max(octet_length(encode(text))) as bigint) as file_size_bytes from documents
     where sha256(text) not in (select sha256(text) from documents where lang = 'en')
     group by 1""")
+_RELATIONAL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def _fingerprints(spark, directory):
+    """S03 on the files of the relational tables."""
+    files = landing.fingerprints(configure(spark), [f"{directory}/{name}.parquet" for name in _RELATIONAL])
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "file_sha256", "file_size_bytes")
+
+
+QUERIES["s03_file_fingerprints"] = _fingerprints
 _over_tables(
     "s08_metadata_merge",
     lambda t: t("events").select("event_id", audit.merged(F.array(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +36,10 @@ def read_sheet(spark: SparkSession, path: str, fmt: str = "csv",
     Adds ``source_row_number`` unless the input carries one.  CSV without a schema is text, as the
     contract checks of text sheets want it (``value_issues(..., from_text=True)``); with a schema a
     value that does not fit fails the read instead of becoming null.  ``multi_line``: cells may hold
-    line breaks; such a file is read by one task.
+    line breaks (a JSON file of that kind is read by one task, a CSV file by as many as it has splits).
     """
+    if fmt == "csv" and multi_line:
+        return read_multi_line_csv(spark, path, schema)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if fmt in ("csv", "json"):
         reader = reader.option("multiLine", multi_line)
@@ -72,6 +77,63 @@ def _numbered(sheet: DataFrame) -> DataFrame:
     )
 
 
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """``file, record, text``: records of CSV files whose quoted cells may hold line breaks; 0 is the header.
+
+    Whether a line begins a record depends on the number of quotes before it.  Inside a split it is counted
+    from the split's begin, for both cases at once; one row a split, cumulated, then tells which case
+    holds and how many records came before.  Only lines of records of several lines are shuffled.
+    """
+    # The metadata has no place for a line in its file, but ids grow within a split.
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("seq"), "value",
+        (F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
+    split = Window.partitionBy("file", "split").orderBy("seq")
+    before = split.rowsBetween(Window.unboundedPreceding, -1)
+    upto = split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blank = F.col("value").isin("", "\r")
+    placed = lines.withColumn("odd", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    cases = [F.sum(((F.col("odd") == case) & ~blank).cast("int")) for case in (0, 1)]
+    placed = placed.select("*", *[cases[case].over(upto).alias(f"r{case}") for case in (0, 1)])
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (
+        placed.groupBy("file", "split").agg(F.sum("quotes").alias("q"), cases[0].alias("n0"), cases[1].alias("n1"))
+        .withColumn("case", F.coalesce(F.sum("q").over(earlier), F.lit(0)) % 2)
+        .withColumn("n", F.when(F.col("case") == 0, F.col("n0")).otherwise(F.col("n1")))
+        .select("file", "split", "case", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    )
+    begins = F.col("odd") == F.col("case")
+    numbered = placed.join(splits, ["file", "split"]).select(
+        "file", "split", "seq", "value", begins.alias("begins"), (begins & (F.col("quotes") % 2 == 0)).alias("whole"),
+        (F.col("base") + F.when(F.col("case") == 0, F.col("r0")).otherwise(F.col("r1")) - 1).alias("record"), blank.alias("blank"))
+    whole = numbered.where("whole and not blank").select("file", "record", F.col("value").alias("text"))
+    parts = numbered.where("not whole").groupBy("file", "record").agg(
+        F.sort_array(F.collect_list(F.struct("split", "seq", "value"))).alias("lines"))
+    broken = parts.select("file", "record", F.array_join(F.col("lines.value"), "\n").alias("text"))
+    return whole.unionByName(broken).withColumn("text", F.regexp_replace("text", "\r$", ""))
+
+
+def read_multi_line_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """CSV with line breaks in cells, on as many tasks as the files have splits; rows numbered as by ``read_sheet``."""
+    options = {"escape": '"', "multiLine": "true"}
+    if schema is None:
+        header = spark.read.options(header=True, **options).csv(path).columns
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    else:
+        options["mode"] = "FAILFAST"
+        schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    records = _records(spark, path)
+    sizes = records.groupBy("file").agg((F.max("record")).alias("n"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    cells = F.from_csv("text", declared, options)
+    return records.where("record > 0").join(offsets, "file").select(
+        (F.col("record") + F.col("offset") + FIRST_DATA_ROW - 1).alias("source_row_number"), cells.alias("c")).select(
+        "source_row_number", "c.*")
+
+
 def header_problems(headers: DataFrame) -> DataFrame:
     """S02 as a table: ``sheet, name, n`` of blank or repeated names among (sheet, name) rows."""
     name = F.coalesce(F.col("name").cast("string"), F.lit(""))
@@ -133,11 +195,84 @@ def read_raw(spark: SparkSession, path: str, batch_id: str | None = None) -> Dat
     return raw if batch_id is None else raw.where(F.col("import_batch_id") == batch_id)
 
 
+# --- fixed values: endings of files that Spark's text reader unpacks -------------------------------
+PACKED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
+# -------------------------------------------------------------------------------------------------
+_ONE_SPLIT = str(1 << 40)
+_BYTE_ORDER_MARK = b"\xef\xbb\xbf"  # left out by the text reader where a file begins with it
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, file_sha256) of files whose lines come one after another, each file with its size."""
+    path = size = marked = plain = None
+    length = 0
+
+    def done() -> pa.RecordBatch:
+        missing = size - length
+        digest = marked if missing >= len(_BYTE_ORDER_MARK) else plain
+        missing -= len(_BYTE_ORDER_MARK) if digest is marked else 0
+        if missing not in (0, 1):
+            raise RuntimeError(f"{path} changed while it was read")
+        digest.update(b"\n" * missing)
+        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest.hexdigest()])], names=["place", "file_sha256"])
+
+    for batch in batches:
+        at, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        lines, begin = batch.column(2).to_pylist(), 0
+        while begin < len(at):
+            end = begin + 1
+            while end < len(at) and at[end] == at[begin]:
+                end += 1
+            if at[begin] != path:
+                if path is not None:
+                    yield done()
+                path, size, length = at[begin], sizes[begin], 0
+                plain, marked = hashlib.sha256(), hashlib.sha256(_BYTE_ORDER_MARK)
+                chunk = b"\n".join(lines[begin:end])
+            else:
+                chunk = b"\n" + b"\n".join(lines[begin:end])
+            plain.update(chunk)
+            marked.update(chunk)
+            length += len(chunk)
+            begin = end
+    if path is not None:
+        yield done()
+
+
 def fingerprints(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, file_sha256, file_size_bytes) of the complete content of each file."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", F.sha2("content", 256).alias("file_sha256"),
-                        F.col("length").alias("file_size_bytes"))
+    """(path, file_sha256, file_size_bytes) of the complete content of each file.
+
+    A file is one split, so one task, which takes its lines as they are read: memory is bounded by the longest
+    line.  Files that the reader would unpack are read as one value.
+    """
+    apart = spark.newSession()  # with its own split size
+    apart.conf.set("spark.sql.files.maxPartitionBytes", _ONE_SPLIT)
+    apart.conf.set("spark.sql.files.openCostInBytes", _ONE_SPLIT)
+    place = F.col("_metadata.file_path").alias("place")
+    packed = F.col("place").rlike(PACKED)
+    opened = apart.read.format("binaryFile").load(paths)
+    files = opened.select("path", place, F.col("length").alias("file_size_bytes"), "content")
+    # A scan passes over files without content: they are known from the listing alone.
+    listing = apart.createDataFrame([(name,) for name in opened.inputFiles()], "place string").select(
+        F.regexp_replace("place", "^([a-zA-Z]+):///", "$1:/").alias("place"))
+    lines = apart.read.option("lineSep", "\n").text(paths).select(
+        place, F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
+    plain = lines.where(~packed).mapInArrow(_digests, "place string, file_sha256 string")
+    # A file of which no line comes has nothing in it, or the mark alone.
+    empty = F.when(F.col("file_size_bytes") == len(_BYTE_ORDER_MARK), hashlib.sha256(_BYTE_ORDER_MARK).hexdigest()).otherwise(
+        hashlib.sha256().hexdigest())
+    listed = listing.where(~packed).join(files.select("place", "path", "file_size_bytes"), "place", "left").join(plain, "place", "left")
+    return listed.select(
+        F.coalesce("path", "place").alias("path"), F.coalesce("file_sha256", empty).alias("file_sha256"),
+        F.coalesce("file_size_bytes", F.lit(0)).alias("file_size_bytes")).unionByName(
+        files.where(packed).select("path", F.sha2("content", 256).alias("file_sha256"), "file_size_bytes"))
+
+
+def content_hash(files: DataFrame) -> str:
+    """One hash of a set of files, whatever their names: the hash of their sorted hashes."""
+    rows = files.select("file_sha256").collect()   # one row a file of the import
+    return rows[0].file_sha256 if len(rows) == 1 else hashlib.sha256(
+        "\n".join(sorted(r.file_sha256 for r in rows)).encode()).hexdigest()
 
 
 def new_files(files: DataFrame, batches: DataFrame) -> DataFrame:
