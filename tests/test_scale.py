@@ -4,9 +4,12 @@ import re
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.operators.findings import explode_where
 from tidemark.plans import marts
 from tidemark.registry.sheet_sql import flawed_sheets
+from tidemark.sources import landing
 from tidemark.sources.tables import TABLE_SCHEMAS, core_from_tables
 
 PARTS, MONTHS = 3000, 120
@@ -47,3 +50,25 @@ def test_derived_stock_is_dealt_out(spark, tables):
     """One file of keys makes many rows: they are not left to the task that reads it."""
     stock = flawed_sheets(spark, tables).inventory
     assert stock.selectExpr("spark_partition_id() as p").distinct().count() > 1
+
+
+def test_rows_numbered_by_position_are_not_shuffled(spark, tables):
+    """However large the table, its rows do not go to the task of their file."""
+    sheet = landing.numbered_by_position(spark.read.parquet(f"{tables}/part.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sheet._jdf.queryExecution().executedPlan().toString()
+        numbers = {r[0] for r in sheet.select("source_row_number").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan, plan
+    assert numbers == set(range(2, PARTS + 3))
+
+
+def test_findings_are_built_before_they_are_exploded(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (None, "b")], "k long, v string")
+    found = explode_where(rows, [(F.col("v").isNull(), F.struct(F.lit("v").alias("c"), "k")),
+                                 (F.col("k").isNull(), F.struct(F.lit("k").alias("c"), "k"))])
+    assert sorted(map(tuple, found.collect()), key=str) == [("k", None), ("v", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(_all#" in plan, plan

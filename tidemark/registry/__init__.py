@@ -20,3 +20,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return _merged("ORACLE")
+
+
+def without_oracle() -> dict:
+    """Queries that no SQL over the tables can state."""
+    return import_module("tidemark.registry.intake").WITHOUT_ORACLE
