@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.findings import explode_where
 from tidemark.plans import marts
 from tidemark.registry.sheet_sql import flawed_sheets
+from tidemark.session import configure
 from tidemark.sources import landing
 from tidemark.sources.tables import TABLE_SCHEMAS, core_from_tables
 
@@ -72,3 +73,15 @@ def test_findings_are_built_before_they_are_exploded(spark):
     assert sorted(map(tuple, found.collect()), key=str) == [("k", None), ("v", 2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(_all#" in plan, plan
+
+
+def test_order_keys_are_not_broadcast(spark):
+    """A few megabytes of keys by Spark's estimate take many times as much in the driver: they are joined by a shuffle."""
+    configure(spark)
+    keys, lines = spark.range(500_000), spark.range(4_000_000)
+    for join in (lines.join(keys, "id"), lines.join(keys.distinct(), "id", "left_semi")):
+        assert join.count() == 500_000
+        total = join.agg(F.count("*"))
+        total.collect()
+        plan = total._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, plan
