@@ -505,6 +505,29 @@ def test_lm_scores_against_exact_counts(spark, texts, monkeypatch, head):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("lowest", [(1, 2), (2, 2), (4, 3), (lm_score.LEVELS, lm_score.LEVELS)])
+def test_lm_scores_count_what_the_filter_has_no_room_for(spark, texts, monkeypatch, lowest):
+    """Every word and pair counts by its own level, however few levels fit."""
+    monkeypatch.setattr(lm_score, "lowest_levels", lambda *_: lowest)
+    got = rows_of(lm_score.score_documents(spark.read.parquet(f"{SF}/documents.parquet"), filter_bits=1 << 24))
+    split = {i: [None, *WORD.findall(lower(t)), None] for i, t in texts.items()}
+    words, pairs = Counter(), Counter()
+    for i, w in split.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            words.update(w[1:])
+            pairs.update(zip(w, w[1:]))
+    space, means = words.total() + len(words) + 1.0, lm_score.count_of_level()
+    quantised = [{k: means[lm_score.level_of(np.array([float(n)]))[0]] for k, n in c.items()} for c in (words, pairs)]
+
+    def log_p(a, b):
+        ca, cb = quantised[0].get(a, 0.0), quantised[0].get(b, 0.0)
+        both = min(ca, cb, quantised[1].get((a, b), 0.0))
+        return math.log10((both + lm_score.STRENGTH * (cb + 1) / space) / (ca + lm_score.STRENGTH))
+
+    for i, w in split.items():
+        assert math.isclose(got[i].score, sum(map(log_p, w, w[1:])), rel_tol=1e-6), i
+
+
 def test_filter_gives_quantised_counts_back():
     rng = np.random.default_rng(0)
     hashes = rng.integers(0, 2**63, 20_000).astype(np.uint64) * np.uint64(2)

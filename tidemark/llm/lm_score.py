@@ -4,8 +4,9 @@ Spark counts the words and word pairs of all training documents, hashed to 64 bi
 quantised count q goes into the filter as (n-gram, 1) ... (n-gram, q); probing level after level
 until one is missing gives the count back, never too low.  The filter has a fixed number of bits and
 is broadcast; it is cut in as many segments as the counting has cells, so each cell's task fills one
-segment and nothing else is exchanged.  The lowest levels that do not fit are left out of the filter
-(rare n-grams); the exact counts behind ``base_score`` and ``n_known`` keep every word.
+segment and nothing else is exchanged.  The lowest levels that do not fit stay out of the filter: tokens
+whose word, context or pair the filter does not know are then joined with the counts of those levels, so
+that every n-gram counts.  The exact counts behind ``base_score`` and ``n_known`` keep every word.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def count_ngrams(training: DataFrame, cells: int) -> DataFrame:
 
 
 def lowest_levels(levels1: list[int], levels2: list[int], bits: int) -> tuple[int, int]:
-    """The lowest level of words and of pairs that the filter has room for, words first (half the room)."""
+    """The lowest level of words and of pairs that the filter has room for, words first (half the room); those below are joined."""
     def fitting(levels: list[int], room: float) -> int:
         above = np.cumsum(levels[::-1])[::-1]  # n-grams that reach a level
         entries = np.cumsum(above[::-1])[::-1]  # entries from a level up
@@ -223,6 +224,33 @@ def build_filter(cells_table: DataFrame, cells: int, bits: int) -> tuple[Frequen
     return FrequencyFilter(whole, cells, lowest, words, distinct), h[order], c[order], head
 
 
+def below_filter(counted: DataFrame, order: int, lowest: int) -> DataFrame:
+    """``hash, n``: n-grams whose level the filter has no room for, with the mean count of that level."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        means = count_of_level()
+        for batch in batches:
+            for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h, q = np.frombuffer(h, "<u8"), level_of(np.frombuffer(c, "<u8" if order == 1 else "<u4").astype(float))
+                low = q < lowest
+                yield pa.RecordBatch.from_arrays([pa.array(h[low].view(np.int64)), pa.array(means[q[low]])], names=["hash", "n"])
+
+    return counted.select(f"hashes{order}", f"counts{order}").mapInArrow(work, "hash long, n double")
+
+
+def scores_by_join(scored: DataFrame, counted: DataFrame, model: FrequencyFilter, strength: float) -> DataFrame:
+    """``row, late``: the log probabilities of a row's ``open`` tokens, whose counts of -1 are looked up below the filter."""
+    tokens = scored.select("row", F.inline("open"))
+    for order, key, count in ((2, "pair", "c2"), (1, "word", "c1"), (1, "context", "ch")):
+        lowest = model.lowest[order - 1]
+        if lowest > 1:  # tokens with nothing to look up keep out of one another's way by their pair
+            low = below_filter(counted, order, lowest).withColumnRenamed("hash", "at")
+            tokens = (tokens.withColumn("at", F.when(F.col(count) < 0, F.col(key)).otherwise(F.col("pair"))).join(low, "at", "left")
+                      .withColumn(count, F.when(F.col(count) < 0, F.coalesce("n", F.lit(0.0))).otherwise(F.col(count))).drop("at", "n"))
+    space = float(model.words + model.distinct + 1)
+    p = (F.least("c2", "c1", "ch") + strength * (F.col("c1") + 1) / space) / (F.col("ch") + strength)
+    return tokens.groupBy("row").agg(F.sum(F.col("times") * F.log10(p)).alias("late"))
+
+
 def score_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", filter_bits: int = FILTER_BITS,
                     strength: float = STRENGTH) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row.
@@ -230,7 +258,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     The model learns from rows that are not held out.  Null and empty texts are one end token;
     repeated rows are scored (and learnt) each; an empty table gives an empty table; other columns
     are not read.  P(word | previous) = (pair + s * P(word)) / (previous + s), s the strength, all
-    counts from the filter.
+    counts from the filter or, below its lowest level, quantised alike by a join.
     """
     rows = docs.select(quoted(id_column).cast("long").alias("doc_id"), is_held_out(quoted(id_column)).alias("held_out"),
                        bytes_of(text).alias("body"))
@@ -251,6 +279,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         ids: dict[bytes, int] = {}
         h = np.zeros(0, np.uint64)
         seen, exact = np.zeros(0), np.zeros(0, np.int64)
+        unknown = [-1.0 if level > 1 else 0.0 for level in model.lowest]  # -1: may be below the filter
         for batch in batches:
             bodies = [b.translate(LOWER).split() + [END] for b in batch.column(2).to_pylist()]
             if not bodies:
@@ -262,7 +291,8 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             if new:
                 ids.update(zip(new, range(len(ids), len(ids) + len(new))))
                 fresh = hashes.of(new)
-                h, seen = np.r_[h, fresh], np.r_[seen, model.count(fresh, 1)]
+                c = model.count(fresh, 1)
+                h, seen = np.r_[h, fresh], np.r_[seen, np.where(c == 0, unknown[0], c)]
                 if len(hh):
                     at = np.minimum(np.searchsorted(hh, fresh), len(hh) - 1)
                     exact = np.r_[exact, np.where(hh[at] == fresh, hc[at].astype(np.int64), -1)]
@@ -273,9 +303,16 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             before = np.r_[ids[END], word[:-1]]
             starts = np.cumsum(lengths) - lengths
             c1, ch = seen[word], seen[before]
-            c2 = np.minimum(model.count(pair_hash(h[before], h[word]), 2), np.minimum(c1, ch))
-            p = (c2 + strength * (c1 + 1) / space) / (ch + strength)
-            scores = np.add.reduceat(np.log10(p), starts)
+            learnt = np.repeat(~np.asarray(batch.column(1).to_pylist(), bool), lengths)
+            if model.lowest[0] == 2:  # what a training text holds occurs, and once where it does not reach level 2
+                c1, ch = (np.where((c < 0) & learnt, model.counts[1], c) for c in (c1, ch))
+            c2 = model.count(pair_hash(h[before], h[word]), 2)
+            if model.lowest[1] == 2:
+                c2 = np.where((c2 == 0) & learnt, model.counts[1], c2)
+            c2 = np.where((c2 == 0) & (c1 != 0) & (ch != 0), unknown[1], c2)
+            later = np.minimum(np.minimum(c1, ch), c2) < 0
+            p = (np.minimum(c2, np.minimum(c1, ch)) + strength * (c1 + 1) / space) / (ch + strength)
+            scores = np.add.reduceat(np.log10(np.where(later, 1.0, p)), starts)
             e = exact[word]
             sure = np.add.reduceat(np.where(e >= 0, np.log10(np.maximum(e, 0) + 1), 0.0), starts)
             known = np.add.reduceat((e > 0).astype(np.int64), starts)
@@ -287,14 +324,26 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             offsets = np.searchsorted(owner, np.arange(len(bodies) + 1)).astype(np.int32)
             tail = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(
                 [pa.array(h[pair % max(1, len(h))].view(np.int64)), pa.array(times.astype(np.int64))], ["hash", "times"]))
+            at = np.flatnonzero(later)
+            doc = np.searchsorted(starts, at, side="right") - 1
+            _, at_first, times = np.unique((doc * len(h) + word[at]) * len(h) + before[at], return_index=True, return_counts=True)
+            at, doc = at[at_first], doc[at_first]
+            pair, absent = pair_hash(h[before[at]], h[word[at]]).view(np.int64), np.zeros(len(at), np.int64)
+            values = [pair, np.where(c1[at] < 0, h[word[at]].view(np.int64), absent), np.where(ch[at] < 0, h[before[at]].view(np.int64), absent),
+                      c2[at], c1[at], ch[at], times.astype(np.int64)]
+            open_tokens = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(doc, np.arange(len(bodies) + 1)).astype(np.int32)),
+                pa.StructArray.from_arrays([pa.array(v) for v in values], ["pair", "word", "context", "c2", "c1", "ch", "times"]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + len(bodies))), batch.column(0), batch.column(1), pa.array(lengths),
-                 pa.array(known), pa.array(sure), pa.array(scores), tail],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "sure", "score", "tail"])
+                 pa.array(known), pa.array(sure), pa.array(scores), tail, open_tokens],
+                names=["row", "doc_id", "held_out", "n_tokens", "known", "sure", "score", "tail", "open"])
             row += len(bodies)
 
     scored = saved(rows.mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, known long, sure double, "
-                                          "score double, tail array<struct<hash: long, times: long>>"), "lm-scores")
+                                          "score double, tail array<struct<hash: long, times: long>>, "
+                                          "open array<struct<pair: long, word: long, context: long, c2: double, c1: double, "
+                                          "ch: double, times: long>>"), "lm-scores")
 
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,8 +356,12 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     rare = counted.select("hashes1", "counts1").mapInArrow(rare_words, "hash long, n long")
     found = (scored.select("row", F.inline("tail")).join(rare, "hash")
              .groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("found")))
+    scored, score_sum = scored.drop("tail").join(found, "row", "left"), F.col("score")
+    if max(model.lowest) > 1:
+        rest = scores_by_join(scored, counted, model, strength)
+        scored, score_sum = scored.join(rest, "row", "left"), F.col("score") + F.coalesce("late", F.lit(0.0))
     space = F.log10(F.lit(float(model.words + model.distinct + 1)))
-    return scored.drop("tail").join(found, "row", "left").select(
+    return scored.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(model.words).cast("long").alias("train_tokens"),
-        (F.col("sure") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * space).alias("base_score"), "score")
+        (F.col("sure") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * space).alias("base_score"), score_sum.alias("score"))
