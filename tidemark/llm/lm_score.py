@@ -35,6 +35,7 @@ CELL_BYTES = 8_000_000  # training text behind one counting cell
 FLUSH = 1_200_000  # n-grams a task gathers before it sends their counts
 KNOWN = 300_000  # words a scoring task remembers
 LEVELS = 96
+UNKNOWN = 255  # a level that is looked up below the filter
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -225,30 +226,39 @@ def build_filter(cells_table: DataFrame, cells: int, bits: int) -> tuple[Frequen
 
 
 def below_filter(counted: DataFrame, order: int, lowest: int) -> DataFrame:
-    """``hash, n``: n-grams whose level the filter has no room for, with the mean count of that level."""
+    """``at, level``: hashes and levels of the n-grams that the filter has no room for."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        means = count_of_level()
         for batch in batches:
             for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h, q = np.frombuffer(h, "<u8"), level_of(np.frombuffer(c, "<u8" if order == 1 else "<u4").astype(float))
                 low = q < lowest
-                yield pa.RecordBatch.from_arrays([pa.array(h[low].view(np.int64)), pa.array(means[q[low]])], names=["hash", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[low].view(np.int64)), pa.array(q[low].astype(np.int32))], names=["at", "level"])
 
-    return counted.select(f"hashes{order}", f"counts{order}").mapInArrow(work, "hash long, n double")
+    return counted.select(f"hashes{order}", f"counts{order}").mapInArrow(work, "at long, level int")
 
 
 def scores_by_join(scored: DataFrame, counted: DataFrame, model: FrequencyFilter, strength: float) -> DataFrame:
-    """``row, late``: the log probabilities of a row's ``open`` tokens, whose counts of -1 are looked up below the filter."""
+    """``row, late``: the log probabilities of a row's ``open`` tokens, whose unknown levels are looked up below the filter.
+
+    ``code`` packs how often a token occurs in the row and the levels of pair, word and context, so that little is shuffled.
+    """
+    def level(shift: int) -> Column:
+        return F.shiftright("code", shift).bitwiseAND(255)
+
+    def count(shift: int) -> Column:
+        return F.element_at(F.array(*map(F.lit, model.counts.tolist())), (level(shift) + 1).cast("int"))
+
     tokens = scored.select("row", F.inline("open"))
-    for order, key, count in ((2, "pair", "c2"), (1, "word", "c1"), (1, "context", "ch")):
+    for order, key, shift in ((2, "pair", 16), (1, "word", 8), (1, "context", 0)):
         lowest = model.lowest[order - 1]
         if lowest > 1:  # tokens with nothing to look up keep out of one another's way by their pair
-            low = below_filter(counted, order, lowest).withColumnRenamed("hash", "at")
-            tokens = (tokens.withColumn("at", F.when(F.col(count) < 0, F.col(key)).otherwise(F.col("pair"))).join(low, "at", "left")
-                      .withColumn(count, F.when(F.col(count) < 0, F.coalesce("n", F.lit(0.0))).otherwise(F.col(count))).drop("at", "n"))
+            own = F.col(key) if key == "pair" else F.when(level(shift) == UNKNOWN, F.col(key)).otherwise(F.col("pair"))
+            found = F.shiftleft(F.coalesce("level", F.lit(0)).cast("long") - UNKNOWN, shift)
+            tokens = tokens.join(below_filter(counted, order, lowest), own == F.col("at"), "left").withColumn(
+                "code", F.when(level(shift) == UNKNOWN, F.col("code") + found).otherwise(F.col("code"))).drop("at", "level")
     space = float(model.words + model.distinct + 1)
-    p = (F.least("c2", "c1", "ch") + strength * (F.col("c1") + 1) / space) / (F.col("ch") + strength)
-    return tokens.groupBy("row").agg(F.sum(F.col("times") * F.log10(p)).alias("late"))
+    p = (F.least(count(16), count(8), count(0)) + strength * (count(8) + 1) / space) / (count(0) + strength)
+    return tokens.groupBy("row").agg(F.sum(F.shiftright("code", 24) * F.log10(p)).alias("late"))
 
 
 def score_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", filter_bits: int = FILTER_BITS,
@@ -329,11 +339,13 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             _, at_first, times = np.unique((doc * len(h) + word[at]) * len(h) + before[at], return_index=True, return_counts=True)
             at, doc = at[at_first], doc[at_first]
             pair, absent = pair_hash(h[before[at]], h[word[at]]).view(np.int64), np.zeros(len(at), np.int64)
-            values = [pair, np.where(c1[at] < 0, h[word[at]].view(np.int64), absent), np.where(ch[at] < 0, h[before[at]].view(np.int64), absent),
-                      c2[at], c1[at], ch[at], times.astype(np.int64)]
+            code = times.astype(np.int64)
+            for c in (c2[at], c1[at], ch[at]):
+                code = code << 8 | np.where(c < 0, UNKNOWN, np.searchsorted(model.counts, c))
+            values = [pair, np.where(c1[at] < 0, h[word[at]].view(np.int64), absent), np.where(ch[at] < 0, h[before[at]].view(np.int64), absent), code]
             open_tokens = pa.ListArray.from_arrays(
                 pa.array(np.searchsorted(doc, np.arange(len(bodies) + 1)).astype(np.int32)),
-                pa.StructArray.from_arrays([pa.array(v) for v in values], ["pair", "word", "context", "c2", "c1", "ch", "times"]))
+                pa.StructArray.from_arrays([pa.array(v) for v in values], ["pair", "word", "context", "code"]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + len(bodies))), batch.column(0), batch.column(1), pa.array(lengths),
                  pa.array(known), pa.array(sure), pa.array(scores), tail, open_tokens],
@@ -342,8 +354,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
     scored = saved(rows.mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, known long, sure double, "
                                           "score double, tail array<struct<hash: long, times: long>>, "
-                                          "open array<struct<pair: long, word: long, context: long, c2: double, c1: double, "
-                                          "ch: double, times: long>>"), "lm-scores")
+                                          "open array<struct<pair: long, word: long, context: long, code: long>>"), "lm-scores")
 
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
