@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.findings import explode_where
 from tidemark.plans import marts
+from tidemark.registry.marts import QUERIES as MART_QUERIES
+from tidemark.registry.marts import stored_marts
+from tidemark.registry.portable import portable
 from tidemark.registry.sheet_sql import flawed_sheets
 from tidemark.session import configure
 from tidemark.sources import landing
@@ -85,3 +88,31 @@ def test_order_keys_are_not_broadcast(spark):
         total.collect()
         plan = total._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, plan
+
+
+def test_management_mart_is_built_step_by_step(spark, tables):
+    """One plan of all marts fills the driver: its inputs are written, the last step reads those alone."""
+    core = core_from_tables(configure(spark), tables)
+    for name, plain in (("m07_management_kpis_monthly", marts.all_marts(core).management_kpis_monthly),
+                        ("m07b_month_spine", marts.month_spine(marts.mart_months(*[
+                            getattr(marts.all_marts(core), mart) for mart in (
+                                "sales_monthly", "inventory_health_monthly", "procurement_supplier_monthly",
+                                "expedition_monthly")])))):
+        built = MART_QUERIES[name](spark, tables)
+        read = built.inputFiles()
+        assert read and not [f for f in read if f.startswith(f"file://{tables}")], read
+        assert sorted(map(str, built.collect())) == sorted(map(str, portable(plain).collect()))
+
+
+def test_marts_share_the_reduced_tables(spark, tables, monkeypatch):
+    """Product days are built and written once, however many marts are finished from them."""
+    calls, product_days = [], marts.product_days
+    monkeypatch.setattr(marts, "product_days", lambda core: calls.append(1) or product_days(core))
+    stored_marts(core_from_tables(configure(spark), tables)).management_kpis_monthly.count()
+    assert calls == [1]
+
+
+def test_plan_texts_are_bounded(spark, tables):
+    """The driver keeps the text of each plan it runs."""
+    plan = marts.all_marts(core_from_tables(configure(spark), tables)).management_kpis_monthly
+    assert len(plan._jdf.queryExecution().toString()) < 200_000

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.model import MART_TABLES, Marts, State
 from tidemark.plans import audit, marts
 from tidemark.registry.core_sql import dates_as_text, over_core
 from tidemark.registry.portable import portable
-from tidemark.session import configure
+from tidemark.session import configure, written
 from tidemark.sources.tables import core_from_tables
 
+_MANAGEMENT_INPUTS = ("sales_monthly", "inventory_health_monthly",
+                      "procurement_supplier_monthly", "expedition_monthly",
+                      "vehicle_utilization_monthly")
+
 
 _AMOUNTS = ("revenue", "estimated_cost", "gross_profit")
 
@@ -37,10 +42,40 @@ def _fleet(core):
     return marts.fleet_by_month(marts.vehicle_utilization_monthly(core))
 
 
+def stored_state(core) -> State:
+    """The reduced tables, each written on first use."""
+    plain = marts.reduced(core)
+    return State(**{name: (lambda n=name: written(getattr(plain, n), n)) for name in State.names})
+
+
+def stored_marts(core) -> Marts:
+    """Marts written on first use, as readers find them after a refresh: the driver plans and runs one step at a time."""
+    state, found = stored_state(core), {}
+
+    def costed():
+        if "costed" not in found:
+            found["costed"] = written(marts.costed_product_days(core, state), "costed_days")
+        return found["costed"]
+
+    def mart(name: str):
+        if name not in found:
+            if name == "management_kpis_monthly":
+                plan = marts.management_kpis_monthly(*[mart(n) for n in _MANAGEMENT_INPUTS])
+            elif name in ("sales_monthly", "product_sales_monthly"):
+                plan = getattr(marts, name)(core, state, costed())
+            else:
+                plan = getattr(marts, name)(core, state)
+            found[name] = written(plan, name)
+        return found[name]
+
+    return Marts(**{name: (lambda n=name: mart(n)) for name in MART_TABLES})
+
+
 def _months(core):
-    all_of = marts.all_marts(core)
-    return marts.mart_months(all_of.sales_monthly, all_of.inventory_health_monthly,
-                             all_of.procurement_supplier_monthly, all_of.expedition_monthly)
+    """The marts' months, one mart after the other."""
+    state = stored_state(core)
+    return marts.mart_months(*[written(getattr(marts, name)(core, state).select("month_start"), name)
+                               for name in _MANAGEMENT_INPUTS[:4]])
 
 
 QUERIES = {
@@ -56,7 +91,7 @@ QUERIES = {
     "m05_expedition_monthly": _core_query(marts.expedition_monthly),
     "m06_vehicle_utilization_monthly": _core_query(marts.vehicle_utilization_monthly),
     "m07_management_kpis_monthly": _core_query(
-        lambda core: marts.all_marts(core).management_kpis_monthly),
+        lambda core: stored_marts(core).management_kpis_monthly),
     "m07a_mart_months": _core_query(_months),
     "m07b_month_spine": _core_query(lambda core: marts.month_spine(_months(core))),
     "m07c_procurement_by_month": _core_query(lambda core: marts.procurement_by_month(

@@ -6,40 +6,19 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from tidemark.model import MART_TABLES, Marts
-from tidemark.plans import marts as build
+from tidemark.model import MART_TABLES
 from tidemark.plans import reconcile, refresh, serve, views
 from tidemark.registry.core_sql import dates_as_text, over_core
+from tidemark.registry.marts import stored_marts
 from tidemark.registry.portable import portable
-from tidemark.session import configure, written
+from tidemark.session import configure
 from tidemark.sources.tables import core_from_tables, table
 
-_MANAGEMENT_INPUTS = ("sales_monthly", "inventory_health_monthly",
-                      "procurement_supplier_monthly", "expedition_monthly",
-                      "vehicle_utilization_monthly")
-
-
-def _stored_marts(core) -> Marts:
-    """Marts written on first use, as readers find them after a refresh."""
-    found: dict = {}
-
-    def mart(name: str):
-        if name not in found:
-            if name == "management_kpis_monthly":
-                plan = build.management_kpis_monthly(*[mart(n) for n in _MANAGEMENT_INPUTS])
-            else:
-                plan = getattr(build, name)(core)
-            found[name] = written(plan, name)
-        return found[name]
-
-    return Marts(**{name: (lambda n=name: mart(n)) for name in MART_TABLES})
-
-
 def _over_marts(plan):
     """A query of (core, stored marts)."""
     def run(spark, directory):
         core = core_from_tables(configure(spark), directory)
-        return portable(plan(core, _stored_marts(core)))
+        return portable(plan(core, stored_marts(core)))
     return run
 
 
@@ -293,7 +272,7 @@ _VEHICLES = over_core("""
 
 def _status(spark, directory):
     core = core_from_tables(configure(spark), directory)
-    return portable(serve.status(_stored_marts(core), _runs(spark, directory)))
+    return portable(serve.status(stored_marts(core), _runs(spark, directory)))
 
 
 _SERIES = {"revenue": "Tržby", "estimated_cost": "Náklady", "gross_profit": "Hrubý zisk"}
