@@ -423,6 +423,34 @@ def test_pairs_grow_with_the_members_of_a_family(spark, monkeypatch):
     assert counts[-1] <= 2.2 ** 2 * counts[0] and all(c <= 40 * n for c, n in zip(counts, (150, 300, 600))), counts
 
 
+@pytest.mark.parametrize("parts", [False, True])
+def test_links_to_any_member_of_a_large_class(spark, monkeypatch, parts):
+    """A text near one member of its bucket's largest class alone, whichever that is, belongs to the class."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 60):  # near the first text, not near one another
+        w = list(base)
+        for at in (5, 45, 85, 125):
+            w[at + i % 20] = f"x{i}_{at}"
+        texts[i] = " ".join(w)
+        if i % 10 == 0:  # one step farther than the member it comes from
+            for at in (165, 172):
+                w[at] = f"y{i}_{at}"
+            texts[100 + i] = " ".join(w)
+    monkeypatch.setattr(neardup, "band_keys", lambda s, bands, rows: np.zeros((len(s), bands), np.uint64))
+    if parts:
+        monkeypatch.setattr(neardup, "LEAST_PART", 40)
+        monkeypatch.setattr(neardup, "PART", 0)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = neardup.near_duplicates(df).collect()
+    got = defaultdict(set)
+    for r in rows:
+        got[r.class_id].add(r.doc_id)
+    assert {frozenset(x) for x in got.values()} == true_classes(texts)
+    assert len(got) == 1 and len(rows) == len(texts)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.8):

@@ -8,11 +8,11 @@ documents agree on a coordinate with probability their weighted Jaccard similari
 K log K darts are thrown a document beyond one look at each element.
 
 Bands of coordinates are joined.  In every bucket the member with most neighbours is compared with
-the others, exactly, on their shingles.  While a bucket holds several classes, the members outside its
-largest class are compared with a few more members of either side and with their neighbours
-in orders of further coordinates; once so few are left outside that all of their pairs are few,
-these are compared and the bucket is done.  So a bucket makes a constant number of pairs a member,
-however many of its members are not near one another.
+the others, exactly, on their shingles: a constant number of pairs a member.  The members of buckets that
+still hold several classes are then joined exactly: texts near one another share a shingle among the
+rarest of each, at places that leave room for the rest (prefix and position filter).  Pairs of one class are
+passed over; where many are left they are compared in parts, and classes joined in between.
+No link between members of a bucket that lie in different classes is left out.
 """
 
 from __future__ import annotations
@@ -21,20 +21,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bytes_of, quoted, saved
+from tidemark.llm.common import broadcast, bytes_of, quoted, saved
+from tidemark.llm.common import held as unpacked
 from tidemark.llm.words import LOWER, WordHashes, mix, runs
 
 SHINGLE = 5
 MARKS = b".,;:!?"
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-ORDERED = 64  # coordinates that put members in order
-SETTLED = 12  # members outside the largest class of a bucket that are all compared
-LEADERS, NEIGHBOURS = 2, 2  # members of either side, and next ones in each of two orders, that others are compared with in a round
-ROUNDS = 6  # after these a bucket goes on while a tenth of those outside has come into its largest class
+CELLS = 19  # bits: cells in which shingles are counted, only to put rare ones first
+PART, LEAST_PART = 16, 200_000  # pairs a text compared at a time, or so many in all
+SLICES = 1 << 20  # pairs are dealt by hash; a part is a range of these
+SLACK = 1e-6  # filters are wider by this than the threshold in floating point
 CHUNK = 400_000  # cells of the dart board worked on at a time
 
 # Poisson(1) by inversion: number of darts in a cell of unit area.
@@ -123,8 +124,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(docs: DataFrame, text: str, bands: int, rows: int, columns: list[str]) -> DataFrame:
-    """``columns``, ``node`` (128-bit digest of the text), ``keys`` of the bands, ``order`` (16 bits of coordinates
-    each) and ``shingles`` (sorted 32-bit hashes)."""
+    """``columns``, ``node`` (128-bit digest of the text), ``keys`` of the bands and ``shingles`` (sorted 32-bit hashes)."""
     body = bytes_of(text)
     source = docs.select(F.struct(F.lit(0).alias("__"), *[quoted(c) for c in columns]).alias("row"),
                          F.unhex(F.md5(body)).alias("node"), body.alias("body"))
@@ -136,20 +136,18 @@ def sketches(docs: DataFrame, text: str, bands: int, rows: int, columns: list[st
             sets = [np.unique(g, return_counts=True) for g in grams]
             filled = [i for i, g in enumerate(grams) if len(g)]
             keys: list = [[]] * len(grams)
-            orders = [b""] * len(grams)
             if filled:
                 signatures = sketch([sets[i] for i in filled], bands * rows)
                 made = band_keys(signatures, bands, rows).view(np.int64)
-                short = (signatures[:, :ORDERED] >> np.uint64(48)).astype(">u2")
-                for i, row, order in zip(filled, made, short):
-                    keys[i], orders[i] = row, order.tobytes()
+                for i, row in zip(filled, made):
+                    keys[i] = row
             small = [np.sort((g >> np.uint64(32)).astype("<u4")).tobytes() for g in grams]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(orders, pa.binary()),
-                 pa.array(small, pa.binary())], names=["row", "node", "keys", "order", "shingles"])
+                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array(small, pa.binary())], names=["row", "node", "keys", "shingles"])
 
     return source.mapInArrow(work, f"row {source.schema['row'].dataType.simpleString()}, node binary, "
-                                   "keys array<long>, order binary, shingles binary")
+                                   "keys array<long>, shingles binary")
 
 
 def _compared(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
@@ -206,77 +204,107 @@ def relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
     return saved(labels.join(new, "label", "left").select("node", F.coalesce("to", "label").alias("label")).unionByName(moved), "neardup-labels")
 
 
-def opened(held: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Members of buckets that hold several classes and are worth another round.
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    Adds ``label``, ``inside`` (of the bucket's largest class) and ``outside``, the number of others;
-    ``before`` is that number a round ago.
-    """
-    now = held.withColumn("label", F.col("node")) if labels is None else (
-        held.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    state = (now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-             .groupBy("key").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("c", "label")).alias("large"))
-             .where("classes > 1").select("key", (F.col("n") - F.col("large.c")).alias("outside"), F.col("large.label").alias("large")))
-    both = now.join(state, "key").withColumn("inside", F.col("label") == F.col("large")).drop("large")
-    return both if turn < ROUNDS else both.where("10 * outside <= 9 * before")
 
+def led(held: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): every member with the one of its bucket that has most neighbours."""
+    lead = (held.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node", "size")).alias("lead"))
+            .select("key", F.col("lead.node").alias("other"), F.col("lead.size").alias("other_size")))
+    close = F.least("size", "other_size") >= threshold * F.greatest("size", "other_size")
+    return held.join(lead, "key").where("node <> other").where(close).select(*_pair("node", "other"))
 
-def chosen(now: DataFrame, turn: int) -> DataFrame:
-    """Members outside of buckets not yet settled, each in one of its buckets; settled buckets whole.
 
-    The bucket is that whose key has the greatest hash in this round: members that share most of their
-    buckets mostly choose the same.
-    """
-    large = (~F.col("inside")) & (F.col("outside") > SETTLED)
-    own = now.where(large).groupBy("node").agg(F.max(F.struct(F.xxhash64("key", F.lit(turn)), "key")).alias("own")).select(
-        "node", F.col("own.key").alias("key"))
-    return now.where(large).join(own, ["node", "key"], "left_semi").unionByName(now.where(~large))
+def unsettled(held: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Texts (``node``) with a bucket that holds several classes."""
+    now = _labelled(held.select("key", "node"), labels)
+    several = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return now.join(several, "key", "left_semi").select("node").distinct()
 
 
-def led(now: DataFrame, threshold: float, turn: int) -> DataFrame:
-    """(a, b): members outside, each with those that lead their bucket.
+def told_apart(shingles: bytes) -> np.ndarray:
+    """Sorted shingles as a set: the occurrence of each is part of it."""
+    s = np.frombuffer(shingles, "<u4")
+    return s.astype(np.uint64) << np.uint64(32) | (np.arange(len(s)) - np.searchsorted(s, s)).astype(np.uint64)
 
-    In the first round that is the member with most neighbours; then the next ones of either side by
-    neighbours, or all outside and as many inside where a bucket is settled.
-    """
-    side = ["key"] if turn == 0 else ["key", "inside"]
-    ranked = now.withColumn("rank", F.row_number().over(
-        Window.partitionBy(*side).orderBy(F.desc("degree"), "node"))).where(F.col("rank") <= SETTLED)
-    first = LEADERS * (turn - 1) + 1
-    leading = ranked.where("rank = 1") if turn == 0 else ranked.where(
-        (F.col("outside") <= SETTLED) | F.col("rank").between(first + 1, first + LEADERS))
-    lead = leading.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("label").alias("other_label"))
-    rest = now if turn == 0 else now.where("not inside")  # each in its chosen bucket
-    return rest.join(lead, "key").where("label <> other_label").where(_sizes("other_size", threshold)).select(*_pair("other"))
-
-
-def adjoining(now: DataFrame, orders: DataFrame, threshold: float, turn: int) -> DataFrame:
-    """(a, b): members outside of buckets not yet settled, each with the next ones in two orders of its bucket.
-
-    An order begins at another coordinate each time.  Neighbours agree on its first four, which also
-    parts a large bucket.
+
+def _cells(elements: np.ndarray) -> np.ndarray:
+    return (mix(elements) >> np.uint64(64 - CELLS)).astype(np.int64)
+
+
+def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
+    """``node``, ``size``, ``head`` and the ``elements`` that come first in one order of all, the rarest first.
+
+    Any order is exact.  A text shares one of its ``elements`` with every larger or smaller text
+    near it, and one of the first ``head`` with every one not smaller.
     """
-    rest = now.where((~F.col("inside")) & (F.col("outside") > SETTLED)).join(orders, "node")
-    pairs = []
-    for t in range(2):
-        at = 2 * (13 * (2 * turn + t) % ORDERED)
-        order = F.concat(F.expr(f"substring(order, {at + 1})"), F.expr(f"substring(order, 1, {at})"))
-        turned = rest.withColumn("turned", order).withColumn("head", F.expr("substring(turned, 1, 8)"))
-        line = Window.partitionBy("key", "head").orderBy("turned", "node")
-        nexts = turned.withColumn("others", F.array(*[
-            F.lead(F.struct("node", "size", "label"), k).over(line) for k in range(1, NEIGHBOURS + 1)]))
-        pairs.append(nexts.select("node", "size", "label", F.explode("others").alias("o")).where("o.label <> label")
-                     .where(_sizes("o.size", threshold)).select(*_pair("o.node")))
-    return pairs[0].unionByName(pairs[1])
+    spark = texts.sparkSession
+    bare = texts.select("shingles")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELLS, np.int64)
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                np.add.at(total, _cells(told_apart(s)), 1)
+        used = np.flatnonzero(total)
+        for at in range(0, len(used), 50_000):
+            part = used[at:at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["cell", "n"])
+
+    found = bare.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    weight = np.zeros(1 << CELLS, np.int64)
+    weight[found["cell"].to_numpy()] = found["n"].to_numpy()
+    sent = broadcast(spark, weight)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = unpacked(sent)
+        for batch in batches:
+            sizes, heads, firsts = [], [], []
+            for s in batch.column(1).to_pylist():
+                own = told_apart(s)
+                n = len(own)
+                kept = n - int(np.ceil(threshold * n - SLACK)) + 1
+                sizes.append(n)
+                heads.append(n - int(np.ceil(2 * threshold / (1 + threshold) * n - SLACK)) + 1)
+                firsts.append(own[np.lexsort((mix(own), common[_cells(own)]))[:kept]].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(heads, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
+                names=["node", "size", "head", "elements"])
+
+    return texts.select("node", "shingles").mapInArrow(work, "node binary, size long, head long, elements array<long>")
+
+
+def contested(firsts: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``element``, ``at``, ``node``, ``size``, ``head``, ``label`` of elements that several classes have, and ``inside``:
+    of the class that has an element most often."""
+    rows = _labelled(firsts, labels).select("node", "size", "head", "label", F.posexplode("elements").alias("at", "element"))
+    state = (rows.groupBy("element", "label").agg(F.count(F.lit(1)).alias("c"))
+             .groupBy("element").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("c", "label")).alias("large"))
+             .where("classes > 1").select("element", F.col("large.label").alias("large")))
+    return rows.join(state, "element").withColumn("inside", F.col("label") == F.col("large")).drop("large")
 
 
-def _sizes(other: str, threshold: float) -> Column:
-    """Sizes bound the similarity."""
-    return F.least(F.col("size"), F.col(other)) >= threshold * F.greatest(F.col("size"), F.col(other))
+def rivals(rows: DataFrame, threshold: float, low: int) -> DataFrame:
+    """(a, b, slice), with repeats: pairs of different classes that may be near, from slice ``low`` on."""
+    other = rows.select("element", *[F.col(c).alias("o_" + c) for c in ("at", "node", "size", "label", "inside")])
+    room = F.least(F.col("size") - F.col("at"), F.col("o_size") - F.col("o_at"))
+    first = rows.where("at < head")
+    slice_ = F.expr(f"pmod(xxhash64(node, o_node), {SLICES})")
+    near = ((F.col("label") != F.col("o_label"))
+            & ((F.col("size") < F.col("o_size")) | ((F.col("size") == F.col("o_size")) & (F.col("node") < F.col("o_node"))))
+            & (F.col("size") >= threshold * F.col("o_size") - SLACK)
+            & (room >= threshold / (1 + threshold) * (F.col("size") + F.col("o_size")) - SLACK) & (slice_ >= low))
+    # Pairs within the class that has an element most often are never made.
+    made = first.where("not inside").join(other, "element").where(near).unionByName(
+        first.where("inside").join(other.where("not o_inside"), "element").where(near))
+    return made.select(*_pair("node", "o_node"), slice_.alias("slice"))
 
 
-def _pair(other: str) -> list[Column]:
-    return [F.least(F.col("node"), F.col(other)).alias("a"), F.greatest(F.col("node"), F.col(other)).alias("b")]
+def _pair(one: str, other: str) -> list[Column]:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", threshold: float = SIMILARITY,
@@ -298,28 +326,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     members = saved(entries.join(shared, "key"), "neardup-members")
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     involved = degree.select("node")
-    shingles = saved(drawn.select("node", "order", "shingles").join(involved, "node", "left_semi").dropDuplicates(["node"]),
+    shingles = saved(drawn.select("node", "shingles").join(involved, "node", "left_semi").dropDuplicates(["node"]),
                      "neardup-shingles")
     size = shingles.select("node", F.octet_length("shingles").alias("size"))
     held = saved(members.join(degree, "node").join(size, "node").select("key", "node", "degree", "size"), "neardup-ranked")
 
-    found, labels, turn = None, None, 0
-    held = held.withColumn("before", F.lit(0).cast("long"))
-    while True:
-        now = saved(opened(held, labels, turn), "neardup-open")
-        if now.isEmpty():
-            break
-        here = chosen(now, turn).select(now.columns) if turn else now
-        pairs = led(here, threshold, turn)
-        if turn:
-            pairs = pairs.unionByName(adjoining(here, shingles.select("node", "order"), threshold, turn))
-        near = saved(_compared(pairs.distinct(), shingles.select("node", "shingles"), threshold).where("similar").select("a", "b"),
-                     "neardup-near")
-        found = near if found is None else found.unionByName(near)
-        labels = relabelled(labels, near)
-        rest = now if turn == 0 else now.where(F.col("outside") > SETTLED)
-        held = rest.select("key", "node", "degree", "size", F.col("outside").alias("before"))
-        turn += 1
+    def linked(pairs: DataFrame) -> DataFrame:
+        return saved(_compared(pairs, shingles, threshold).where("similar").select("a", "b"), "neardup-near")
+
+    found = linked(led(held, threshold).distinct())
+    labels = relabelled(None, found)
+    rest = saved(shingles.join(unsettled(held, labels), "node", "left_semi"), "neardup-unsettled")
+    n = rest.count()
+    if n:
+        firsts, low = saved(prefixes(rest, threshold), "neardup-prefixes"), 0
+        while low < SLICES:
+            left = rivals(saved(contested(firsts, labels), "neardup-contested"), threshold, low)
+            many = left.count()
+            if not many:
+                break
+            high = min(SLICES, low + max(1, (SLICES - low) * max(LEAST_PART, PART * n) // many))
+            near = linked(left.where(F.col("slice") < high).select("a", "b").distinct())
+            found = found.unionByName(near)
+            labels, low = relabelled(labels, near), high
 
     member = drawn.select("node", F.col("row")[id_column].alias("id"))
     if labels is None:
