@@ -9,8 +9,8 @@ K log K darts are thrown a document beyond one look at each element.
 
 Bands of coordinates are joined.  In every bucket the member with most neighbours is compared with
 the others, exactly, on their shingles: a constant number of pairs a member.  The members of buckets that
-still hold several classes are then joined exactly: texts near one another share a shingle among the
-rarest of each, at places that leave room for the rest (prefix and position filter).  Pairs of one class are
+still hold several classes are then compared with one another where they are few, and else joined exactly:
+texts near one another share a shingle among the rarest of each, at places that leave room for the rest (prefix and position filter).  Pairs of one class are
 passed over; where many are left they are compared in parts, and classes joined in between.
 No link between members of a bucket that lie in different classes is left out.
 """
@@ -32,6 +32,7 @@ SHINGLE = 5
 MARKS = b".,;:!?"
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+SMALL = 16  # members of a bucket whose pairs are all compared
 CELLS = 19  # bits: cells in which shingles are counted, only to put rare ones first
 PART, LEAST_PART = 16, 200_000  # pairs a text compared at a time, or so many in all
 SLICES = 1 << 20  # pairs are dealt by hash; a part is a range of these
@@ -219,10 +220,18 @@ def led(held: DataFrame, threshold: float) -> DataFrame:
 
 
 def unsettled(held: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Texts (``node``) with a bucket that holds several classes."""
-    now = _labelled(held.select("key", "node"), labels)
-    several = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return now.join(several, "key", "left_semi").select("node").distinct()
+    """Members (``key, node, size, label``) of buckets that hold several classes, and ``small``: of few members."""
+    now = _labelled(held.select("key", "node", "size"), labels)
+    several = (now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+               .where("low <> high").select("key", (F.col("n") <= SMALL).alias("small")))
+    return now.join(several, "key")
+
+
+def within(small: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of different classes in a bucket."""
+    other = small.select("key", *[F.col(c).alias("o_" + c) for c in ("node", "size", "label")])
+    close = F.least("size", "o_size") >= threshold * F.greatest("size", "o_size")
+    return small.join(other, "key").where("node < o_node and label <> o_label").where(close).select(*_pair("node", "o_node"))
 
 
 def told_apart(shingles: bytes) -> np.ndarray:
@@ -336,7 +345,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
 
     found = linked(led(held, threshold).distinct())
     labels = relabelled(None, found)
-    rest = saved(shingles.join(unsettled(held, labels), "node", "left_semi"), "neardup-unsettled")
+    now = saved(unsettled(held, labels), "neardup-unsettled")
+    near = linked(within(now.where("small"), threshold).distinct())
+    found = found.unionByName(near)
+    labels = relabelled(labels, near)
+    large = unsettled(held, labels).where("not small").select("node").distinct()
+    rest = saved(shingles.join(large, "node", "left_semi"), "neardup-rest")
     n = rest.count()
     if n:
         firsts, low = saved(prefixes(rest, threshold), "neardup-prefixes"), 0
