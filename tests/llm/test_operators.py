@@ -102,6 +102,33 @@ def test_languages_in_several_groups(spark, monkeypatch):
     assert one.keys() == many.keys() and all(math.isclose(one[k], many[k]) for k in one)
 
 
+def test_model_spells_every_character(spark):
+    """No two characters count as one, and the grams are those of the spelled words."""
+    alphabet = quality._alphabet()
+    points = np.delete(np.arange(0x110000), 10)
+    assert len(np.unique(alphabet[points])) == len(points) and alphabet[points].all()
+
+    def spelled(text):
+        for word in text.split():
+            out = [0, 0, 0]
+            for ch in word:
+                code, own = int(alphabet[ord(ch)]), []
+                while code:
+                    code, own = code >> 6, [code & 63, *own]
+                out += own
+            out.append(0)
+            yield from (out[i - 3] << 18 | out[i - 2] << 12 | out[i - 1] << 6 | out[i] for i in range(3, len(out)))
+
+    texts = ["Tag 1 für 7 世界", "tag 1 für 7 世界", "Tag 1 fér 7 世界", "Tag 2 für 7 世界", "Tag 1 für 7 世畀", "Nag 1 für 7 世界",
+             "", "b", "b c", "😀 # ﷽ \U0010ffff x\x01 \x00"]
+    counts = Counter(g for t in texts for g in spelled(t))
+    model = quality.KneserNey(np.array(list(counts)), np.array(list(counts.values())))
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    got = {r.doc_id: r.log10_prob for r in quality.score_quality(docs).collect()}
+    for i, t in enumerate(texts):
+        assert math.isclose(got[i], model.log10(np.array(list(spelled(t)), np.int64)).sum(), rel_tol=1e-9, abs_tol=1e-12), t
+
+
 # 2 ---------------------------------------------------------------------------------------------
 
 def test_licenses_and_inheritance(spark):
