@@ -1,18 +1,20 @@
 """Plans whose sizes Spark must not mistake: derived stock, rows numbered by position."""
 
 import re
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import with_price_as_of
 from tidemark.operators.findings import explode_where
 from tidemark.plans import marts
 from tidemark.registry.marts import QUERIES as MART_QUERIES
 from tidemark.registry.marts import stored_marts
 from tidemark.registry.portable import portable
 from tidemark.registry.sheet_sql import flawed_sheets
-from tidemark.session import configure
+from tidemark.session import configure, written
 from tidemark.sources import landing
 from tidemark.sources.tables import TABLE_SCHEMAS, core_from_tables
 
@@ -116,3 +118,55 @@ def test_plan_texts_are_bounded(spark, tables):
     """The driver keeps the text of each plan it runs."""
     plan = marts.all_marts(core_from_tables(configure(spark), tables)).management_kpis_monthly
     assert len(plan._jdf.queryExecution().toString()) < 200_000
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    """Else the disk fills with the shuffles of all steps before, until the driver's heap happens to be collected."""
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = [files.apply(i).getName() for i in range(files.size())]
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = shuffles()
+    rows = written(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count(), "steps")
+    deadline = time.time() + 20
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert rows.count() == 1000 and rows.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_stored_inventory_deals_stock_out_once(spark, tables, monkeypatch):
+    """Its lines are shuffled by product alone; sums and medians are those of the plan that joins them anew."""
+    import tidemark.registry.marts as registered
+
+    plans = {}
+
+    def kept(df, name):
+        out = written(df, name)
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    monkeypatch.setattr(registered, "written", kept)
+    core = core_from_tables(configure(spark), tables)
+    stored = stored_marts(core).inventory_health_monthly
+    lines = plans["inventory_lines"]
+    assert "Exchange hashpartitioning(snapshot_id" not in lines, lines
+    assert "Exchange hashpartitioning(month_start" not in lines.split("Union", 1)[0], lines
+    assert not re.search(r"Scan parquet (?!.*inventory_lines)", plans["inventory_health_monthly"]), plans["inventory_health_monthly"]
+    plain = marts.inventory_health_monthly(core)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_values_of_a_day_travel_with_prices(spark):
+    """As a left join by product and day: a day between, a missing one, repeated rows and unknown products have none."""
+    day = lambda n: datetime(2020, n, 1).date()
+    asked = spark.createDataFrame([(1, day(2), 5), (1, day(2), 5), (1, day(3), 6), (1, None, 7), (2, day(2), 8), (None, day(2), 9), (3, day(1), 1)],
+                                  "product_id long, d date, stock long")
+    points = spark.createDataFrame([(1, day(1), 3), (1, day(3), 4), (3, day(2), 9)], "product_id long, price_date date, price long")
+    values = spark.createDataFrame([(1, day(2), 50), (1, None, 60), (2, day(1), 70), (3, day(1), None)], "product_id long, d date, units long")
+    got = with_price_as_of(asked, points, "d", on_day=values)
+    want = with_price_as_of(asked, points, "d").join(values, ["product_id", "d"], "left")
+    assert got.columns == ["product_id", "d", "stock", "historical_price", "units"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))

@@ -63,15 +63,18 @@ def price_points(purchase_orders: DataFrame, purchase_order_lines: DataFrame) ->
 
 
 def with_price_as_of(demand: DataFrame, points: DataFrame, day: str,
-                     output: str = "historical_price") -> DataFrame:
+                     output: str = "historical_price", on_day: DataFrame | None = None) -> DataFrame:
     """Add the last price with ``price_date <= day`` (null where the product has none yet).
 
-    ``demand`` must hold at most one row per product and day.
+    ``demand`` must hold at most one row per product and day.  ``on_day`` (product_id, ``day`` and one column,
+    one row a product and day) is added where its day is that of the row: it travels with the prices, so that
+    the demand is dealt out once.
     """
-    payload = [c for c in demand.columns if c != "product_id"]
+    payload = [c for c in demand.columns if c not in ("product_id", day)]
+    price = points.schema["price"].dataType
+    extra = [c for c in on_day.columns if c not in ("product_id", day)] if on_day is not None else []
     asked = demand.select(
-        "product_id", F.col(day).alias("_day"), F.lit(1).alias("_side"),
-        F.lit(None).cast(points.schema["price"].dataType).alias("_price"),
+        "product_id", F.col(day).alias("_day"), F.lit(1).alias("_side"), F.lit(None).cast(price).alias("_price"),
         F.struct(*payload).alias("_payload"),
     )
     empty = F.lit(None).cast(asked.schema["_payload"].dataType)
@@ -79,13 +82,20 @@ def with_price_as_of(demand: DataFrame, points: DataFrame, day: str,
         "product_id", F.col("price_date").alias("_day"), F.lit(0).alias("_side"),
         F.col("price").alias("_price"), empty.alias("_payload"),
     )
+    if extra:
+        values = on_day.select(
+            "product_id", F.col(day).alias("_day"), F.lit(0).alias("_side"), F.lit(None).cast(price).alias("_price"),
+            empty.alias("_payload"), F.struct(F.col(day).alias("at"), F.col(extra[0]).alias("value")).alias("_value"))
+        none = F.lit(None).cast(values.schema["_value"].dataType).alias("_value")
+        known, asked = known.select("*", none).unionByName(values), asked.select("*", none)
     timeline = (
         Window.partitionBy("product_id").orderBy("_day", "_side")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        known.unionByName(asked)
-        .withColumn(output, F.last("_price", ignorenulls=True).over(timeline))
-        .where(F.col("_side") == 1)
-        .select("product_id", "_payload.*", output)
-    )
+    found = known.unionByName(asked).withColumn(output, F.last("_price", ignorenulls=True).over(timeline))
+    if extra:
+        found = found.withColumn("_value", F.last("_value", ignorenulls=True).over(timeline))
+    return found.where(F.col("_side") == 1).select(
+        *[F.col("_day").alias(c) if c == day else F.col(c) if c == "product_id" else F.col("_payload")[c].alias(c)
+          for c in ["product_id", *[c for c in demand.columns if c != "product_id"]]],
+        output, *[F.when(F.col("_value.at") == F.col("_day"), F.col("_value.value")).alias(c) for c in extra])

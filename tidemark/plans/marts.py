@@ -215,9 +215,8 @@ def inventory_detail(core: Core, state: State | None = None,
     stock = stock_lines(core) if stock is None else stock
     master = core.products.select("product_id", "purchase_price", "sales_price")
     return (
-        with_price_as_of(stock, unpacked(state.price_points), "month_start")
+        with_price_as_of(stock, unpacked(state.price_points), "month_start", on_day=monthly_units(core, state))
         .join(master, "product_id")
-        .join(monthly_units(core, state), ["month_start", "product_id"], "left")
         .select(
             "month_start", "product_id", "stock_available", "min_stock", "max_stock",
             "sales_price", F.coalesce("historical_price", "purchase_price").alias("unit_cost"),
@@ -234,10 +233,11 @@ def days_of_cover(core: Core, state: State, stock: DataFrame) -> DataFrame:
 
 
 def inventory_health_monthly(core: Core, state: State | None = None,
-                             stock: DataFrame | None = None) -> DataFrame:
+                             stock: DataFrame | None = None, detail: DataFrame | None = None) -> DataFrame:
+    """``detail``: ``inventory_detail`` as stored, so that sums and medians read its lines and none are joined again."""
     state = reduced(core) if state is None else state
     stock = stock_lines(core) if stock is None else stock
-    lines = inventory_detail(core, state, stock)
+    lines = inventory_detail(core, state, stock) if detail is None else detail
     available, low, high = F.col("stock_available"), F.col("min_stock"), F.col("max_stock")
     sold = F.col("units_sold")
     sums = lines.groupBy("month_start").agg(
@@ -255,8 +255,8 @@ def inventory_health_monthly(core: Core, state: State | None = None,
         F.count("days_of_cover").alias("cover_count"),
     )
     # Every stock line has a product (a constraint of the core), so the median needs no master data.
-    medians = grouped_median(days_of_cover(core, state, stock), ["month_start"], "days_of_cover",
-                             "cover_median")
+    covers = days_of_cover(core, state, stock) if detail is None else detail.select("month_start", "days_of_cover")
+    medians = grouped_median(covers, ["month_start"], "days_of_cover", "cover_median")
     return sums.join(medians, "month_start", "left").select(
         "month_start", "product_count", "stockout_products", "below_min_products",
         "above_max_products", "healthy_products",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.model import MART_TABLES, Marts, State
@@ -48,6 +49,16 @@ def stored_state(core) -> State:
     return State(**{name: (lambda n=name: written(getattr(plain, n), n)) for name in State.names})
 
 
+def stored_inventory(core, state: State) -> DataFrame:
+    """The inventory mart from stored lines: stock is dealt out once, by product.
+
+    The snapshots are written first, as Spark then knows their size, and does not deal the stock out by snapshot where they are few.
+    """
+    core = core.replace(inventory_snapshots=written(core.inventory_snapshots, "snapshots"))
+    return marts.inventory_health_monthly(
+        core, state, detail=written(marts.inventory_detail(core, state).drop("product_id"), "inventory_lines"))
+
+
 def stored_marts(core) -> Marts:
     """Marts written on first use, as readers find them after a refresh: the driver plans and runs one step at a time."""
     state, found = stored_state(core), {}
@@ -63,6 +74,8 @@ def stored_marts(core) -> Marts:
                 plan = marts.management_kpis_monthly(*[mart(n) for n in _MANAGEMENT_INPUTS])
             elif name in ("sales_monthly", "product_sales_monthly"):
                 plan = getattr(marts, name)(core, state, costed())
+            elif name == "inventory_health_monthly":
+                plan = stored_inventory(core, state)
             else:
                 plan = getattr(marts, name)(core, state)
             found[name] = written(plan, name)
