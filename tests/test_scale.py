@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import with_price_as_of
 from tidemark.operators.findings import explode_where
-from tidemark.plans import marts
+from tidemark.plans import contract, marts
 from tidemark.registry.marts import QUERIES as MART_QUERIES
 from tidemark.registry.marts import stored_marts
 from tidemark.registry.portable import portable
+from tidemark.registry.sheet_checks import QUERIES as CHECK_QUERIES
 from tidemark.registry.sheet_sql import flawed_sheets
 from tidemark.session import configure, written
 from tidemark.sources import landing
@@ -170,3 +171,24 @@ def test_values_of_a_day_travel_with_prices(spark):
     want = with_price_as_of(asked, points, "d").join(values, ["product_id", "d"], "left")
     assert got.columns == ["product_id", "d", "stock", "historical_price", "units"]
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+
+
+def test_business_rollup_runs_its_checks_one_at_a_time(spark, tables):
+    """The last step reads stored counts and examples alone; they are those of one plan over all findings."""
+    built = CHECK_QUERIES["c14_business_rollup"](spark, tables)
+    read = built.inputFiles()
+    assert read and not [f for f in read if f.startswith(f"file://{tables}")], read
+    assert built.count() > 5
+
+
+def test_rollup_by_parts_is_that_of_all_issues(spark):
+    """Codes in several parts, with ties, nulls and keys that count once however many parts name them."""
+    rows = [("ERROR", f"E{i % 3}", i * 7 % 20 if i % 9 else None, f"k{i % 4}" if i % 5 else None) for i in range(90)]
+    issues = spark.createDataFrame(rows, "level string, code string, n long, key string").distinct()
+    once = F.when(F.col("code") == "E1", F.coalesce("key", F.lit("")))
+    args = [F.col("n").asc_nulls_last(), "key"], F.concat_ws("!", "n", "key")
+    want = contract.issue_rollup(issues, *args, 4, once)
+    parts = [issues.where(f"coalesce(n, 1) % 3 = {k}") for k in range(3)] + [issues.where("false")]
+    stored = []
+    got = contract.stored_rollup(parts, *args, lambda df, name: stored.append(name) or written(df, name), 4, once)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and len(stored) == 4
